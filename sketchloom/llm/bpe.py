@@ -27,10 +27,11 @@ import tokenizers
 from pyspark.sql import DataFrame
 
 NO_RANK = np.int64(2**62)
-CACHED_WORDS = 200_000
+CACHED_CHUNKS = 300_000
 CACHED_LETTERS = 64
 #: Beyond Latin letters and general punctuation, Unicode tables of different versions may tell letters apart differently.
-UNUSUAL = re.compile("[^\x00-\u024f\u2010-\u2027\u2030-\u205e\u20ac]")
+SEPARATORS = re.compile("[\x1c-\x1f]")
+UNUSUAL = re.compile("[^\x00-\x1b\x20-\u024f\u2010-\u2027\u2030-\u205e\u20ac]")
 
 
 def byte_alphabet() -> list[str]:
@@ -70,7 +71,9 @@ class WordBpe:
         self.exact_normal = tokenizers.Tokenizer.from_file(path).normalizer
         self.exact_split = tokenizers.pre_tokenizers.Split(tokenizers.Regex(split["pattern"]["Regex"]), "removed", invert=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+        self.numbers = {i: str(i) for i in self.tokens}
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.said_cache: dict[str, tuple[int, str, str]] = {}
 
     def normal(self, text: str) -> str:
         """NFC, then every character's lower case on its own (a final sigma is not special)."""
@@ -85,26 +88,19 @@ class WordBpe:
         return self.word.findall(self.normal(text))
 
     def words(self, text: str) -> list[str]:
-        """Words in order; a special token stands in the list as its own string."""
+        """Words in order; a special token inside the text stands in the list as its own string."""
         if self.cut is None or not any(s in text for s in self.special):
             return self.plain_words(text)
-        out: list[str] = []
-        for part in self.cut.split(text):
-            out.extend([part] if part in self.special else self.plain_words(part))
-        return out
+        return [w for part in self.cut.split(text) for w in ([part] if part in self.special else self.plain_words(part))]
 
-    def ranks_of(self, sym: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank and place in the sorted keys of the pair that begins at each symbol (NO_RANK where none)."""
-        rank, at = np.full(len(sym), NO_RANK), np.zeros(len(sym), dtype=np.int64)
-        if len(sym) > 1:
-            key = sym[:-1] * self.size + sym[1:]
-            found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            good = (self.keys[found] == key) & (word[:-1] == word[1:])
-            rank[:-1][good], at[:-1] = self.ranks[found[good]], found
-        return rank, at
+    def ranks_at(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and made symbol of each pair key (NO_RANK where there is no merge)."""
+        found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[found] == key, self.ranks[found], NO_RANK), self.made[found]
 
     def merge_words(self, words: list[str]) -> list[tuple[int, ...]]:
-        """Ids of each word (no white space, no special tokens inside)."""
+        """Ids of each word (no white space, no special tokens inside). Ranks are kept between rounds; only pairs that touch a
+        merged symbol are looked up again."""
         raw = [w.encode("utf-8") for w in words]
         sizes = np.array([len(b) for b in raw], dtype=np.int64)
         data = np.frombuffer(b"".join(raw), dtype=np.uint8)
@@ -112,45 +108,83 @@ class WordBpe:
         ends = np.cumsum(sizes)[sizes > 0] - 1
         sym[ends] = self.last[data[ends]]
         out: list[tuple[int, ...]] = [()] * len(raw)
+        rank, made = self.ranks_at(sym * self.size + np.append(sym[1:], 0))
+        rank[ends] = NO_RANK
         while len(sym):
             first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
             length = np.diff(np.append(first, len(sym)))
-            rank, at = self.ranks_of(sym, word)
             lowest = np.minimum.reduceat(rank, first)
             done = lowest == NO_RANK
-            for k in np.flatnonzero(done):
-                out[word[first[k]]] = tuple(sym[first[k] : first[k] + length[k]].tolist())
-            stay = np.repeat(~done, length)
-            hit = (rank == np.repeat(lowest, length)) & stay
-            places = np.flatnonzero(hit)
+            if done.any():
+                ended = np.repeat(done, length)
+                flat, at = sym[ended].tolist(), np.append(0, np.cumsum(length[done])).tolist()
+                for w, x, y in zip(word[first[done]].tolist(), at, at[1:], strict=False):
+                    out[w] = tuple(flat[x:y])
+                sym, word, rank, made = (x[~ended] for x in (sym, word, rank, made))
+                length, lowest = length[~done], lowest[~done]
+                if not len(sym):
+                    break
+            places = np.flatnonzero(rank == np.repeat(lowest, length))
             if self.all_at_once:  # of overlapping pairs (one letter again and again) every second one counts
-                begins = np.concatenate([[True], np.diff(places) > 1]) if len(places) else np.zeros(0, bool)
-                run = np.maximum.accumulate(np.where(begins, np.arange(len(places)), 0)) if len(places) else places
+                begins = np.concatenate([[True], np.diff(places) > 1])
+                run = np.maximum.accumulate(np.where(begins, np.arange(len(places)), 0))
                 places = places[(np.arange(len(places)) - run) % 2 == 0]
             else:
-                places = places[np.concatenate([[True], np.diff(word[places]) > 0])] if len(places) else places
-            sym[places] = self.made[at[places]]
+                places = places[np.concatenate([[True], np.diff(word[places]) > 0])]
+            sym[places] = made[places]
+            stay = np.ones(len(sym), dtype=bool)
             stay[places + 1] = False
-            sym, word = sym[stay], word[stay]
+            now = np.cumsum(stay)[places] - 1
+            sym, word, rank, made = (x[stay] for x in (sym, word, rank, made))
+            touched = np.union1d(now, now[now > 0] - 1)
+            after = np.minimum(touched + 1, len(sym) - 1)
+            rank[touched], made[touched] = self.ranks_at(sym[touched] * self.size + sym[after])
+            rank[touched[(word[touched] != word[after]) | (after == touched)]] = NO_RANK
         return out
 
-    def learn(self, words: set[str]) -> dict[str, tuple[int, ...]]:
-        """Ids of every word; short ones are remembered for later batches, within bounds."""
-        new = sorted(w for w in words if w not in self.cache and w not in self.special)
-        own = dict(zip(new, self.merge_words(new), strict=True))
-        own |= {s: (i,) for s, i in self.special.items() if s in words}
-        if len(self.cache) + len(own) > CACHED_WORDS:
-            own |= {w: self.cache[w] for w in words if w in self.cache}
-            self.cache.clear()
-        self.cache.update((w, ids) for w, ids in own.items() if len(w) <= CACHED_LETTERS and len(self.cache) < CACHED_WORDS)
-        return own
+    def chunks(self, text: str) -> list[str]:
+        """Stretches between white space, raw; no word spans two of them. Special tokens stand on their own. A text with
+        control characters that Python takes for white space is one chunk."""
+        if SEPARATORS.search(text):
+            return [text]
+        if self.cut is None or not any(s in text for s in self.special):
+            return text.split()
+        return [c for part in self.cut.split(text) for c in ([part] if part in self.special else part.split())]
+
+    def split_chunks(self, chunks: list[str]) -> list[list[str]]:
+        """Words of every raw chunk; what is plain in all of them is settled for all at once."""
+        joined = "\n".join(chunks)
+        if not chunks or UNUSUAL.search(joined) or any(s in joined for s in self.special):
+            return [[c] if c in self.special else self.words(c) for c in chunks]
+        lowered = self.normal(joined).split("\n")
+        return [[c] if c.isalpha() else self.word.findall(c) for c in lowered]
+
+    def learn(self, chunks: set[str]) -> dict[str, tuple[int, ...]]:
+        """Ids of every raw chunk: all different words are merged in one go."""
+        listed = sorted(chunks)
+        split = self.split_chunks(listed)
+        words = sorted({w for ws in split for w in ws if w not in self.special})
+        ids = dict(zip(words, self.merge_words(words), strict=True)) | {s: (i,) for s, i in self.special.items()}
+        return {c: ids[ws[0]] if len(ws) == 1 else tuple(i for w in ws for i in ids[w]) for c, ws in zip(listed, split, strict=True)}
+
+    def remembered(self, cache: dict, chunks: set[str], as_value) -> dict:
+        """as_value(ids) of every chunk. Short chunks are remembered for later batches, within bounds."""
+        known = {c: cache[c] for c in chunks if c in cache}
+        made = {c: as_value(x) for c, x in self.learn(chunks - known.keys()).items()}
+        if len(cache) + len(made) > CACHED_CHUNKS:
+            cache.clear()
+        cache.update((c, x) for c, x in made.items() if len(c) <= CACHED_LETTERS and len(cache) < CACHED_CHUNKS)
+        return known | made
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
-        listed = [self.words(t) for t in texts]
-        own = self.learn(set().union(*listed))
-        return [[i for w in ws for i in (own.get(w) or self.cache[w])] for ws in listed]
+        listed = [self.chunks(t) for t in texts]
+        ids = self.remembered(self.cache, set().union(*listed), lambda x: x)
+        return [[i for c in cs for i in ids[c]] for cs in listed]
+
+    def said(self, ids: tuple[int, ...]) -> tuple[int, str, str]:
+        return len(ids), " ".join(map(self.numbers.__getitem__, ids)), " ".join(map(self.tokens.__getitem__, ids))
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids) -> str:
         """The tokens' strings joined by spaces; special tokens are kept."""
         return " ".join(map(self.tokens.__getitem__, ids))
 
@@ -160,7 +194,7 @@ def load(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-def in_slices(texts: list[str], limit: int = 2_000_000) -> Iterator[list[str]]:
+def in_slices(texts: list[str], limit: int = 4_000_000) -> Iterator[list[str]]:
     from .common import slices_by_bytes
 
     for a, b in slices_by_bytes([len(t) for t in texts], limit):
@@ -202,17 +236,13 @@ def round_trip_digest(docs: DataFrame, path: str) -> DataFrame:
             texts = [t or "" for t in b.column("text").to_pylist()]
             n, coded, decoded = [], [], []
             for part in in_slices(texts):
-                listed = [bpe.words(t) for t in part]
-                seen = set().union(*listed)
-                own = bpe.learn(seen)
-                ids = {w: own.get(w) or bpe.cache[w] for w in seen}
-                as_ids = {w: " ".join(map(str, x)) for w, x in ids.items()}
-                as_text = {w: bpe.decode(list(x)) for w, x in ids.items()}
-                count = {w: len(x) for w, x in ids.items()}
-                for ws in listed:
-                    n.append(sum(map(count.__getitem__, ws)))
-                    coded.append(hashlib.sha256(" ".join(map(as_ids.__getitem__, ws)).encode()).hexdigest())
-                    decoded.append(hashlib.sha256(" ".join(map(as_text.__getitem__, ws)).encode()).hexdigest())
+                listed = [bpe.chunks(t) for t in part]
+                known = bpe.remembered(bpe.said_cache, set().union(*listed), bpe.said)
+                for cs in listed:
+                    parts = [known[c] for c in cs]
+                    n.append(sum(x[0] for x in parts))
+                    coded.append(hashlib.sha256(" ".join([x[1] for x in parts]).encode()).hexdigest())
+                    decoded.append(hashlib.sha256(" ".join([x[2] for x in parts]).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
