@@ -60,3 +60,41 @@ def flat_bytes(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     starts = np.zeros(len(blobs) + 1, dtype=np.int64)
     np.cumsum([len(b) for b in blobs], out=starts[1:])
     return np.frombuffer(b"".join(blobs), dtype=np.uint8), starts
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, per_class: dict[int, int]) -> list[tuple[str, int]]:
+    """(text, label) of a bounded sample of labelled rows: of each class the per_class[c] smallest hashes of doc_id, none from the held-out
+    rows (crc32 of doc_id as text, mod modulus). At most sum(per_class) ids are broadcast and as many rows come to the driver."""
+    usable = labels.where(f"{label} is not null and doc_id is not null").where(F.col(label).isin(list(per_class))).where(fold_of(modulus) != held_out)
+    picked = None
+    for c, n in sorted(per_class.items()):
+        part = usable.where(F.col(label) == c).select("doc_id", F.col(label).cast("int").alias("y")).dropDuplicates(["doc_id"])
+        part = part.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+        picked = part if picked is None else picked.unionByName(part)
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).collect()
+    return [(r["text"] or "", r["y"]) for r in sorted(rows, key=lambda r: r["doc_id"])]
+
+
+def fold_of(modulus: int, id_col: str = "doc_id") -> Column:
+    """crc32 of the id as text, mod modulus; a null id counts as empty text."""
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+def sigmoid(x):
+    return 1.0 / (1.0 + np.exp(-np.clip(x, -60.0, 60.0)))
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> tuple[float, float]:
+    """Slope and intercept of P(y = 1 | x) by Newton steps on a lightly penalised likelihood (Platt's smoothed targets)."""
+    pos, neg = float((y == 1).sum()), float((y == 0).sum())
+    t = np.where(y == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
+    design, w = np.stack([x, np.ones_like(x)], axis=1), np.zeros(2)
+    for _ in range(steps):
+        p = sigmoid(design @ w)
+        gradient = design.T @ (p - t) + ridge * w
+        hessian = (design * (p * (1 - p))[:, None]).T @ design + (ridge + 1e-9) * np.eye(2)
+        step = np.linalg.solve(hessian, gradient)
+        w -= step
+        if np.abs(step).max() < 1e-9:
+            break
+    return float(w[0]), float(w[1])

@@ -1,7 +1,7 @@
 """Document fingerprints from prefix polynomial hashes.
 
 A text of code points c has, for modulus p and base x, the prefix array P[i] = sum of (c[j] + 1) x^j for j < i (mod p). The hash of the span
-[i, i + n) is (P[i + n] - P[i]) x^(N - i), so any two spans of any two texts compare in constant time, and the longest
+[i, i + n) is (P[i + n] - P[i]) x^(-i), so any two spans of any two texts compare in constant time, and the longest
 common extension of two places is found by binary search. All spans of ``WINDOW`` code points are hashed from the array at once; the fingerprint is
 the whole text's hash and the ``KEPT`` smallest mixed window hashes, from which the likeness of two texts is estimated (Dice
 coefficient of their window sets). Fingerprints depend on the text alone.
@@ -27,29 +27,30 @@ from pyspark.sql import functions as F
 WINDOW = 24
 KEPT = 64
 LIMIT = 1 << 20
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 #: (modulus 2^31 - 1, base) of the two arrays.
 PRIME = np.uint64(2**31 - 1)
-BASES = (np.uint64(1_103_515_245), np.uint64(69_069_013))
+BASES = (1_103_515_245, 69_069_013)
+INVERSES = tuple(pow(b, -1, 2**31 - 1) for b in BASES)
 _powers: dict[int, np.ndarray] = {}
 
 
 def fold(x: np.ndarray) -> np.ndarray:
-    """x mod 2^31 - 1 for x under 2^62."""
+    """x mod 2^31 - 1, for products of two values below the modulus and for smaller x (unsigned wrap-around picks the lesser)."""
     x = (x & PRIME) + (x >> np.uint64(31))
-    x = (x & PRIME) + (x >> np.uint64(31))
-    return np.where(x >= PRIME, x - PRIME, x)
+    return np.minimum(x, x - PRIME)
 
 
-def powers(which: int, n: int) -> np.ndarray:
+def powers(base: int, n: int) -> np.ndarray:
     """base^0 .. base^(n - 1) at least, doubled as needed."""
-    have = _powers.get(which)
+    have = _powers.get(base)
     if have is None:
         have = np.ones(1, dtype=np.uint64)
     while len(have) < n:
-        step = fold(have[-1:] * BASES[which])
+        step = fold(have[-1:] * np.uint64(base))
         have = np.concatenate([have, fold(have * step)])
-    _powers[which] = have
+    _powers[base] = have
     return have
 
 
@@ -64,23 +65,25 @@ class PrefixHash:
     def prefix(self, which: int) -> np.ndarray:
         if which not in self.sums:
             out = np.zeros(self.n + 1, dtype=np.uint64)
-            np.cumsum(fold(self.points * powers(which, self.n + 1)[: self.n]), out=out[1:])
+            np.cumsum(fold(self.points * powers(BASES[which], self.n)[: self.n]), out=out[1:])
             self.sums[which] = fold(out)
         return self.sums[which]
 
-    def spans(self, which: int, begin: np.ndarray, length: int, scale: int) -> np.ndarray:
-        """Hashes of the spans of one length, comparable between texts of at most ``scale`` code points."""
+    def spans(self, which: int, begin: int, end: int, length: int) -> np.ndarray:
+        """Hashes of the spans of one length that begin at begin to end - 1; they depend on the spans' contents alone."""
         p = self.prefix(which)
-        return fold(fold(p[begin + length] + PRIME - p[begin]) * powers(which, scale + 1)[scale - begin])
+        parts = p[begin + length : end + length] + PRIME - p[begin:end]
+        return fold(fold(parts) * powers(INVERSES[which], end)[begin:end])
 
-    def span(self, i: int, length: int, scale: int) -> tuple[int, int]:
-        at = np.array([i])
-        return int(self.spans(0, at, length, scale)[0]), int(self.spans(1, at, length, scale)[0])
+    def span(self, i: int, length: int) -> tuple[int, int]:
+        """Both hashes of one span."""
+        m, p, q = 2**31 - 1, self.prefix(0), self.prefix(1)
+        x, y = int(p[i + length]) - int(p[i]), int(q[i + length]) - int(q[i])
+        return x * pow(INVERSES[0], i, m) % m, y * pow(INVERSES[1], i, m) % m
 
 
 def same_span(a: PrefixHash, i: int, b: PrefixHash, j: int, length: int) -> bool:
-    scale = max(a.n, b.n)
-    return a.span(i, length, scale) == b.span(j, length, scale)
+    return a.span(i, length) == b.span(j, length)
 
 
 def common_extension(a: PrefixHash, i: int, b: PrefixHash, j: int) -> int:
@@ -95,39 +98,51 @@ def common_extension(a: PrefixHash, i: int, b: PrefixHash, j: int) -> int:
     return low
 
 
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h * np.uint64(0x9E3779B97F4A7C15)) ^ (h >> np.uint64(15))
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h >> np.uint64(32)
-
-
 def smallest(h: np.ndarray, k: int) -> np.ndarray:
-    """The k smallest distinct values, ascending."""
+    """The k smallest distinct values of 32 bits, ascending."""
     if len(h) > 8 * k:
-        some = np.unique(np.partition(h, 4 * k)[: 4 * k])
+        some = np.unique(h[h < np.uint64((4 * k << 32) // len(h))])
         if len(some) >= k:
             return some[:k]
     return np.unique(h)[:k]
 
 
-def sketch(p: PrefixHash) -> np.ndarray:
-    """KEPT smallest mixed window hashes (32 bits each)."""
-    if not p.n:
-        return np.zeros(0, dtype=np.uint64)
-    width = min(WINDOW, p.n)
-    parts, scale = [], p.n
-    for at in range(0, p.n - width + 1, LIMIT):
-        begin = np.arange(at, min(at + LIMIT, p.n - width + 1))
-        # scaled by x^(scale - begin), then by x^(-scale) in effect: divide out with the power of the place itself
-        h = p.spans(0, begin, width, scale)
-        parts.append(smallest(mixed(h), KEPT))
+def windows(p: PrefixHash, begin: int, end: int, width: int = WINDOW) -> np.ndarray:
+    """KEPT smallest mixed hashes of the windows that begin at begin to end - 1."""
+    kept = np.zeros(0, dtype=np.uint64)
+    for at in range(begin, end, LIMIT):
+        h = p.spans(0, at, min(at + LIMIT, end), width)
+        kept = smallest(np.concatenate([kept, (h * MIX) >> np.uint64(32)]), KEPT)
+    return kept
+
+
+def joined(*parts: np.ndarray) -> np.ndarray:
     return smallest(np.concatenate(parts), KEPT)
 
 
+def said(whole: tuple[int, int], sketch: np.ndarray) -> str:
+    return f"{whole[0]:08x}{whole[1]:08x}-" + sketch.astype(">u4").tobytes().hex()
+
+
 def fingerprint(p: PrefixHash) -> tuple[str, np.ndarray]:
-    whole = p.span(0, p.n, p.n)
-    s = sketch(p)
-    return f"{whole[0]:08x}{whole[1]:08x}-" + s.astype(">u4").tobytes().hex(), s
+    width = min(WINDOW, p.n)
+    sketch = windows(p, 0, p.n - width + 1, width) if p.n else np.zeros(0, dtype=np.uint64)
+    return said(p.span(0, p.n), sketch), sketch
+
+
+def edited_fingerprint(text: str, p: PrefixHash, put: str) -> tuple[str, str, np.ndarray, int]:
+    """The text with its last floor(n / 2) code points replaced by ``put``: that text, its fingerprint, its sketch, and the longest
+    common prefix with the text. The kept half is not hashed again: spans of the text's own arrays serve."""
+    keep = p.n - p.n // 2
+    edited, q = text[:keep] + put, PrefixHash(put)
+    common = keep + common_extension(p, keep, q, 0)
+    if min(keep, q.n) < WINDOW:
+        return edited, *fingerprint(PrefixHash(edited)), common
+    m = 2**31 - 1
+    whole = tuple((a + pow(b, keep, m) * c) % m for a, b, c in zip(p.span(0, keep), BASES, q.span(0, q.n), strict=True))
+    seam = PrefixHash(text[keep - WINDOW + 1 : keep] + put[: WINDOW - 1])
+    sketch = joined(windows(p, 0, keep - WINDOW + 1), windows(seam, 0, WINDOW - 1), windows(q, 0, q.n - WINDOW + 1))
+    return edited, said(whole, sketch), sketch, common
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -186,10 +201,9 @@ def fingerprint_digest(docs: DataFrame) -> DataFrame:
 
     def row(d: Doc, nxt: Doc) -> tuple:
         n = d.hash.n
-        edited = d.text[: n - n // 2] + nxt.text[: n // 2]
-        e = PrefixHash(edited)
-        mark, s = fingerprint(e)
-        return (d.doc_id, n, hashlib.sha256(edited.encode()).hexdigest(), d.mark, mark, likeness(d.sketch, s), likeness(d.sketch, nxt.sketch), common_extension(d.hash, 0, e, 0))
+        edited, mark, sketch, common = edited_fingerprint(d.text, d.hash, nxt.text[: n // 2])
+        near = likeness(d.sketch, sketch), likeness(d.sketch, nxt.sketch)
+        return (d.doc_id, n, hashlib.sha256(edited.encode()).hexdigest(), d.mark, mark, *near, common)
 
     def run(batches):
         held, at = None, None

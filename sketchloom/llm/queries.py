@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, secret_scan, simhash, url_filter
+from . import bpe, media, mixing, prefix_hash, repeats, secret_scan, simhash, url_filter
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -30,12 +30,28 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_digest(table(spark, sf_dir, "documents"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixing_report(table(spark, sf_dir, "documents"))
+
+
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_digest(table(spark, sf_dir, "documents"))
+
+
+def op7_prefix_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_hash.fingerprint_digest(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_digest(table(spark, sf_dir, "documents"))
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeats_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_url_filter, op3_secret_scan, op8_simhash)
+    f.__name__: f for f in (op1_bpe, op2_url_filter, op3_secret_scan, op4_mixing, op5_media, op7_prefix_hash, op8_simhash, op9_repeats)
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_url_filter": url_filter.duckdb_sql()}
