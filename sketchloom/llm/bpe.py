@@ -19,6 +19,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -73,7 +74,7 @@ class WordBpe:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.numbers = {i: str(i) for i in self.tokens}
         self.cache: dict[str, tuple[int, ...]] = {}
-        self.said_cache: dict[str, tuple[int, str, str]] = {}
+        self.said_cache: dict[str, tuple[tuple[int, ...], str, str]] = {}
 
     def normal(self, text: str) -> str:
         """NFC, then every character's lower case on its own (a final sigma is not special)."""
@@ -181,8 +182,8 @@ class WordBpe:
         ids = self.remembered(self.cache, set().union(*listed), lambda x: x)
         return [[i for c in cs for i in ids[c]] for cs in listed]
 
-    def said(self, ids: tuple[int, ...]) -> tuple[int, str, str]:
-        return len(ids), " ".join(map(self.numbers.__getitem__, ids)), " ".join(map(self.tokens.__getitem__, ids))
+    def said(self, ids: tuple[int, ...]) -> tuple[tuple[int, ...], str, str]:
+        return ids, " ".join(map(self.numbers.__getitem__, ids)), " ".join(map(self.tokens.__getitem__, ids))
 
     def decode(self, ids) -> str:
         """The tokens' strings joined by spaces; special tokens are kept."""
@@ -226,26 +227,35 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
     return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def round_trip_digest(docs: DataFrame, path: str) -> DataFrame:
+DIGEST = [("n_tokens", pa.int64(), "long"), ("ids_sha256", pa.string(), "string"), ("decoded_sha256", pa.string(), "string")]
+IDS = ("ids", pa.list_(pa.int32()), "array<int>")
+
+
+def round_trip_digest(docs: DataFrame, path: str, with_ids: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text: encoding and decoding in one pass over the rows, so
-    that ids, which are as large as the texts, are never stored or shuffled."""
+    that ids, which are as large as the texts, are never shuffled. with_ids adds them; keep names columns to carry along."""
+    fields = DIGEST + [IDS] * with_ids
 
     def run(batches):
         bpe = load(path)
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]
-            n, coded, decoded = [], [], []
+            n, coded, decoded, flat = [], [], [], []
             for part in in_slices(texts):
                 listed = [bpe.chunks(t) for t in part]
                 known = bpe.remembered(bpe.said_cache, set().union(*listed), bpe.said)
                 for cs in listed:
                     parts = [known[c] for c in cs]
-                    n.append(sum(x[0] for x in parts))
+                    n.append(sum([len(x[0]) for x in parts]))
                     coded.append(hashlib.sha256(" ".join([x[1] for x in parts]).encode()).hexdigest())
                     decoded.append(hashlib.sha256(" ".join([x[2] for x in parts]).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+                    if with_ids:
+                        flat.append(np.fromiter(chain.from_iterable([x[0] for x in parts]), np.int32, n[-1]))
+            cols = [b.column("doc_id").cast(pa.int64()), *(b.column(c) for c in keep), *(pa.array(c, f[1]) for c, f in zip((n, coded, decoded), DIGEST, strict=True))]
+            if with_ids:
+                edge = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+                cols.append(pa.ListArray.from_arrays(edge, pa.array(np.concatenate([*flat, np.zeros(0, np.int32)]))))
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", *keep, *(f[0] for f in fields)])
+
+    kinds = ["doc_id long", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), *(f"{f[0]} {f[2]}" for f in fields)]
+    return docs.select("doc_id", "text", *keep).mapInArrow(run, ", ".join(kinds))

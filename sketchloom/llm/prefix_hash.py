@@ -174,7 +174,7 @@ def in_id_ranges(docs: DataFrame) -> DataFrame:
 
     @F.pandas_udf("array<int>")
     def places(keys: pd.Series) -> pd.Series:
-        return pd.Series([[2 * r] + [2 * before[k] + 1] * (k in before) for r, k in zip(ranges(keys).tolist(), keys.tolist(), strict=True)])
+        return pd.Series([[2 * r, 2 * before[k] + 1] if k in before else [2 * r] for r, k in zip(ranges(keys).tolist(), keys.tolist(), strict=True)])
 
     dealt = rows.withColumn("place", F.explode(places("key")))
     return dealt.select(F.shiftright("place", 1).alias("range"), F.col("place").bitwiseAND(1).alias("look"), "key", "doc_id", "text").repartition("range").sortWithinPartitions(

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, mixing, prefix_hash, repeats, secret_scan, simhash, url_filter
+from . import bpe, media, mixing, prefix_hash, quality, repeats, secret_scan, simhash, toxicity, url_filter
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -38,6 +38,10 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_prefix_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_hash.fingerprint_digest(table(spark, sf_dir, "documents"))
 
@@ -50,8 +54,12 @@ def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeats_digest(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_url_filter, op3_secret_scan, op4_mixing, op5_media, op7_prefix_hash, op8_simhash, op9_repeats)
+    f.__name__: f for f in (op1_bpe, op2_url_filter, op3_secret_scan, op4_mixing, op5_media, op6_quality, op7_prefix_hash, op8_simhash, op9_repeats, op10_toxicity)
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_url_filter": url_filter.duckdb_sql()}

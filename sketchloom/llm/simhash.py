@@ -19,10 +19,10 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, text_key
 
 SEED = 42
 ROUNDS = 64
@@ -40,15 +40,15 @@ def simhash(text: str | None, width: int = 3) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long), one row per document."""
+def fingerprints(docs: DataFrame, width: int = 3, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The key columns (longs) and fp (the 64 bits as a signed long), one row per document."""
 
     def run(batches):
         for b in batches:
             fp = np.array([simhash(t, width) for t in b.column("text").to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(b.column(k).cast(pa.int64()) for k in keys), pa.array(fp)], [*keys, "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(*keys, "text").mapInArrow(run, ", ".join(f"{k} long" for k in (*keys, "fp")))
 
 
 def ball_masks(radius: int) -> list[int]:
@@ -86,17 +86,34 @@ def components(edges: DataFrame) -> DataFrame:
     raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
 
 
+def class_labels(classes: DataFrame, radius: int = 2) -> DataFrame:
+    """classes (distinct fp, other columns) with label: the smallest fp that each can reach."""
+    labels = components(links(classes, radius))
+    return classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFrame:
     """doc_id, fp, component_id, one row per document."""
     marked = cut(fingerprints(docs, width), "simhash")
     classes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    labels = components(links(classes, radius))
-    linked = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
+    linked = class_labels(classes, radius)
     smallest = linked.groupBy("label").agg(F.min("first").alias("component_id"))
     named = linked.join(smallest, "label").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFrame:
+    """docs with one row of each component kept: that of the smallest doc_id (null last; ties by text hash). All columns stay."""
+    cols = docs.columns
+    marked = cut(fingerprints(docs.select(*text_key(), "text"), width, ("k_id", "k_text")), "simhash")
+    first = F.struct((F.col("k_id") == -(2**63)).alias("no_id"), "k_id", "k_text")
+    classes = cut(marked.groupBy("fp").agg(F.min(first).alias("first")), "classes")
+    kept = class_labels(classes, radius).groupBy("label").agg(F.min("first").alias("first")).select("first.k_id", "first.k_text")
+    rows = docs.select(F.struct(*cols).alias("row"), *text_key()).join(kept, ["k_id", "k_text"])
+    copy = F.row_number().over(Window.partitionBy("k_id", "k_text").orderBy("k_text"))
+    return rows.withColumn("copy", copy).where("copy = 1").select("row.*")
+
+
 def as_hex(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 

@@ -1,11 +1,11 @@
 """Toxicity: a linear-chain conditional random field tags toxic words, and its marginals become document scores and spans.
 
 Labels are given by document only, so labelled tokens are made first: in a bounded sample of labelled documents, a word or word beginning is
-telling if it is found in many toxic documents and hardly any clean one; words with a telling feature are labelled
-toxic where they stand in toxic documents. The field then learns from these sequences: word, beginnings, ending, and the
+telling if it follows many different words in toxic documents (copies of a document count once so) and hardly any in clean
+ones; words with a telling feature are labelled toxic where they stand in toxic documents. The field then learns from these sequences: word, beginnings, ending, and the
 words on either side are its features, and transitions its memory. Chains are up to CHAIN consecutive words.
-Forward-backward runs over all chains of a batch side by side. The expected number of toxic words of a document, by the
-marginals, gives its score through a logistic curve fitted on documents.
+Forward-backward runs over all chains of a batch side by side. The sum of the squared marginals (so that many faint ones do not
+add up to a toxic word) gives a document's score through a logistic curve fitted on documents.
 
 Features are kept by name, so the model is as large as the sample's vocabulary at most. Texts are used whole and nothing but the text enters a score. A null
 text counts as empty: no words, the score of no toxic words. Without labels of both classes every score is that class's share (0
@@ -28,9 +28,11 @@ PER_CLASS = {0: 3000, 1: 1500}
 CHAIN = 64
 MARKS = ".,!?;:|*#%&$\"'()[]{}<>-_/\\"
 CACHED = 300_000
-TELLING_DOCS = 6
-TELLING_SHARE = 0.9
-ROUNDS = 60
+TELLING_CHANCE = 1e-7
+TELLING_SHARE = 0.95
+LEAST_SEEN = 3
+MOST_CHAINS = 6_000
+ROUNDS = 100
 WORD = re.compile(r"\S+")
 
 
@@ -106,14 +108,17 @@ def in_columns(begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.minimum(begin + place, begin + length - 1), place < length
 
 
-def telling(docs: list[list[str]], y: np.ndarray) -> set[str]:
-    """Features found in at least TELLING_DOCS toxic documents and, weighed by class size, TELLING_SHARE of the time in toxic ones."""
+def telling(words: np.ndarray, before: np.ndarray, toxic: np.ndarray, names: list[list[str]]) -> set[str]:
+    """Features whose pairs with different words before them lie in toxic documents to TELLING_SHARE at least, and so many of them that chance
+    would put them there with a probability of TELLING_CHANCE at most."""
     counts: list[dict[str, int]] = [{}, {}]
-    for words, c in zip(docs, y.tolist(), strict=True):
-        for f in {f for w in set(words) if len(w) > 2 for f in names_of(w)[:-1]}:
-            counts[c][f] = counts[c].get(f, 0) + 1
-    n = [max(1, int((y == c).sum())) for c in (0, 1)]
-    return {f for f, k in counts[1].items() if k >= TELLING_DOCS and k / n[1] / (k / n[1] + counts[0].get(f, 0) / n[0]) >= TELLING_SHARE and k / n[1] > 12 * counts[0].get(f, 0) / n[0]}
+    for c in (0, 1):
+        pairs = np.unique(np.stack([words[toxic == c], before[toxic == c]]), axis=1)[0]
+        for w, k in enumerate(np.bincount(pairs, minlength=len(names)).tolist()):
+            for f in names[w][:-1] if k else ():
+                counts[c][f] = counts[c].get(f, 0) + k
+    least = max(4.0, np.log(TELLING_CHANCE) / np.log(max(toxic.mean(), 1e-3)))
+    return {f for f, k in counts[1].items() if k >= least and k >= TELLING_SHARE * (k + counts[0].get(f, 0))}
 
 
 def fit(sample: list[tuple[str, int]]) -> Field:
@@ -125,30 +130,38 @@ def fit(sample: list[tuple[str, int]]) -> Field:
         share = float(y.mean()) if len(y) else 0.0
         model.intercept = float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))
         return model
-    docs = [[core(w) for w in t.split()] for t, _ in rows]
-    marks = telling(docs, y)
     number: dict[str, int] = {}
-    ids = [np.array([number.setdefault(w, len(number)) for w in ws], dtype=np.int64) for ws in docs]
+    ids = [np.array([number.setdefault(core(w), len(number)) for w in t.split()], dtype=np.int64) for t, _ in rows]
     vocabulary = list(number)
     names = [names_of(w) for w in vocabulary]
-    toxic_word = np.array([any(f in marks for f in fs) for fs in names], dtype=bool)
-    # every chain with a labelled word, and as many others again for each class
-    words = np.concatenate(ids) if ids else np.zeros(0, dtype=np.int64)
-    sizes = np.array([len(x) for x in ids])
-    label = toxic_word[words] & np.repeat(y == 1, sizes)
+    words, sizes = np.concatenate(ids), np.array([len(x) for x in ids])
+    if not len(words):
+        return model
+    toxic = np.repeat(y, sizes)
+    ends = (np.cumsum(sizes) - sizes)[sizes > 0]
+    previous = np.roll(words, 1)
+    previous[ends] = len(vocabulary)
+    marks = telling(words, previous, toxic, names)
+    toxic_word = np.array([len(w) > 2 and any(f in marks for f in fs) for w, fs in zip(vocabulary, names, strict=True)], dtype=bool)
+    label = toxic_word[words] & (toxic == 1)
     begin, length = chains(sizes)
     at, valid = in_columns(begin, length)
     with_toxic = (label[at] & valid).any(axis=0)
     rng = np.random.default_rng(11)
-    others = rng.permutation(np.flatnonzero(~with_toxic))[: max(2000, 2 * int(with_toxic.sum()))]
-    keep = np.sort(np.concatenate([np.flatnonzero(with_toxic), others]))[:20_000]
+    others = rng.permutation(np.flatnonzero(~with_toxic))[: MOST_CHAINS // 2]
+    keep = np.sort(np.concatenate([rng.permutation(np.flatnonzero(with_toxic))[: MOST_CHAINS // 2], others]))
     at, valid = at[:, keep], valid[:, keep]
     feature: dict[str, int] = {}
     table = np.zeros((len(vocabulary), 5), dtype=np.int64)  # 0: no feature
-    used = np.unique(words[at])
-    for w in used.tolist():
-        for j, f in enumerate(names[w][:5]):
-            table[w, j] = feature.setdefault(f, len(feature) + 1)
+    seen_words = np.bincount(words[at[valid]], minlength=len(vocabulary))
+    often: dict[str, int] = {}
+    for w in np.flatnonzero(seen_words).tolist():
+        for f in names[w]:
+            often[f] = often.get(f, 0) + int(seen_words[w])
+    for w in np.flatnonzero(seen_words).tolist():
+        for j, f in enumerate(names[w]):
+            if often[f] >= LEAST_SEEN:
+                table[w, j] = feature.setdefault(f, len(feature) + 1)
     size, nw = len(feature) + 1, len(vocabulary) + 1
     own = table[words[at]]  # (places, chains, 5)
     first, last = np.zeros_like(valid), np.zeros_like(valid)
@@ -159,6 +172,7 @@ def fit(sample: list[tuple[str, int]]) -> Field:
     after = np.where(last, 0, np.roll(words[at], -1, axis=0) + 1)
     truth = (label[at] & valid).astype(float)
     wf, wb, wa, trans, extra = np.zeros(size), np.zeros(nw), np.zeros(nw), np.zeros((2, 2)), np.zeros(2)
+    extra[1] = np.log((truth.sum() + 1) / (valid.sum() + 1))  # as rare as toxic words are; the features make up for it
     sums = [np.full_like(x, 1e-6) for x in (wf, wb, wa, trans, extra)]
     lab = truth.astype(int)
     real = np.zeros((2, 2))
@@ -177,7 +191,7 @@ def fit(sample: list[tuple[str, int]]) -> Field:
         for w, g, s, ridge in zip((wf, wb, wa, trans, extra), gradients, sums, (2e-3, 2e-2, 2e-2, 1e-3, 1e-4), strict=True):
             g = g * scale - ridge * w * scale
             s += g * g
-            w += 0.4 * g / np.sqrt(s)
+            w += 0.5 * g / np.sqrt(s)
     keep_at = 0.02
     model.weights = {f: float(wf[i]) for f, i in feature.items() if abs(wf[i]) > keep_at}
     model.before = {w: float(wb[i + 1]) for i, w in enumerate(vocabulary) if abs(wb[i + 1]) > keep_at}
@@ -190,7 +204,7 @@ def fit(sample: list[tuple[str, int]]) -> Field:
 
 
 def evidence(found: list[tuple[float, np.ndarray]]) -> np.ndarray:
-    """Logarithm of the expected number of toxic words."""
+    """Logarithm of the sum of the squared marginals."""
     return np.log(np.array([n for n, _ in found]) + 1e-2)
 
 
@@ -206,7 +220,7 @@ class Tagger:
         return sum(m.weights.get(f, 0.0) for f in names_of(w)), m.before.get(w, 0.0), m.after.get(w, 0.0)
 
     def __call__(self, texts: list[str]) -> list[tuple[float, np.ndarray]]:
-        """For each text the expected number of toxic words, and the probability of every word."""
+        """For each text the sum of the squared marginals, and the marginal of every word."""
         if len(self.known) > CACHED:
             self.known.clear()
         listed = [t.split() for t in texts]
@@ -225,7 +239,7 @@ class Tagger:
         flat = np.zeros(int(sizes.sum()))
         flat[at[valid]] = p[valid]
         edge = np.concatenate([[0], np.cumsum(sizes)])
-        return [(float(flat[a:b].sum()), flat[a:b]) for a, b in zip(edge, edge[1:], strict=False)]
+        return [(float(np.square(flat[a:b]).sum()), flat[a:b]) for a, b in zip(edge, edge[1:], strict=False)]
 
 
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
