@@ -245,7 +245,8 @@ def matched(opened: DataFrame, length: int) -> DataFrame:
 def repeated_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(k_id, k_text, a0, a1): byte ranges [a0, a1) made of repeated windows, per document key; they may overlap."""
     found = cut(all_segments(docs, length), "segments")
-    twice = found.groupBy("a").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("a")
+    # written, so that the join below deals both sides anew and a very frequent anchor's rows can be split among tasks
+    twice = cut(found.groupBy("a").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("a"), "anchors")
     live = cut(found.join(twice, "a", "left_semi"), "live")
     classes = cut(
         live.groupBy("a", "d").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k_id", "k_text", "s0", "s1", "off")).alias("rep")), "classes"
@@ -253,7 +254,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     whole = live.join(classes.where("n > 1").select("a", "d"), ["a", "d"], "left_semi").select(
         "k_id", "k_text", F.col("s0").alias("a0"), (F.col("s1") + length).alias("a1")
     )
-    many = classes.groupBy("a").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    many = cut(classes.groupBy("a").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "many")
     reps = classes.join(many, "a").select("a", "rep.*", (F.col("n") == 1).alias("alone"), (F.col("m") > HOT).alias("hot"))
     return whole.unionByName(matched(open_bytes(docs, reps, length), length))
 
