@@ -79,7 +79,7 @@ def alpha(m: int) -> float:
 def _raw(m: int) -> tuple[Column, Column, Column]:
     """Columns over the registers of a key: number of zeros, raw estimate, linear count."""
     zeros = d(m) - F.count(F.lit(1)).cast("double")
-    total = F.sum(power2(-F.col("rank"))) + zeros
+    total = F.coalesce(F.sum(power2(-F.col("rank"))), d(0.0)) + zeros
     return zeros, d(alpha(m) * m * m) / total, d(m) * F.log(d(m) / F.when(zeros > 0, zeros).otherwise(d(1.0)))
 
 

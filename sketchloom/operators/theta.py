@@ -48,7 +48,7 @@ def theta_build(df: DataFrame, item: str | Column, keys: list[str], spec: ThetaS
 
 def theta_estimate(state: DataFrame, keys: list[str]) -> DataFrame:
     """keys.., retained, theta, estimate: exact below k, else (n - 1) / theta."""
-    n, top = F.count(F.lit(1)), F.min("theta")
+    n, top = F.count(F.lit(1)), F.coalesce(F.min("theta"), F.lit(FULL))
     est = F.when(top == FULL, n.cast("double")).otherwise((n - 1).cast("double") / (top.cast("double") / d(SPAN)))
     return state.groupBy(*keys).agg(n.alias("retained"), top.alias("theta"), est.alias("estimate"))
 
@@ -120,7 +120,7 @@ def tuple_difference(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 
 def tuple_estimate(state: DataFrame, keys: list[str], sums: list[str] = ()) -> DataFrame:
     """As theta_estimate, and for each summary in ``sums`` its total over all items, scaled by theta."""
-    n, top = F.count(F.lit(1)), F.min("theta")
+    n, top = F.count(F.lit(1)), F.coalesce(F.min("theta"), F.lit(FULL))
     part = top.cast("double") / d(SPAN)
     est = F.when(top == FULL, n.cast("double")).otherwise((n - 1).cast("double") / part)
     return state.groupBy(*keys).agg(n.alias("retained"), est.alias("estimate"), *[(F.sum(s).cast("double") / part).alias(f"total_{s}") for s in sums])

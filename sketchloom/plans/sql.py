@@ -47,4 +47,4 @@ def theta_state(table: str, item: str, k: int, where: str = "true") -> str:
 
 
 def theta_estimate(top: str = "min(theta)") -> str:
-    return f"(case when {top} = {1 << BITS} then count(*)::double else (count(*) - 1)::double / ({top}::double / {1 << BITS}::double) end)"
+    return f"(case when coalesce({top}, {1 << BITS}) = {1 << BITS} then count(*)::double else (count(*) - 1)::double / ({top}::double / {1 << BITS}::double) end)"
