@@ -27,9 +27,10 @@ import regex
 import tokenizers
 from pyspark.sql import DataFrame
 
-NO_RANK = np.int64(2**62)
-CACHED_CHUNKS = 300_000
-CACHED_LETTERS = 64
+from .common import slices_of
+
+NO_RANK = np.int32(2**31 - 1)
+SLICE = 4_000_000
 #: Beyond Latin letters and general punctuation, Unicode tables of different versions may tell letters apart differently.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 UNUSUAL = re.compile("[^\x00-\x1b\x20-\u024f\u2010-\u2027\u2030-\u205e\u20ac]")
@@ -42,6 +43,12 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in plain else chr(next(free)) for b in range(256)]
 
 
+def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, .., for length[0] numbers, then the same from start[1], and so on."""
+    ends = np.cumsum(length)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - ends + length, length)
+
+
 class WordBpe:
     """A vocabulary with word ends, read from a tokenizer file: lower case, white space dropped, byte-level symbols."""
 
@@ -53,18 +60,20 @@ class WordBpe:
         self.suffix: str = model["end_of_word_suffix"] or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens: dict[int, str] = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
-        self.size = max(self.tokens) + 1
+        self.size = np.uint32(max(self.tokens) + 1)
         alphabet = byte_alphabet()
-        self.inner = np.array([vocab[c] for c in alphabet], dtype=np.int64)
-        self.last = np.array([vocab[c + self.suffix] for c in alphabet], dtype=np.int64)
+        self.inner = np.array([vocab[c] for c in alphabet], dtype=np.uint32)
+        self.last = np.array([vocab[c + self.suffix] for c in alphabet], dtype=np.uint32)
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         left = np.array([vocab[a] for a, _ in pairs], dtype=np.int64)
         right = np.array([vocab[b] for _, b in pairs], dtype=np.int64)
         made = np.array([vocab[a + b] for a, b in pairs], dtype=np.int64)
-        keys = left * self.size + right
+        keys = left * int(self.size) + right
         order = np.argsort(keys, kind="stable")
-        self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), made[order]
-        born = np.full(self.size, -1, dtype=np.int64)
+        if self.size >= 1 << 16:
+            raise ValueError("pair keys must fit 32 bits")
+        self.keys, self.ranks, self.made = keys[order].astype(np.uint32), order.astype(np.int32), made[order].astype(np.uint32)
+        born = np.full(int(self.size), -1, dtype=np.int64)
         np.maximum.at(born, made, np.arange(len(made)))
         self.all_at_once = bool((np.arange(len(made)) > np.maximum(born[left], born[right])).all())
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
@@ -72,9 +81,8 @@ class WordBpe:
         self.exact_normal = tokenizers.Tokenizer.from_file(path).normalizer
         self.exact_split = tokenizers.pre_tokenizers.Split(tokenizers.Regex(split["pattern"]["Regex"]), "removed", invert=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.numbers = {i: str(i) for i in self.tokens}
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.said_cache: dict[str, tuple[tuple[int, ...], str, str]] = {}
+        self.as_number = np.array([str(i) for i in range(int(self.size))], dtype=object)
+        self.as_token = np.array([self.tokens.get(i, "") for i in range(int(self.size))], dtype=object)
 
     def normal(self, text: str) -> str:
         """NFC, then every character's lower case on its own (a final sigma is not special)."""
@@ -99,17 +107,17 @@ class WordBpe:
         found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[found] == key, self.ranks[found], NO_RANK), self.made[found]
 
-    def merge_words(self, words: list[str]) -> list[tuple[int, ...]]:
-        """Ids of each word (no white space, no special tokens inside). Ranks are kept between rounds; only pairs that touch a
-        merged symbol are looked up again."""
+    def merge_flat(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, start, length): the ids of word w are ids[start[w] : start[w] + length[w]]. Words hold no white space and no special
+        tokens. Ranks are kept between rounds; only pairs that touch a merged symbol are looked up again."""
         raw = [w.encode("utf-8") for w in words]
         sizes = np.array([len(b) for b in raw], dtype=np.int64)
         data = np.frombuffer(b"".join(raw), dtype=np.uint8)
-        sym, word = self.inner[data], np.repeat(np.arange(len(raw)), sizes)
+        sym, word = self.inner[data], np.repeat(np.arange(len(raw), dtype=np.int32), sizes)
         ends = np.cumsum(sizes)[sizes > 0] - 1
         sym[ends] = self.last[data[ends]]
-        out: list[tuple[int, ...]] = [()] * len(raw)
-        rank, made = self.ranks_at(sym * self.size + np.append(sym[1:], 0))
+        start, length_of, pieces, total = np.zeros(len(raw), dtype=np.int64), np.zeros(len(raw), dtype=np.int64), [np.zeros(0, np.uint32)], 0
+        rank, made = self.ranks_at(sym * self.size + np.append(sym[1:], sym[:1]))
         rank[ends] = NO_RANK
         while len(sym):
             first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
@@ -117,11 +125,13 @@ class WordBpe:
             lowest = np.minimum.reduceat(rank, first)
             done = lowest == NO_RANK
             if done.any():
-                ended = np.repeat(done, length)
-                flat, at = sym[ended].tolist(), np.append(0, np.cumsum(length[done])).tolist()
-                for w, x, y in zip(word[first[done]].tolist(), at, at[1:], strict=False):
-                    out[w] = tuple(flat[x:y])
-                sym, word, rank, made = (x[~ended] for x in (sym, word, rank, made))
+                ended, n = np.repeat(done, length), length[done]
+                pieces.append(sym[ended])
+                at = word[first[done]]
+                start[at], length_of[at] = total + np.cumsum(n) - n, n
+                total += len(pieces[-1])
+                stay = ~ended
+                sym, word, rank, made = sym[stay], word[stay], rank[stay], made[stay]
                 length, lowest = length[~done], lowest[~done]
                 if not len(sym):
                     break
@@ -135,13 +145,17 @@ class WordBpe:
             sym[places] = made[places]
             stay = np.ones(len(sym), dtype=bool)
             stay[places + 1] = False
-            now = np.cumsum(stay)[places] - 1
-            sym, word, rank, made = (x[stay] for x in (sym, word, rank, made))
-            touched = np.union1d(now, now[now > 0] - 1)
+            now = places - np.arange(len(places))
+            sym, word, rank, made = sym[stay], word[stay], rank[stay], made[stay]
+            touched = np.concatenate([now, now[now > 0] - 1])
             after = np.minimum(touched + 1, len(sym) - 1)
             rank[touched], made[touched] = self.ranks_at(sym[touched] * self.size + sym[after])
             rank[touched[(word[touched] != word[after]) | (after == touched)]] = NO_RANK
-        return out
+        return np.concatenate(pieces), start, length_of
+
+    def merge_words(self, words: list[str]) -> list[tuple[int, ...]]:
+        ids, start, length = self.merge_flat(words)
+        return [tuple(ids[a : a + n].tolist()) for a, n in zip(start.tolist(), length.tolist(), strict=True)]
 
     def chunks(self, text: str) -> list[str]:
         """Stretches between white space, raw; no word spans two of them. Special tokens stand on their own. A text with
@@ -160,32 +174,35 @@ class WordBpe:
         lowered = self.normal(joined).split("\n")
         return [[c] if c.isalpha() else self.word.findall(c) for c in lowered]
 
-    def learn(self, chunks: set[str]) -> dict[str, tuple[int, ...]]:
-        """Ids of every raw chunk: all different words are merged in one go."""
-        listed = sorted(chunks)
-        split = self.split_chunks(listed)
-        words = sorted({w for ws in split for w in ws if w not in self.special})
-        ids = dict(zip(words, self.merge_words(words), strict=True)) | {s: (i,) for s, i in self.special.items()}
-        return {c: ids[ws[0]] if len(ws) == 1 else tuple(i for w in ws for i in ids[w]) for c, ws in zip(listed, split, strict=True)}
-
-    def remembered(self, cache: dict, chunks: set[str], as_value) -> dict:
-        """as_value(ids) of every chunk. Short chunks are remembered for later batches, within bounds."""
-        known = {c: cache[c] for c in chunks if c in cache}
-        made = {c: as_value(x) for c, x in self.learn(chunks - known.keys()).items()}
-        if len(cache) + len(made) > CACHED_CHUNKS:
-            cache.clear()
-        cache.update((c, x) for c, x in made.items() if len(c) <= CACHED_LETTERS and len(cache) < CACHED_CHUNKS)
-        return known | made
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, edges): the ids of text i are ids[edges[i] : edges[i + 1]]. Different chunks are split into words once, different words are merged
+        once, all in one go; the texts' ids are then gathered from these."""
+        number: dict[str, int] = {}
+        listed = [[number.setdefault(c, len(number)) for c in self.chunks(t)] for t in texts]
+        n_chunks = np.array([len(x) for x in listed], dtype=np.int64)
+        in_text = np.fromiter(chain.from_iterable(listed), np.int64, int(n_chunks.sum()))
+        split = self.split_chunks(list(number))
+        n_words = np.array([len(x) for x in split], dtype=np.int64)
+        known: dict[str, int] = {}
+        in_chunk = np.array([known.setdefault(w, len(known)) for ws in split for w in ws], dtype=np.int64)
+        own = [s for s in self.special if s in known]
+        ids, start, length = self.merge_flat(["" if w in self.special else w for w in known] if own else list(known))
+        for i, s in enumerate(own):
+            start[known[s]], length[known[s]] = len(ids) + i, 1
+        ids = np.append(ids, [self.special[s] for s in own]).astype(np.int32)
+        # tokens of each chunk, then of each text
+        of_chunk = ids[ranges(start[in_chunk], length[in_chunk])]
+        edge = np.concatenate([[0], np.cumsum(length[in_chunk])])[np.concatenate([[0], np.cumsum(n_words)])]
+        size = np.diff(edge)[in_text]
+        flat = of_chunk[ranges(edge[:-1][in_text], size)]
+        return flat, np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(n_chunks)])]
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
-        listed = [self.chunks(t) for t in texts]
-        ids = self.remembered(self.cache, set().union(*listed), lambda x: x)
-        return [[i for c in cs for i in ids[c]] for cs in listed]
-
-    def said(self, ids: tuple[int, ...]) -> tuple[tuple[int, ...], str, str]:
-        return ids, " ".join(map(self.numbers.__getitem__, ids)), " ".join(map(self.tokens.__getitem__, ids))
+        flat, edges = self.encode_flat(texts)
+        ids, at = flat.tolist(), edges.tolist()
+        return [ids[a:b] for a, b in zip(at, at[1:], strict=False)]
 
-    def decode(self, ids) -> str:
+    def decode(self, ids: list[int]) -> str:
         """The tokens' strings joined by spaces; special tokens are kept."""
         return " ".join(map(self.tokens.__getitem__, ids))
 
@@ -195,21 +212,13 @@ def load(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-def in_slices(texts: list[str], limit: int = 4_000_000) -> Iterator[list[str]]:
-    from .common import slices_by_bytes
-
-    for a, b in slices_by_bytes([len(t) for t in texts], limit):
-        yield texts[a:b]
-
-
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids array<int>: one row per document. A text is encoded whole."""
 
     def run(batches):
         bpe = load(path)
-        for b in batches:
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            ids = [x for part in in_slices(texts) for x in bpe.encode_batch(part)]
+        for b in slices_of(batches, SLICE):
+            ids = bpe.encode_batch([t or "" for t in b.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
@@ -238,24 +247,14 @@ def round_trip_digest(docs: DataFrame, path: str, with_ids: bool = False, keep:
 
     def run(batches):
         bpe = load(path)
-        for b in batches:
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            n, coded, decoded, flat = [], [], [], []
-            for part in in_slices(texts):
-                listed = [bpe.chunks(t) for t in part]
-                known = bpe.remembered(bpe.said_cache, set().union(*listed), bpe.said)
-                for cs in listed:
-                    parts = [known[c] for c in cs]
-                    n.append(sum([len(x[0]) for x in parts]))
-                    coded.append(hashlib.sha256(" ".join([x[1] for x in parts]).encode()).hexdigest())
-                    decoded.append(hashlib.sha256(" ".join([x[2] for x in parts]).encode()).hexdigest())
-                    if with_ids:
-                        flat.append(np.fromiter(chain.from_iterable([x[0] for x in parts]), np.int32, n[-1]))
+        for b in slices_of(batches, SLICE):
+            flat, edges = bpe.encode_flat([t or "" for t in b.column("text").to_pylist()])
+            at = edges.tolist()
+            digest = lambda said, at=at: [hashlib.sha256(" ".join(said[x:y]).encode()).hexdigest() for x, y in zip(at, at[1:], strict=False)]
+            n, coded, decoded = np.diff(edges), digest(bpe.as_number[flat].tolist()), digest(bpe.as_token[flat].tolist())
             cols = [b.column("doc_id").cast(pa.int64()), *(b.column(c) for c in keep), *(pa.array(c, f[1]) for c, f in zip((n, coded, decoded), DIGEST, strict=True))]
             if with_ids:
-                edge = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
-                cols.append(pa.ListArray.from_arrays(edge, pa.array(np.concatenate([*flat, np.zeros(0, np.int32)]))))
+                cols.append(pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(flat)))
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", *keep, *(f[0] for f in fields)])
-
     kinds = ["doc_id long", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), *(f"{f[0]} {f[2]}" for f in fields)]
     return docs.select("doc_id", "text", *keep).mapInArrow(run, ", ".join(kinds))

@@ -6,6 +6,8 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +57,14 @@ def slices_by_bytes(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
+def slices_of(batches, limit: int, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``limit`` bytes of text at most (a longer text stands alone), so that what Python holds at once is bounded."""
+    for b in batches:
+        sizes = pc.fill_null(pc.binary_length(b.column(column)), 0).to_pylist()
+        for lo, hi in slices_by_bytes([n + 64 for n in sizes], limit):
+            yield b.slice(lo, hi - lo)
+
+
 def flat_bytes(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """All bytes in one array, and where each item begins (one more entry for the end)."""
     starts = np.zeros(len(blobs) + 1, dtype=np.int64)
