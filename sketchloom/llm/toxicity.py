@@ -22,16 +22,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fit_logistic, fold_of, labelled_sample, sigmoid, slices_by_bytes
+from .common import fit_logistic, fold_of, labelled_sample, sigmoid, slices_of
 
-PER_CLASS = {0: 3000, 1: 1500}
+PER_CLASS = {0: 2000, 1: 1200}
 CHAIN = 64
 MARKS = ".,!?;:|*#%&$\"'()[]{}<>-_/\\"
-CACHED = 300_000
+CACHED = 150_000
+SLICE = 2_000_000
 TELLING_CHANCE = 1e-7
 TELLING_SHARE = 0.95
 LEAST_SEEN = 3
-MOST_CHAINS = 6_000
+MOST_CHAINS = 4_000
 ROUNDS = 100
 WORD = re.compile(r"\S+")
 
@@ -162,6 +163,7 @@ def fit(sample: list[tuple[str, int]]) -> Field:
         for j, f in enumerate(names[w]):
             if often[f] >= LEAST_SEEN:
                 table[w, j] = feature.setdefault(f, len(feature) + 1)
+    del often, names
     size, nw = len(feature) + 1, len(vocabulary) + 1
     own = table[words[at]]  # (places, chains, 5)
     first, last = np.zeros_like(valid), np.zeros_like(valid)
@@ -250,15 +252,13 @@ def tag(docs: DataFrame, model: Field) -> DataFrame:
 
     def run(batches):
         tagger = Tagger(model)
-        for b in batches:
+        for b in slices_of(batches, SLICE):
             texts = [t or "" for t in b.column("text").to_pylist()]
-            score, spans = [], []
-            for lo, hi in slices_by_bytes([len(t) for t in texts], 2_000_000):
-                found = tagger(texts[lo:hi])
-                score += sigmoid(model.slope * evidence(found) + model.intercept).tolist()
-                for text, (_, p) in zip(texts[lo:hi], found, strict=True):
-                    hot = p > 0.5
-                    spans.append([{"start": m.start(), "end": m.end(), "p": float(q)} for m, q in zip(WORD.finditer(text), p, strict=True) if q > 0.5] if hot.any() else [])
+            found = tagger(texts)
+            score = sigmoid(model.slope * evidence(found) + model.intercept)
+            spans = []
+            for text, (_, p) in zip(texts, found, strict=True):
+                spans.append([{"start": m.start(), "end": m.end(), "p": float(q)} for m, q in zip(WORD.finditer(text), p, strict=True) if q > 0.5] if (p > 0.5).any() else [])
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(score, pa.float64()), pa.array(spans, SPANS)], ["doc_id", "score", "spans"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, spans array<struct<start:int,end:int,p:double>>")
@@ -285,11 +285,8 @@ def clean_only(docs: DataFrame, model: Field, threshold: float = 0.3) -> DataFra
 
     def run(batches):
         tagger = Tagger(model)
-        for b in batches:
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            keep = []
-            for lo, hi in slices_by_bytes([len(t) for t in texts], 2_000_000):
-                keep += (sigmoid(model.slope * evidence(tagger(texts[lo:hi])) + model.intercept) < threshold).tolist()
-            yield b.filter(pa.array(keep, pa.bool_()))
+        for b in slices_of(batches, SLICE):
+            found = tagger([t or "" for t in b.column("text").to_pylist()])
+            yield b.filter(pa.array(sigmoid(model.slope * evidence(found) + model.intercept) < threshold, pa.bool_()))
 
     return docs.select(*cols).mapInArrow(run, docs.schema)
