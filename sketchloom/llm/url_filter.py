@@ -115,7 +115,7 @@ def judge_urls(pages: DataFrame, rules: list[Rule], how: LinkRank = LinkRank())
     )
     seeds = (
         hosts.where("blocked > 0 or allowed > 0")
-        .select("host", F.expr("stack(2, 'trust', allowed / (allowed + blocked), 'distrust', blocked / (allowed + blocked))").alias("kind", "part"))
+        .select("host", F.expr("stack(2, 'trust', try_divide(allowed, allowed + blocked), 'distrust', try_divide(blocked, allowed + blocked))").alias("kind", "part"))
         .where("part > 0")
     )
     edges = cut(host_edges(read), "links")
