@@ -106,17 +106,23 @@ def hex_quick(rule: SecretRule) -> SecretRule:
     return SecretRule(rule.kind, rule.regex[:-1] + "{%d,}" % rule.least, rule.group, rule.least, rule.clauses)
 
 
-def find_secrets(docs: DataFrame, rules: list[SecretRule] = RULES) -> DataFrame:
-    """doc_id, text, spans array<struct<start, ord, kind, end>> ordered by start, then by the rule's place in ``rules``."""
+def with_spans(keyed: DataFrame, docs: DataFrame, rules: list[SecretRule]) -> DataFrame:
+    """keyed (k_id, k_text, text and other columns) with spans array<struct<start, ord, kind, end>>, ordered by start, then by the rule's
+    place in ``rules``. A rule with a trigram query is verified on its candidates only."""
     rules = [hex_quick(r) if r.regex == "[0-9a-f]+" else r for r in rules]
-    keyed = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *text_key())
-    found = keyed.join(candidates(docs, rules), ["k_id", "k_text"], "left")
     none = F.array().cast("array<struct<start:int,ord:int,kind:string,end:int>>")
     parts = []
     for i, r in enumerate(rules):
         spans = spans_of(F.col("text"), r, i)
         parts.append(F.when(F.array_contains("kinds", r.kind), spans).otherwise(none) if r.query() else spans)
-    return found.select("doc_id", "text", F.array_sort(F.concat(*parts)).alias("spans"))
+    found = keyed.join(candidates(docs, rules), ["k_id", "k_text"], "left")
+    return found.withColumn("spans", F.array_sort(F.concat(*parts)))
+
+
+def find_secrets(docs: DataFrame, rules: list[SecretRule] = RULES) -> DataFrame:
+    """doc_id, text, spans, one row per document."""
+    keyed = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *text_key())
+    return with_spans(keyed, docs, rules).select("doc_id", "text", "spans")
 
 
 def said(spans: Column) -> Column:
@@ -127,15 +133,7 @@ def redact(docs: DataFrame, rules: list[SecretRule] = RULES) -> DataFrame:
     """docs with every found span replaced by ``[kind]`` (of overlapping spans the first one stands for all) and n_chars set
     anew where that column exists. All rows and columns stay; a null text stays null."""
     cols = docs.columns
-    keyed = docs.select(F.struct(*cols).alias("row"), *text_key(), "text")
-    rules = [hex_quick(r) if r.regex == "[0-9a-f]+" else r for r in rules]
-    found = keyed.join(candidates(docs, rules), ["k_id", "k_text"], "left")
-    none = F.array().cast("array<struct<start:int,ord:int,kind:string,end:int>>")
-    parts = []
-    for i, r in enumerate(rules):
-        spans = spans_of(F.col("text"), r, i)
-        parts.append(F.when(F.array_contains("kinds", r.kind), spans).otherwise(none) if r.query() else spans)
-    spans = F.array_sort(F.concat(*parts))
+    found = with_spans(docs.select(F.struct(*cols).alias("row"), *text_key(), "text"), docs, rules)
 
     def step(acc: Column, s: Column) -> Column:
         fresh = s["start"] >= acc["pos"]
@@ -144,7 +142,7 @@ def redact(docs: DataFrame, rules: list[SecretRule] = RULES) -> DataFrame:
 
     start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
     clean = F.aggregate("spans", start, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["pos"] + 1, F.length("text"))))
-    done = found.select("row", "text", spans.alias("spans")).select("row", F.when(F.size("spans") > 0, clean).otherwise(F.col("text")).alias("clean"))
+    done = found.select("row", F.when(F.size("spans") > 0, clean).otherwise(F.col("text")).alias("clean"))
     value = {"text": F.col("clean"), "n_chars": F.when(F.col("clean").isNull(), F.col("row")["n_chars"] if "n_chars" in cols else F.lit(None)).otherwise(F.length("clean").cast("long"))}
     return done.select(*[value.get(c, F.col("row")[c]).alias(c) for c in cols])
 

@@ -120,13 +120,12 @@ def judge_urls(pages: DataFrame, rules: list[Rule], how: LinkRank = LinkRank())
     )
     edges = cut(host_edges(read), "links")
     ranks = propagate(edges, seeds, how)
-    n_hosts = hosts.select("host").unionByName(edges.select(F.col("dst").alias("host"))).agg(F.count_distinct("host").alias("n_hosts"))
+    n_hosts = float(hosts.select("host").unionByName(edges.select(F.col("dst").alias("host"))).distinct().count())
     suspects = (
         ranks.where("distrust > 0")
-        .crossJoin(F.broadcast(n_hosts))  # one row
         .select(
             F.col("host"),
-            F.round(F.col("distrust") * F.col("n_hosts"), 6).alias("distrust"),
+            F.round(F.col("distrust") * F.lit(n_hosts), 6).alias("distrust"),
             F.round(F.col("distrust") / (F.col("distrust") + F.col("trust")), 6).alias("part"),
         )
     )
