@@ -19,8 +19,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-copies stays, the one with the smallest doc_id. Fingerprints are of five words' shingles."""
-    return simhash.one_of_each(docs, width=5)
+    """One document of each group of near-copies stays, the one with the smallest doc_id. Near: 0.8 or more alike on five-word shingles."""
+    return simhash.one_of_each(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,11 @@ pairs are spelled out; a variant has at most C(64, r/2) + ... distinct members (
 copies. Links are verified bit by bit. Components come from repeated minimum labels with pointer jumping, each round written
 to the shared folder.
 
+For a similarity threshold (``one_of_each``) 64 bits and two differing ones are too coarse: texts whose shingle sets are 0.8 alike differ
+in a sixth of their bits. There the fingerprint has 256 bits in bands of 32; in each band a text emits the variants with up to two of its LOW
+least certain bits flipped, the ones that an edit turns over first, so two texts meet if up to four of those differ. Rows of a variant are
+linked with its smallest and with their predecessor in fingerprint order, and every link is verified on all 256 bits.
+
 Equal texts fall together before anything is joined: a class is a distinct fingerprint with its smallest doc_id. A null text
 counts as empty; a text without words has fingerprint zero and is linked like any other. A null doc_id counts in its class
 but never names a component unless all ids there are null.
@@ -22,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, text_key
+from .common import cut, slices_of, text_key
 
 SEED = 42
 ROUNDS = 64
@@ -62,7 +67,8 @@ def links(classes: DataFrame, radius: int = 2) -> DataFrame:
     if radius % 2:
         raise ValueError("the radius must be even")
     variant = F.explode(F.transform(F.array(*map(F.lit, ball_masks(radius))), lambda m: F.col("fp").bitwiseXOR(m)))
-    met = classes.select("fp", variant.alias("variant")).groupBy("variant").agg(F.collect_list("fp").alias("fps"))
+    n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a row becomes many: spread them first
+    met = classes.select("fp").repartition(n, "fp").select("fp", variant.alias("variant")).groupBy("variant").agg(F.collect_list("fp").alias("fps"))
     star = met.where(F.size("fps") > 1).select(F.array_min("fps").alias("b"), F.explode("fps").alias("a"))
     return star.where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)).distinct()
 
@@ -102,13 +108,78 @@ def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFra
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFrame:
-    """docs with one row of each component kept: that of the smallest doc_id (null last; ties by text hash). All columns stay."""
+BITS, BAND, LOW, FAR = 256, 32, 6, 44
+
+
+def wide_simhash(text: str | None, width: int = 5) -> tuple[bytes, bytes]:
+    """256-bit fingerprint of shingles of ``width`` words, and per band the LOW bits whose counts are nearest to a half."""
+    words = (text or "").encode("utf-8").lower().split()
+    if not words:
+        return bytes(BITS // 8), bytes(range(LOW)) * (BITS // BAND)
+    parts = list(map(b" ".join, zip(*(words[i:] for i in range(width))))) if len(words) > width else [b" ".join(words)]  # noqa: B905
+    raw = b"".join([xxhash.xxh3_128_digest(p, SEED) for p in parts]), b"".join([xxhash.xxh3_128_digest(p, SEED + 1) for p in parts])
+    lean = np.concatenate([np.unpackbits(np.frombuffer(r, np.uint8).reshape(len(parts), 16), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for r in raw])
+    lean = 2 * lean - len(parts)
+    low = np.argsort(np.abs(lean).reshape(-1, BAND), axis=1, kind="stable")[:, :LOW].astype(np.uint8)
+    return np.packbits(lean > 0, bitorder="little").tobytes(), low.tobytes()
+
+
+def wide_fingerprints(docs: DataFrame, keys: tuple[str, ...], width: int = 5) -> DataFrame:
+    """The key columns (longs), fp binary(32) and low binary(48), one row per document."""
+
+    def run(batches):
+        for b in slices_of(batches, 4_000_000):
+            made = [wide_simhash(t, width) for t in b.column("text").to_pylist()]
+            cols = [pa.array([m[i] for m in made], pa.binary()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*(b.column(k).cast(pa.int64()) for k in keys), *cols], [*keys, "fp", "low"])
+
+    return docs.select(*keys, "text").mapInArrow(run, ", ".join([*(f"{k} long" for k in keys), "fp binary", "low binary"]))
+
+
+def band_variants(fp: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """(n, bands * variants) keys: the band's number above its 32 bits, with up to two of its least certain bits flipped."""
+    bands = fp.reshape(len(fp), -1).view("<u4").astype(np.int64)
+    one = np.int64(1) << low.reshape(len(fp), -1, LOW).astype(np.int64)
+    flips = [np.zeros_like(bands)] + [one[:, :, i] for i in range(LOW)] + [one[:, :, i] ^ one[:, :, j] for i, j in combinations(range(LOW), 2)]
+    keys = np.stack([bands ^ f for f in flips], axis=2) | (np.arange(bands.shape[1], dtype=np.int64) << BAND)[None, :, None]
+    return keys.reshape(len(fp), -1)
+
+
+def wide_links(classes: DataFrame) -> DataFrame:
+    """(a, b): verified links between classes (columns id, fp, low), by ids."""
+
+    def run(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, 5000):
+                part = b.slice(lo, 5000)
+                fp, low = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8).reshape(part.num_rows, -1) for c in ("fp", "low"))
+                keys = band_variants(fp, low)
+                edges = pa.array(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(edges, pa.array(keys.ravel()))], ["id", "variants"])
+
+    n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = classes.select("id", "fp", "low").repartition(n, "id").mapInArrow(run, "id long, variants array<long>")
+    met = spread.select("id", F.explode("variants").alias("variant"))
+    bucket = Window.partitionBy("variant").orderBy("id")
+    pairs = met.select("id", F.first("id").over(bucket).alias("head"), F.lag("id").over(bucket).alias("prev")).where("prev is not null")
+    asked = pairs.select(F.col("id").alias("a"), F.explode(F.array_distinct(F.array("head", "prev"))).alias("b")).groupBy("a", "b").agg(F.lit(1).alias("one"))
+    words = [F.conv(F.hex(F.substring("fp", 1 + 7 * i, 7 if i < 4 else 4)), 16, 10).cast("long").alias(f"w{i}") for i in range(5)]  # 7 bytes fit a long
+    side = lambda k: classes.select(F.col("id").alias(k), F.struct(*words).alias(f"f{k}"))
+    far = sum((F.bit_count(F.col("fa")[f"w{i}"].bitwiseXOR(F.col("fb")[f"w{i}"])) for i in range(5)), F.lit(0))
+    return asked.join(side("a"), "a").join(side("b"), "b").where(far <= FAR).select("a", "b")
+
+
+def one_of_each(docs: DataFrame, width: int = 5) -> DataFrame:
+    """docs with one row of each group of near copies (similarity of about 0.8 or more) kept: that of the smallest doc_id (null last; ties by text
+    hash). All columns stay."""
     cols = docs.columns
-    marked = cut(fingerprints(docs.select(*text_key(), "text"), width, ("k_id", "k_text")), "simhash")
+    marked = cut(wide_fingerprints(docs.select(*text_key(), "text"), ("k_id", "k_text"), width), "wide")
     first = F.struct((F.col("k_id") == -(2**63)).alias("no_id"), "k_id", "k_text")
-    classes = cut(marked.groupBy("fp").agg(F.min(first).alias("first")), "classes")
-    kept = class_labels(classes, radius).groupBy("label").agg(F.min("first").alias("first")).select("first.k_id", "first.k_text")
+    classes = marked.groupBy("fp").agg(F.min(first).alias("first"), F.min("low").alias("low"))
+    classes = cut(classes.select(F.xxhash64("fp").alias("id"), "fp", "low", "first"), "wide-classes")
+    labels = components(cut(wide_links(classes), "wide-links"))
+    linked = classes.join(labels.withColumnRenamed("node", "id"), "id", "left").select("first", F.coalesce("label", "id").alias("label"))
+    kept = linked.groupBy("label").agg(F.min("first").alias("first")).select("first.k_id", "first.k_text")
     rows = docs.select(F.struct(*cols).alias("row"), *text_key()).join(kept, ["k_id", "k_text"])
     copy = F.row_number().over(Window.partitionBy("k_id", "k_text").orderBy("k_text"))
     return rows.withColumn("copy", copy).where("copy = 1").select("row.*")

@@ -27,7 +27,7 @@ from .common import fit_logistic, fold_of, labelled_sample, sigmoid, slices_of
 PER_CLASS = {0: 2000, 1: 1200}
 CHAIN = 64
 MARKS = ".,!?;:|*#%&$\"'()[]{}<>-_/\\"
-CACHED = 150_000
+CACHED = 80_000
 SLICE = 2_000_000
 TELLING_CHANCE = 1e-7
 TELLING_SHARE = 0.95

@@ -88,3 +88,44 @@ def test_one_of_each(docs):
     assert kept.columns == frame.columns
     assert sorted(map(str, (r["doc_id"] for r in kept.collect()))) == sorted(["None", "0", "2", "5", "6", "7"])
     assert s.one_of_each(frame.where("false")).count() == 0
+
+
+def shingles(t, width=5):
+    w = t.lower().split()
+    return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))}
+
+
+def test_copies_of_a_given_similarity(docs):
+    """Edited copies with a similarity over 0.85 fall together, unrelated texts and halves of one text stay."""
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    rows, groups = [], 0
+    for g in range(30):
+        base = [word() for _ in range(rnd.choice([150, 300, 600]))]
+        rows.append((10 * g, " ".join(base)))
+        groups += 1
+        for k in range(1, 4):
+            copy = list(base)
+            for _ in range(max(1, len(base) // 100)):
+                copy[rnd.randrange(len(copy))] = word()
+            if len(shingles(" ".join(copy)) & shingles(rows[-k][1])) / len(shingles(" ".join(copy)) | shingles(rows[-k][1])) > 0.85:
+                rows.append((10 * g + k, " ".join(copy)))
+        half = base[: len(base) // 2] + [word() for _ in base[len(base) // 2 :]]
+        rows.append((10 * g + 9, " ".join(half)))
+        groups += 1
+    kept = {r["doc_id"] for r in s.one_of_each(docs(rows)).collect()}
+    assert len(rows) > 100 and {i for i, _ in rows if i % 10 in (0, 9)} <= kept
+    assert len(kept) <= groups + 2
+
+
+def test_band_variants():
+    import numpy as np
+
+    fp, low = (np.frombuffer(x, np.uint8).reshape(1, -1) for x in s.wide_simhash("one two three four five six seven"))
+    keys = s.band_variants(fp, low)[0].tolist()
+    assert len(keys) == len(set(keys)) == 8 * 22
+    whole = int.from_bytes(fp.tobytes(), "little")
+    for k in keys:
+        band = k >> 32
+        flipped = (k & 0xFFFFFFFF) ^ (whole >> (32 * band) & 0xFFFFFFFF)
+        assert bin(flipped).count("1") <= 2 and all(i in low[0, 6 * band : 6 * band + 6] for i in range(32) if flipped >> i & 1)
