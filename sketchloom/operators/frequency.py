@@ -84,6 +84,9 @@ def conservative_update(cells: list[int], count: int) -> list[int]:
     return [max(c, goal) for c in cells]
 
 
+#: Groups of the first round of merging.
+FAN_IN = 64
+
 # -- frequent items -------------------------------------------------------------------------------------------------------
 
 
@@ -96,8 +99,8 @@ def trim(counts: dict[str, int], size: int) -> tuple[dict[str, int], int]:
 
 
 def frequent_build(df: DataFrame, item: str, spec: FrequentSpec, weight: str | None = None) -> DataFrame:
-    """(item, n, offset, total): a Misra-Gries summary. Tasks summarise their rows as they stream by, at most max_map_size counters each; a
-    tree of merges brings these down to one. n <= true count <= n + offset."""
+    """(item, n, offset, total): a Misra-Gries summary. Tasks summarise their rows as they stream by, at most max_map_size counters each; two
+    rounds of merges bring these down to one. n <= true count <= n + offset."""
     size = spec.max_map_size
     kinds = "part long, item string, n long, cut long, total long"
 
@@ -132,11 +135,8 @@ def frequent_build(df: DataFrame, item: str, spec: FrequentSpec, weight: str | N
 
     n = F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
     parts = df.where(F.col(item).isNotNull()).select(F.col(item).cast("string").alias("item"), n.alias("n")).mapInPandas(local, kinds)
-    left = max(1, df.rdd.getNumPartitions())
-    while left > 1:  # groups of 16 summaries of bounded size
-        left = -(-left // 16)
-        key = F.lit(0) if left == 1 else F.col("part") % left
-        parts = parts.groupBy(key.alias("g")).applyInPandas(lambda k, b: merge(k, b), kinds)
+    for groups in (FAN_IN, 1):  # summaries of bounded size, first by task number, then all that is left
+        parts = parts.groupBy((F.col("part") % groups).alias("g")).applyInPandas(lambda k, b: merge(k, b), kinds)
     total = F.sum("cut").over(_all()), F.sum("total").over(_all())
     return parts.select("item", "n", total[0].alias("offset"), total[1].alias("total")).where("item is not null")
 
