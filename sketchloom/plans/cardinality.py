@@ -186,3 +186,32 @@ def native_hll_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = c.native_hll(rows, "l_orderkey", ["l_returnflag"]).join(c.exact_distinct(rows, "l_orderkey", ["l_returnflag"]), "l_returnflag")
     within = F.abs(F.hll_sketch_estimate("sketch") - F.col("exact")) <= 0.05 * F.col("exact")
     return both.select("l_returnflag", "exact", within.alias("within_bound"))
+
+
+@query("select count(distinct o_custkey) as exact, true as within_bound from orders")
+def native_hll_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly sketches of Spark's aggregate united into one."""
+    rows = _months(spark, sf_dir)
+    union = c.native_hll(rows, "o_custkey", ["month"]).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("est"))
+    both = union.crossJoin(c.exact_distinct(rows, "o_custkey", []))  # one row each
+    return both.select("exact", (F.abs(F.col("est") - F.col("exact")) <= 0.05 * F.col("exact")).alias("within_bound"))
+
+
+@query("select approx.exact as exact, true as within_bound from (select count(distinct l_partkey) as exact from lineitem) approx")
+def native_hllpp_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem")
+    both = rows.agg(F.approx_count_distinct("l_partkey", 0.02).alias("est"), F.count_distinct("l_partkey").alias("exact"))
+    return both.select("exact", (F.abs(F.col("est") - F.col("exact")) <= 0.08 * F.col("exact")).alias("within_bound"))
+
+
+@query(f"""select idx, rank, count(*) as registers from (select idx % 4 as idx, rank from ({q.hll_registers("orders", "o_custkey", "", 8)})) group by all""")
+def hll_register_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = c.hll_build(table(spark, sf_dir, "orders"), "o_custkey", [], HllSpec(8))
+    return state.groupBy((F.col("idx") % 4).cast("bigint").alias("idx"), F.col("rank").cast("bigint").alias("rank")).agg(F.count(F.lit(1)).alias("registers"))
+
+
+@query(f"""select sum(bit_count(b))::bigint as coupons, count(*) as rows_used, max(bit_count(b))::bigint as most from ({_cpc_rows("orders", "o_custkey", 10)})""")
+def cpc_bit_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = c.cpc_build(table(spark, sf_dir, "orders"), "o_custkey", [], CpcSpec(10))
+    n = F.bit_count("bits").cast("bigint")
+    return state.agg(F.sum(n).alias("coupons"), F.count(F.lit(1)).alias("rows_used"), F.max(n).alias("most"))

@@ -86,3 +86,21 @@ def varopt_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     sd = (F.col("upper") - F.col("estimate")) / F.lit(1.96)
     both = exact.crossJoin(est)  # one row each
     return both.select(F.round(F.col("exact") / F.lit(1e6), 2).alias("exact_f_millions"), (F.abs(F.col("exact") - F.col("estimate")) <= sd * 3).alias("within_three_sd"))
+
+
+@query(f"select o_orderkey, o_totalprice from orders where o_totalprice > 0 order by ln({q.unit('o_orderkey', '5:')}) / o_totalprice desc, o_orderkey limit 200")
+def weighted_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weighted samples of two parts merge into the sample of the whole."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    parts = [s.weighted_sample(rows.where(w), "o_orderkey", "o_totalprice", SPEC, seed=5) for w in ("o_orderkey % 4 = 0", "o_orderkey % 4 <> 0")]
+    return s.merge_weighted(*parts, "o_orderkey", SPEC).drop("sample_key")
+
+
+@query(f"select round(sum(w) / 1000000, 0) as total_millions, true as total_kept from {_W}")
+def varopt_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The adjusted weights of a merged sample add up to the total of both parts."""
+    rows = _skewed(spark, sf_dir)
+    parts = [s.varopt_sample(rows.where(w), "o_orderkey", "w", SampleSpec(400), seed=2) for w in ("o_orderkey % 2 = 0", "o_orderkey % 2 = 1")]
+    merged = s.varopt_merge(*[p.drop("w") for p in parts], "o_orderkey", SampleSpec(400))
+    both = merged.agg(F.sum("adjusted").alias("a")).crossJoin(rows.agg(F.sum("w").alias("t")))  # one row each
+    return both.select(F.round(F.col("t") / F.lit(1e6), 0).alias("total_millions"), (F.abs(F.col("a") - F.col("t")) <= 1e-6 * F.col("t")).alias("total_kept"))

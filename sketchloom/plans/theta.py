@@ -178,3 +178,21 @@ def aod_last_order_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 def aod_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = _aod(spark, sf_dir, "o_orderstatus = 'F'"), _aod(spark, sf_dir, "o_orderstatus <> 'F'")
     return t.aod_union(a, b, [], AOD).select("h", F.col("values")[0].alias("price"))
+
+
+@query(
+    """select (select count(*) from (select l_partkey from lineitem where l_returnflag = 'A' intersect select l_partkey from lineitem where l_returnflag = 'R')) as both_flags,
+    (select count(*) from (select l_partkey from lineitem where l_returnflag = 'A' except select l_partkey from lineitem where l_returnflag = 'R')) as only_first, true as within_bound"""
+)
+def native_theta_set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intersection and difference of Spark's own sketches against exact set operations; the error is bounded by the union's size."""
+    rows = table(spark, sf_dir, "lineitem")
+    sides = [rows.where(F.col("l_returnflag") == f) for f in ("A", "R")]
+    pair = t.native_theta(sides[0], "l_partkey", []).withColumnRenamed("sketch", "a").crossJoin(t.native_theta(sides[1], "l_partkey", []).withColumnRenamed("sketch", "b"))  # one row each
+    est = pair.select(
+        F.theta_sketch_estimate(F.theta_intersection("a", "b")).alias("i"), F.theta_sketch_estimate(F.theta_difference("a", "b")).alias("d"), F.theta_sketch_estimate(F.theta_union("a", "b")).alias("u")
+    )
+    first, second = (s.select("l_partkey").distinct() for s in sides)
+    counts = first.join(second.withColumn("in", F.lit(1)), "l_partkey", "left").agg(F.count("in").alias("both_flags"), (F.count(F.lit(1)) - F.count("in")).alias("only_first"))
+    near = (F.abs(F.col("i") - F.col("both_flags")) <= 0.1 * F.col("u")) & (F.abs(F.col("d") - F.col("only_first")) <= 0.1 * F.col("u"))
+    return counts.crossJoin(est).select("both_flags", "only_first", near.alias("within_bound"))  # one row each
