@@ -62,4 +62,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_bpe, op2_url_filter, op3_secret_scan, op4_mixing, op5_media, op6_quality, op7_prefix_hash, op8_simhash, op9_repeats, op10_toxicity)
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_url_filter": url_filter.duckdb_sql()}
+ORACLE_SQL: dict[str, str] = {"op2_url_filter": url_filter.duckdb_sql(), "op3_secret_scan": secret_scan.duckdb_sql()}

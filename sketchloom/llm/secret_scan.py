@@ -156,3 +156,19 @@ def secret_digest(docs: DataFrame) -> DataFrame:
     return found.select(
         "doc_id", *[count(r.kind) for r in BASE], F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans")
     )
+
+
+def duckdb_sql(rules: list[SecretRule] = RULES) -> str:
+    """The columns of query op3 as one DuckDB statement over ``documents``: the text between the matches gives their places, as here, and every rule
+    scans every text."""
+    parts = []
+    for i, r in enumerate(rules):
+        regex = r.regex.replace(r"\x22", '"').replace(r"\x27", "''").replace(r"\x20", " ")
+        cut, hit, part = f"string_split_regex(t, '{regex}')", f"regexp_extract_all(t, '{regex}', 0)", f"regexp_extract_all(t, '{regex}', {r.group})"
+        parts.append(f"""select rid, {i} as ord, '{r.kind}' as kind, list_sum(list_transform(g[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:k - 1], lambda x: length(x))), 0) as s, length(h[k]) as n
+          from (select rid, g, h, p, unnest(range(1, len(h) + 1)) as k from (select rid, {cut} as g, {hit} as h, {part} as p from d where regexp_matches(t, '{regex}'))) where length(p[k]) >= {r.least}""")
+    said = "string_agg(kind || ':' || s::bigint::varchar || ':' || (s + n)::bigint::varchar, ',' order by s, ord)"
+    counts = ", ".join(f"coalesce(n_{r.kind}, 0) as n_{r.kind}" for r in BASE)
+    return f"""with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as t from documents), m as ({" union all ".join(parts)}),
+      a as (select rid, {", ".join(f"count(*) filter (kind = '{r.kind}') as n_{r.kind}" for r in BASE)}, {said} filter (ord < {len(BASE)}) as base, {said} as spans from m group by 1)
+      select doc_id, {counts}, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from d left join a using (rid)"""

@@ -90,3 +90,13 @@ def test_regexes_compile(spark, rule):
     from pyspark.sql import functions as F
 
     assert spark.range(1).select(F.lit("x").rlike(rule.regex)).first()[0] is False
+
+
+def test_equals_sql(spark, sf_dir):
+    from sketchloom.llm.queries import op3_secret_scan
+    from sketchloom.llm.secret_scan import duckdb_sql
+
+    from ..oracle import connection, rows
+
+    for folder in (sf_dir, "/root/testdata/sf0.01"):
+        assert rows(op3_secret_scan(spark, folder).toPandas()) == rows(connection(folder).sql(duckdb_sql()).df())
