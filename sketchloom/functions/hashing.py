@@ -53,6 +53,11 @@ class Hasher:
         return (self.h60(item, salt).cast("double") + F.lit(0.5)) / F.lit(SPAN)
 
 
+def present(df, item: str | Column):
+    """df without the rows whose item is null. Asked of the item, not of its hash, so that the hash is computed once."""
+    return df.where(as_column(item).isNotNull())
+
+
 PORTABLE = Hasher("portable")
 FAST = Hasher("fast")
 

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import BITS, PORTABLE, Hasher, as_column, bit_length, power2
+from ..functions.hashing import BITS, PORTABLE, Hasher, as_column, bit_length, power2, present
 from ..functions.spec import CpcSpec, HllSpec, HybridSpec, LinearSpec, require
 
 # Thresholds of linear counting for p = 4 to 18.
@@ -39,7 +39,7 @@ def d(x: float) -> Column:
 def hll_coupons(df: DataFrame, item: str | Column, keys: list[str], spec: HllSpec = HllSpec(), hasher: Hasher = PORTABLE) -> DataFrame:
     """(keys.., idx, rank): the first p bits of the hash, and the position of the first one in the rest."""
     rest = BITS - spec.p
-    hashed = df.select(*keys, hasher.h60(item).alias("h")).where("h is not null")
+    hashed = present(df, item).select(*keys, hasher.h60(item).alias("h"))
     low = F.col("h").bitwiseAND((1 << rest) - 1)
     return hashed.select(*keys, F.shiftright("h", rest).cast("int").alias("idx"), (F.lit(rest + 1) - bit_length(low)).cast("int").alias("rank"))
 
@@ -137,7 +137,7 @@ def native_hll(df: DataFrame, item: str, keys: list[str], lg_k: int = 12) -> Dat
 
 def cpc_build(df: DataFrame, item: str | Column, keys: list[str], spec: CpcSpec = CpcSpec(), hasher: Hasher = PORTABLE) -> DataFrame:
     """(keys.., row, bits): the coupons (row, column) of each row as one bit mask."""
-    h = df.select(*keys, hasher.h60(item).alias("h"), hasher.h60(item, "cpc:").alias("g")).where("h is not null")
+    h = present(df, item).select(*keys, hasher.h60(item).alias("h"), hasher.h60(item, "cpc:").alias("g"))
     col = (F.lit(BITS) - bit_length(F.col("g"))).cast("int")
     coupons = h.select(*keys, F.col("h").bitwiseAND(spec.k - 1).cast("int").alias("row"), F.expr("shiftleft(1L, 0)").alias("one"), col.alias("c"))
     return cpc_combine(coupons.select(*keys, "row", F.call_function("shiftleft", F.col("one"), F.col("c")).alias("bits")), keys)
@@ -208,7 +208,7 @@ def cpc_estimate(state: DataFrame, keys: list[str], spec: CpcSpec = CpcSpec()) -
 
 def linear_build(df: DataFrame, item: str | Column, keys: list[str], spec: LinearSpec, hasher: Hasher = PORTABLE) -> DataFrame:
     """(keys.., bit): the distinct bits set."""
-    return df.select(*keys, (hasher.h60(item) % spec.m).cast("int").alias("bit")).where("bit is not null").distinct()
+    return present(df, item).select(*keys, (hasher.h60(item) % spec.m).cast("int").alias("bit")).distinct()
 
 
 def linear_merge(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -230,7 +230,7 @@ def hybrid_estimate(df: DataFrame, item: str | Column, keys: list[str], spec: Hy
     """keys.., mode, estimate. Both states are kept, so nothing seen before the switch is lost: the linear count answers while its rule
     holds, the HLL beyond it. One pass over the input: both slots are read off the same rows."""
     rest = BITS - spec.hll.p
-    h = df.select(*keys, hasher.h60(item).alias("h")).where("h is not null")
+    h = present(df, item).select(*keys, hasher.h60(item).alias("h"))
     rank = (F.lit(rest + 1) - bit_length(F.col("h").bitwiseAND((1 << rest) - 1))).cast("int")
     both = h.select(
         *keys,

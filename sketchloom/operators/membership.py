@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import PORTABLE, Hasher
+from ..functions.hashing import PORTABLE, Hasher, present
 from ..functions.spec import BloomSpec, require
 from .cardinality import d
 
@@ -26,7 +26,7 @@ def positions(item: str | Column, spec: BloomSpec, hasher: Hasher = PORTABLE) ->
 
 
 def bloom_build(df: DataFrame, item: str | Column, keys: list[str], spec: BloomSpec, hasher: Hasher = PORTABLE) -> DataFrame:
-    return df.select(*keys, F.explode(positions(item, spec, hasher)).alias("pos")).where("pos is not null").distinct()
+    return present(df, item).select(*keys, F.explode(positions(item, spec, hasher)).alias("pos")).distinct()
 
 
 def bloom_merge(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -69,8 +69,8 @@ def expected_fpp(spec: BloomSpec, n: int) -> float:
 
 def counting_build(df: DataFrame, item: str | Column, keys: list[str], spec: BloomSpec, hasher: Hasher = PORTABLE, delta: Column | None = None) -> DataFrame:
     """(keys.., pos, n): counters, saturating at max_count on reading; ``delta`` is +1 to add (default) and -1 to remove."""
-    rows = df.select(*keys, F.explode(positions(item, spec, hasher)).alias("pos"), (F.lit(1) if delta is None else delta).cast("bigint").alias("n"))
-    return counting_merge(rows.where("pos is not null"), keys)
+    rows = present(df, item).select(*keys, F.explode(positions(item, spec, hasher)).alias("pos"), (F.lit(1) if delta is None else delta).cast("bigint").alias("n"))
+    return counting_merge(rows, keys)
 
 
 def counting_merge(states: DataFrame, keys: list[str]) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import BITS, PORTABLE, SPAN, Hasher, as_column
+from ..functions.hashing import BITS, PORTABLE, SPAN, Hasher, as_column, present
 from ..functions.spec import AodSpec, ThetaSpec
 from .cardinality import d
 
@@ -44,7 +44,7 @@ def _build(hashed: DataFrame, keys: list[str], k: int, aggs: list[Column], scree
 
 
 def theta_build(df: DataFrame, item: str | Column, keys: list[str], spec: ThetaSpec = ThetaSpec(), hasher: Hasher = PORTABLE, screen: bool = True) -> DataFrame:
-    hashed = df.select(*keys, hasher.h60(item).alias("h")).where("h is not null")
+    hashed = present(df, item).select(*keys, hasher.h60(item).alias("h"))
     return _build(hashed, keys, spec.nominal, [], screen)
 
 
@@ -96,7 +96,7 @@ def tuple_build(
 ) -> DataFrame:
     """summaries: name -> (sum | count | min | max, column). Every kept hash has its whole summary: all rows are aggregated per hash before any hash is let go."""
     values = [as_column(c).alias(f"_v{i}") for i, (_, c) in enumerate(summaries.values())]
-    hashed = df.select(*keys, hasher.h60(item).alias("h"), *values).where("h is not null")
+    hashed = present(df, item).select(*keys, hasher.h60(item).alias("h"), *values)
     make = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
     aggs = [make[how](f"_v{i}").alias(name) for i, (name, (how, _)) in enumerate(summaries.items())]
     return _build(hashed, keys, spec.nominal, aggs, True)
@@ -137,7 +137,7 @@ def aod_build(df: DataFrame, item: str | Column, values: list[str], order: str,
     if len(values) != spec.num_values:
         raise ValueError(f"{spec.num_values} values are expected, not {len(values)}")
     vector = F.array(*[F.col(v).cast("double") for v in values])
-    hashed = df.select(*keys, hasher.h60(item).alias("h"), vector.alias("_v"), F.col(order).alias("_o")).where("h is not null")
+    hashed = present(df, item).select(*keys, hasher.h60(item).alias("h"), vector.alias("_v"), F.col(order).alias("_o"))
     last = _screened(hashed, keys, spec.capacity).groupBy(*keys, "h").agg(F.max_by("_v", "_o").alias("values"), F.max("_o").alias("seq"))
     return _aod_trim(last, keys, spec)
 
