@@ -155,6 +155,35 @@ def frequent_items(summary: DataFrame, threshold: int | None = None, fraction: f
     return summary.where(bound > limit).select("item", F.col("n").alias("estimate"), F.col("n").alias("lower"), (F.col("n") + F.col("offset")).alias("upper"))
 
 
+def frequent_merge(a: DataFrame, b: DataFrame, spec: FrequentSpec) -> DataFrame:
+    """Summary of both summaries' streams: counts add up, then the (max_map_size + 1)-th largest is taken off all. At most twice max_map_size rows."""
+    from pyspark.sql import Window
+
+    both = a.unionByName(b).groupBy("item").agg(F.sum("n").alias("n"))
+    heads = [s.agg(F.coalesce(F.max("offset"), F.lit(0)).alias("offset"), F.coalesce(F.max("total"), F.lit(0)).alias("total")) for s in (a, b)]
+    ends = heads[0].unionByName(heads[1]).agg(F.sum("offset").alias("offset"), F.sum("total").alias("total"))
+    ranked = both.withColumn("_r", F.row_number().over(Window.orderBy(F.desc("n"), "item")))
+    cut = F.coalesce(F.max(F.when(F.col("_r") == spec.max_map_size + 1, F.col("n"))).over(_all()), F.lit(0))
+    kept = ranked.withColumn("_cut", cut).where(F.col("n") > F.col("_cut")).crossJoin(F.broadcast(ends))  # one row
+    return kept.select("item", (F.col("n") - F.col("_cut")).alias("n"), (F.col("offset") + F.col("_cut")).alias("offset"), "total")
+
+
+def frequent_bounds(summary: DataFrame, items: DataFrame, item: str) -> DataFrame:
+    """The distinct items asked for with estimate, lower and upper; an item that is not kept has at most the offset."""
+    asked = items.select(F.col(item).cast("string").alias("item")).where("item is not null").distinct()
+    offset = summary.agg(F.coalesce(F.max("offset"), F.lit(0)).alias("_off"))
+    found = asked.join(summary.select("item", "n"), "item", "left").crossJoin(F.broadcast(offset))  # one row
+    n = F.coalesce("n", F.lit(0))
+    return found.select("item", n.alias("estimate"), n.alias("lower"), (n + F.col("_off")).alias("upper"))
+
+
+def frequent_statistics(summary: DataFrame, spec: FrequentSpec) -> DataFrame:
+    return summary.agg(
+        F.lit(spec.max_map_size).cast("bigint").alias("max_map_size"), F.count(F.lit(1)).alias("current_map_size"), F.coalesce(F.max("total"), F.lit(0)).alias("stream_length"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_tracked_frequency"), F.coalesce(F.max("offset"), F.lit(0)).alias("offset"),
+    )
+
+
 def top_k(summary: DataFrame, k: int) -> DataFrame:
     return frequent_items(summary, threshold=-1).orderBy(F.desc("estimate"), "item").limit(k)
 

@@ -125,6 +125,10 @@ class Req:
     def cdf(self, splits: list[float]) -> list[float]:
         return [self.rank(s) for s in splits] + [1.0] if self.n else [0.0] * (len(splits) + 1)
 
+    def pmf(self, splits: list[float]) -> list[float]:
+        cdf = self.cdf(splits)
+        return [b - a for a, b in zip([0.0, *cdf], cdf, strict=False)]
+
     @property
     def retained(self) -> int:
         return sum(map(len, self.levels))
@@ -292,3 +296,10 @@ def ask(states: DataFrame, keys: list[str], parse: Callable, questions: dict[str
 
     kinds = ", ".join([*(f"`{k}` {states.schema[k].dataType.simpleString()}" for k in keys), *(f"`{n}` double" for n in questions)])
     return states.select(*keys, "sketch").mapInPandas(run, kinds)
+
+
+def statistics(states: DataFrame, keys: list[str], parse: Callable) -> DataFrame:
+    """keys.., n, min, max, retained (items or centroids kept) and bytes of each stored state."""
+    kept = lambda s: float(s.retained if isinstance(s, Req) else len(s.means))
+    asked = ask(states, keys, parse, {"n": lambda s: float(s.n), "min": lambda s: s.min, "max": lambda s: s.max, "retained": kept, "bytes": lambda s: float(len(s.to_bytes()))})
+    return asked.select(*keys, F.col("n").cast("bigint").alias("n"), "min", "max", F.col("retained").cast("bigint").alias("retained"), F.col("bytes").cast("bigint").alias("bytes"))

@@ -38,6 +38,14 @@ def uniform_sample_by(df: DataFrame, keys: list[str], key: str, spec: SampleSpec
     return ranked.drop("_n", "_top", "_r")
 
 
+def sample_statistics(df: DataFrame, key: str, spec: SampleSpec, weight: str | None = None) -> DataFrame:
+    """items_seen, sample_size, capacity, is_full of a sample of df, and total_weight where there are weights."""
+    kept = df.where(F.col(key).isNotNull() & (F.col(weight) > 0 if weight else F.lit(True)))
+    n = F.count(F.lit(1))
+    more = [F.coalesce(F.sum(F.col(weight).cast("double")), d(0.0)).alias("total_weight")] if weight else []
+    return kept.agg(n.alias("items_seen"), F.least(n, F.lit(spec.k).cast("bigint")).alias("sample_size"), F.lit(spec.k).cast("bigint").alias("capacity"), (n >= spec.k).alias("is_full"), *more)
+
+
 def weighted_sample(df: DataFrame, key: str, weight: str, spec: SampleSpec, seed: int = 0, hasher: Hasher = PORTABLE) -> DataFrame:
     """df's columns and sample_key = ln(u) / w, the k largest."""
     u = hasher.unit(key, f"{seed}:")

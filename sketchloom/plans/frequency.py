@@ -114,3 +114,19 @@ def countmin_never_under(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+
+
+@query("select event_type as item, count(*) as exact, true as in_bounds from events group by 1")
+def freq_merge_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries with room for three of five types, of two halves of the rows, merged: the bounds hold the true count."""
+    rows, spec = table(spark, sf_dir, "events"), FrequentSpec(3)
+    halves = [f.frequent_build(rows.where(w), "event_type", spec) for w in ("event_id % 2 = 0", "event_id % 2 = 1")]
+    asked = f.frequent_bounds(f.frequent_merge(*halves, spec), rows, "event_type")
+    exact = rows.groupBy(F.col("event_type").alias("item")).agg(F.count(F.lit(1)).alias("exact"))
+    return exact.join(asked, "item", "left").select("item", "exact", ((F.col("exact") >= F.col("lower")) & (F.col("exact") <= F.col("upper"))).alias("in_bounds"))
+
+
+@query("select 16::bigint as max_map_size, count(distinct event_type) as current_map_size, count(*) as stream_length, count(*) as total_tracked_frequency, 0::bigint as \"offset\" from events")
+def freq_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = FrequentSpec(16)
+    return f.frequent_statistics(f.frequent_build(table(spark, sf_dir, "events"), "event_type", spec), spec)

@@ -109,3 +109,9 @@ def native_percentile_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+
+
+@query("select event_type, count(*) as n, min(value) as min, max(value) as max, true as small from events group by 1")
+def tdigest_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = u.statistics(u.tdigest_build(table(spark, sf_dir, "events"), "value", ["event_type"]), ["event_type"], u.TDigest.from_bytes)
+    return stats.select("event_type", "n", "min", "max", (F.col("bytes") < 8000).alias("small"))

@@ -104,3 +104,9 @@ def varopt_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     merged = s.varopt_merge(*[p.drop("w") for p in parts], "o_orderkey", SampleSpec(400))
     both = merged.agg(F.sum("adjusted").alias("a")).crossJoin(rows.agg(F.sum("w").alias("t")))  # one row each
     return both.select(F.round(F.col("t") / F.lit(1e6), 0).alias("total_millions"), (F.abs(F.col("a") - F.col("t")) <= 1e-6 * F.col("t")).alias("total_kept"))
+
+
+@query("select count(*) as items_seen, least(count(*), 200) as sample_size, 200::bigint as capacity, count(*) >= 200 as is_full, round(sum(o_totalprice), 2) as total_weight from orders where o_totalprice > 0")
+def weighted_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = s.sample_statistics(table(spark, sf_dir, "orders"), "o_orderkey", SPEC, "o_totalprice")
+    return out.withColumn("total_weight", F.round("total_weight", 2))

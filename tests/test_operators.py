@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sketchloom.functions.hashing import FAST, PORTABLE, Hasher
+from sketchloom.functions.hashing import FAST, MURMUR3, PORTABLE, Hasher
 from sketchloom.functions.spec import AodSpec, BloomSpec, CpcSpec, FrequentSpec, HllSpec, LinearSpec, MatrixSpec, SampleSpec, ThetaSpec
 from sketchloom.operators import cardinality as c
 from sketchloom.operators import frequency as f
@@ -23,7 +23,7 @@ def same(x, y):
     return sorted(map(tuple, x.select(cols).collect())) == sorted(map(tuple, y.select(cols).collect()))
 
 
-@pytest.mark.parametrize("hasher", [PORTABLE, FAST])
+@pytest.mark.parametrize("hasher", [PORTABLE, FAST, MURMUR3])
 def test_distinct_counts_are_near(spark, hasher):
     df = strings(spark, 50_000)
     hll = c.hll_estimate(c.hll_build(df, "v", [], hasher=hasher), []).first()[0]
