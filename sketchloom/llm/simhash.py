@@ -10,7 +10,7 @@ to the shared folder.
 For a similarity threshold (``one_of_each``) 64 bits and two differing ones are too coarse: texts whose shingle sets are 0.8 alike differ
 in a sixth of their bits. There the fingerprint has 256 bits in bands of 32; in each band a text emits the variants with up to two of its LOW
 least certain bits flipped, the ones that an edit turns over first, so two texts meet if up to four of those differ. Rows of a variant are
-linked with its smallest and with their predecessor in fingerprint order, and every link is verified on all 256 bits.
+linked with its smallest, or where that link fails on all 256 bits, with their predecessor if that one holds.
 
 Equal texts fall together before anything is joined: a class is a distinct fingerprint with its smallest doc_id. A null text
 counts as empty; a text without words has fingerprint zero and is linked like any other. A null doc_id counts in its class
@@ -76,19 +76,25 @@ def links(classes: DataFrame, radius: int = 2) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node that each linked node can reach. ``edges`` (a, b) are read in both directions.
 
-    A round gives every node the smallest label among itself and its neighbours and then its label's label; both joins
-    read one row of the label table per node, and a very frequent label is only the streamed side of the second."""
-    both = cut(edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other"))), "both")
-    labels = cut(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label")), "labels")
+    A round gives every node the smallest label among itself and its neighbours, then its label's label, and draws the edges between labels
+    anew without those that became loops or repeats. At least half of the nodes with edges are gone after a round, and the rows of later joins with them."""
+    label_of = None
+    edges = cut(edges.select("a", "b").distinct(), "edges")
     for i in range(ROUNDS):
-        near = both.join(labels.select(F.col("node").alias("other"), "label"), "other").select("node", "label")
-        best = near.unionByName(labels).groupBy("node").agg(F.min("label").alias("label"))
-        jump = best.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        better = cut(best.join(jump, "label").select("node", F.least("label", "next").alias("label")), f"labels{i}")
-        moved = better.agg(F.sum(F.col("label").cast("decimal(38,0)")).alias("s")).first()["s"] != labels.agg(F.sum(F.col("label").cast("decimal(38,0)")).alias("s")).first()["s"]
-        labels = better
-        if not moved:
-            return labels
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("label")), f"near{i}")
+        jump = near.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        best = cut(near.join(jump, "label").select("node", F.least("label", "next").alias("label")), f"best{i}")
+        if label_of is None:
+            label_of = best
+        else:
+            fresh = best.select(F.col("node").alias("label"), F.col("label").alias("next"))
+            label_of = cut(label_of.join(fresh, "label", "left").select("node", F.coalesce("next", "label").alias("label")), f"label{i}")
+        left, right = (best.select(F.col("node").alias(k), F.col("label").alias(f"{k}_label")) for k in ("a", "b"))
+        drawn = edges.join(left, "a").join(right, "b").where("a_label <> b_label")
+        edges = cut(drawn.select(F.greatest("a_label", "b_label").alias("a"), F.least("a_label", "b_label").alias("b")).distinct(), f"edges{i}")
+        if edges.isEmpty():
+            return label_of
     raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
 
 
@@ -161,8 +167,15 @@ def wide_links(classes: DataFrame) -> DataFrame:
     spread = classes.select("id", "fp", "low").repartition(n, "id").mapInArrow(run, "id long, variants array<long>")
     met = spread.select("id", F.explode("variants").alias("variant"))
     bucket = Window.partitionBy("variant").orderBy("id")
-    pairs = met.select("id", F.first("id").over(bucket).alias("head"), F.lag("id").over(bucket).alias("prev")).where("prev is not null")
-    asked = pairs.select(F.col("id").alias("a"), F.explode(F.array_distinct(F.array("head", "prev"))).alias("b")).groupBy("a", "b").agg(F.lit(1).alias("one"))
+    met = met.select("id", F.first("id").over(bucket).alias("head"), F.lag("id").over(bucket).alias("prev")).where("prev is not null")
+    met = cut(met.groupBy("id", "head", "prev").agg(F.lit(1).alias("one")).drop("one"), "met")
+    heads = cut(_verified(classes, met.select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()), "heads")
+    rest = met.join(heads.select(F.col("a").alias("id"), F.col("b").alias("head")), ["id", "head"], "left_anti").where("prev <> head")
+    return heads.unionByName(_verified(classes, rest.select(F.col("id").alias("a"), F.col("prev").alias("b")).distinct()))
+
+
+def _verified(classes: DataFrame, asked: DataFrame) -> DataFrame:
+    """The pairs (a, b) of ids whose fingerprints differ in at most FAR bits."""
     words = [F.conv(F.hex(F.substring("fp", 1 + 7 * i, 7 if i < 4 else 4)), 16, 10).cast("long").alias(f"w{i}") for i in range(5)]  # 7 bytes fit a long
     side = lambda k: classes.select(F.col("id").alias(k), F.struct(*words).alias(f"f{k}"))
     far = sum((F.bit_count(F.col("fa")[f"w{i}"].bitwiseXOR(F.col("fb")[f"w{i}"])) for i in range(5)), F.lit(0))
