@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import uuid
 from collections.abc import Iterator
 
@@ -18,9 +20,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Only for sessions on one machine without a shared folder, as in tests; gone when the process ends.
+OWN_FOLDER = f"/tmp/checkpoints/sketchloom-{uuid.uuid4().hex}"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a default of our own where the session has none."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/sketchloom").rstrip("/")
+    """The folder all executors share: spark.checkpoint.dir, or a folder of our own where the session has none."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        atexit.unregister(shutil.rmtree)
+        atexit.register(shutil.rmtree, OWN_FOLDER, ignore_errors=True)
+        found = f"file://{OWN_FOLDER}"
+    return found.rstrip("/")
 
 
 def cut(df: DataFrame, tag: str) -> DataFrame:
