@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices_of
+
 WINDOW = 24
 KEPT = 64
 LIMIT = 1 << 20
@@ -155,6 +157,24 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float(2 * part / (1 + part))
 
 
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """doc_id, n_chars, fingerprint, one row per document; two fingerprints compare by ``likeness`` of ``kept_hashes``."""
+
+    def run(batches):
+        with np.errstate(over="ignore"):
+            for b in slices_of(batches, 4_000_000):
+                made = [PrefixHash(t or "") for t in b.column("text").to_pylist()]
+                cols = [b.column("doc_id").cast(pa.int64()), pa.array([p.n for p in made], pa.int64()), pa.array([fingerprint(p)[0] for p in made], pa.string())]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_chars", "fingerprint"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_chars long, fingerprint string")
+
+
+def kept_hashes(mark: str) -> np.ndarray:
+    """The window hashes in a fingerprint."""
+    return np.frombuffer(bytes.fromhex(mark.partition("-")[2]), dtype=">u4").astype(np.uint64)
+
+
 def in_id_ranges(docs: DataFrame) -> DataFrame:
     """(range, look, doc_id, text): rows dealt to ranges of doc_id; look = 1: a copy of the first row of the following range."""
     spark = docs.sparkSession

@@ -67,3 +67,10 @@ def test_repeated_rows_one_row_and_none(docs):
     one = p.fingerprint_digest(docs([(5, "alone here")])).first()
     assert one["edited_sha256"] == hashlib.sha256(b"alonealone").hexdigest()
     assert p.fingerprint_digest(docs(ODD).where("false")).count() == 0
+
+
+def test_fingerprints_of_a_table(docs):
+    marks = {r["doc_id"]: r for r in p.fingerprints(docs(ODD)).collect()}
+    assert len(marks) == len({i for i, _ in ODD}) and marks[2]["fingerprint"] == marks[3]["fingerprint"] and marks[0]["fingerprint"] == marks[1]["fingerprint"]
+    a, b = p.kept_hashes(marks[5]["fingerprint"]), p.fingerprint(p.PrefixHash("long " * 30_000))[1]
+    assert (a == b).all() and p.likeness(a, b) == 1
