@@ -151,8 +151,9 @@ def band_variants(fp: np.ndarray, low: np.ndarray) -> np.ndarray:
     return keys.reshape(len(fp), -1)
 
 
-def wide_links(classes: DataFrame) -> DataFrame:
-    """(a, b): verified links between classes (columns id, fp, low), by ids."""
+def wide_labels(classes: DataFrame) -> DataFrame:
+    """(node, label) of the linked classes (columns id, fp, low), by ids: links with the smallest of a variant first; where one of these fails, links with
+    the predecessor are asked only if the components so far do not hold both ends already."""
 
     def run(batches):
         for b in batches:
@@ -170,16 +171,23 @@ def wide_links(classes: DataFrame) -> DataFrame:
     met = met.select("id", F.first("id").over(bucket).alias("head"), F.lag("id").over(bucket).alias("prev")).where("prev is not null")
     met = cut(met.groupBy("id", "head", "prev").agg(F.lit(1).alias("one")).drop("one"), "met")
     heads = cut(_verified(classes, met.select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()), "heads")
+    first = cut(components(heads), "first")
     rest = met.join(heads.select(F.col("a").alias("id"), F.col("b").alias("head")), ["id", "head"], "left_anti").where("prev <> head")
-    return heads.unionByName(_verified(classes, rest.select(F.col("id").alias("a"), F.col("prev").alias("b")).distinct()))
+    label = lambda k: first.select(F.col("node").alias(k), F.col("label").alias(f"l{k}"))
+    open_ = rest.select(F.col("id").alias("a"), F.col("prev").alias("b")).distinct().join(label("a"), "a", "left").join(label("b"), "b", "left")
+    open_ = open_.select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb")).where("la <> lb")
+    more = _verified(classes, open_).select(F.greatest("la", "lb").alias("a"), F.least("la", "lb").alias("b"))
+    second = cut(components(more), "second")
+    moved = first.join(second.select(F.col("node").alias("label"), F.col("label").alias("next")), "label", "left").select("node", F.coalesce("next", "label").alias("label"))
+    return moved.unionByName(second.join(first.select("node"), "node", "left_anti"))
 
 
 def _verified(classes: DataFrame, asked: DataFrame) -> DataFrame:
-    """The pairs (a, b) of ids whose fingerprints differ in at most FAR bits."""
+    """The rows of ``asked`` (ids a and b, other columns) whose fingerprints differ in at most FAR bits."""
     words = [F.conv(F.hex(F.substring("fp", 1 + 7 * i, 7 if i < 4 else 4)), 16, 10).cast("long").alias(f"w{i}") for i in range(5)]  # 7 bytes fit a long
     side = lambda k: classes.select(F.col("id").alias(k), F.struct(*words).alias(f"f{k}"))
     far = sum((F.bit_count(F.col("fa")[f"w{i}"].bitwiseXOR(F.col("fb")[f"w{i}"])) for i in range(5)), F.lit(0))
-    return asked.join(side("a"), "a").join(side("b"), "b").where(far <= FAR).select("a", "b")
+    return asked.join(side("a"), "a").join(side("b"), "b").where(far <= FAR).select(*asked.columns)
 
 
 def one_of_each(docs: DataFrame, width: int = 5) -> DataFrame:
@@ -190,7 +198,7 @@ def one_of_each(docs: DataFrame, width: int = 5) -> DataFrame:
     first = F.struct((F.col("k_id") == -(2**63)).alias("no_id"), "k_id", "k_text")
     classes = marked.groupBy("fp").agg(F.min(first).alias("first"), F.min("low").alias("low"))
     classes = cut(classes.select(F.xxhash64("fp").alias("id"), "fp", "low", "first"), "wide-classes")
-    labels = components(cut(wide_links(classes), "wide-links"))
+    labels = cut(wide_labels(classes), "wide-labels")
     linked = classes.join(labels.withColumnRenamed("node", "id"), "id", "left").select("first", F.coalesce("label", "id").alias("label"))
     kept = linked.groupBy("label").agg(F.min("first").alias("first")).select("first.k_id", "first.k_text")
     rows = docs.select(F.struct(*cols).alias("row"), *text_key()).join(kept, ["k_id", "k_text"])
