@@ -7,10 +7,10 @@ pairs are spelled out; a variant has at most C(64, r/2) + ... distinct members (
 copies. Links are verified bit by bit. Components come from repeated minimum labels with pointer jumping, each round written
 to the shared folder.
 
-For a similarity threshold (``one_of_each``) 64 bits and two differing ones are too coarse: texts whose shingle sets are 0.8 alike differ
-in a sixth of their bits. There the fingerprint has 256 bits in bands of 32; in each band a text emits the variants with up to two of its LOW
-least certain bits flipped, the ones that an edit turns over first, so two texts meet if up to four of those differ. Rows of a variant are
-linked with its smallest, or where that link fails on all 256 bits, with their predecessor if that one holds.
+For a similarity threshold (``one_of_each``) fingerprints are too coarse near the threshold, so there the join is exact, on the sets of 64-bit
+hashes of the five-word shingles: sets 0.8 alike share one of their first fifth of shingles in any common order, here rarest first. Those that share
+one are asked, first with some neighbours in each bucket, then all members of a bucket that the components so far do not hold together, in
+blocks of bounded size. Sizes, places and parities rule out most; every link is verified on the whole sets, and components come from verified links.
 
 Equal texts fall together before anything is joined: a class is a distinct fingerprint with its smallest doc_id. A null text
 counts as empty; a text without words has fingerprint zero and is linked like any other. A null doc_id counts in its class
@@ -114,7 +114,7 @@ def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFra
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-BITS, BAND, LOW, FAR = 256, 32, 6, 44
+BITS, BAND, LOW = 256, 32, 6
 
 
 def wide_simhash(text: str | None, width: int = 5) -> tuple[bytes, bytes]:
@@ -130,18 +130,6 @@ def wide_simhash(text: str | None, width: int = 5) -> tuple[bytes, bytes]:
     return np.packbits(lean > 0, bitorder="little").tobytes(), low.tobytes()
 
 
-def wide_fingerprints(docs: DataFrame, keys: tuple[str, ...], width: int = 5) -> DataFrame:
-    """The key columns (longs), fp binary(32) and low binary(48), one row per document."""
-
-    def run(batches):
-        for b in slices_of(batches, 4_000_000):
-            made = [wide_simhash(t, width) for t in b.column("text").to_pylist()]
-            cols = [pa.array([m[i] for m in made], pa.binary()) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*(b.column(k).cast(pa.int64()) for k in keys), *cols], [*keys, "fp", "low"])
-
-    return docs.select(*keys, "text").mapInArrow(run, ", ".join([*(f"{k} long" for k in keys), "fp binary", "low binary"]))
-
-
 def band_variants(fp: np.ndarray, low: np.ndarray) -> np.ndarray:
     """(n, bands * variants) keys: the band's number above its 32 bits, with up to two of its least certain bits flipped."""
     bands = fp.reshape(len(fp), -1).view("<u4").astype(np.int64)
@@ -151,54 +139,123 @@ def band_variants(fp: np.ndarray, low: np.ndarray) -> np.ndarray:
     return keys.reshape(len(fp), -1)
 
 
-def wide_labels(classes: DataFrame) -> DataFrame:
-    """(node, label) of the linked classes (columns id, fp, low), by ids: links with the smallest of a variant first; where one of these fails, links with
-    the predecessor are asked only if the components so far do not hold both ends already."""
+ALIKE = (4, 5)
+SAMPLE, FREQUENT, PARITY = 8_000, 200_000, 512
+STEPS, BLOCK = 3, 500
+
+
+def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
+    """The distinct 64-bit hashes of the shingles of ``width`` words, sorted; a shorter text is one shingle, a text without words has none."""
+    words = (text or "").encode("utf-8").lower().split()
+    if not words:
+        return np.zeros(0, dtype=np.int64)
+    parts = map(b" ".join, zip(*(words[i:] for i in range(width)))) if len(words) > width else [b" ".join(words)]  # noqa: B905
+    return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, parts, repeat(SEED)), dtype=np.uint64, count=max(1, len(words) - width + 1)).view(np.int64))
+
+
+def frequent_shingles(docs: DataFrame, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and counts of the shingles that recur in a sample of texts. They only order the shingles of a text, so that buckets are small:
+    any order gives the same pairs."""
 
     def run(batches):
-        for b in batches:
-            for lo in range(0, b.num_rows, 5000):
-                part = b.slice(lo, 5000)
-                fp, low = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8).reshape(part.num_rows, -1) for c in ("fp", "low"))
-                keys = band_variants(fp, low)
-                edges = pa.array(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(edges, pa.array(keys.ravel()))], ["id", "variants"])
-
-    n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = classes.select("id", "fp", "low").repartition(n, "id").mapInArrow(run, "id long, variants array<long>")
-    met = spread.select("id", F.explode("variants").alias("variant"))
-    bucket = Window.partitionBy("variant").orderBy("id")
-    met = met.select("id", F.first("id").over(bucket).alias("head"), F.lag("id").over(bucket).alias("prev")).where("prev is not null")
-    met = cut(met.groupBy("id", "head", "prev").agg(F.lit(1).alias("one")).drop("one"), "met")
-    heads = cut(_verified(classes, met.select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()), "heads")
-    first = cut(components(heads), "first")
-    rest = met.join(heads.select(F.col("a").alias("id"), F.col("b").alias("head")), ["id", "head"], "left_anti").where("prev <> head")
-    label = lambda k: first.select(F.col("node").alias(k), F.col("label").alias(f"l{k}"))
-    open_ = rest.select(F.col("id").alias("a"), F.col("prev").alias("b")).distinct().join(label("a"), "a", "left").join(label("b"), "b", "left")
-    open_ = open_.select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb")).where("la <> lb")
-    more = _verified(classes, open_).select(F.greatest("la", "lb").alias("a"), F.least("la", "lb").alias("b"))
-    second = cut(components(more), "second")
-    moved = first.join(second.select(F.col("node").alias("label"), F.col("label").alias("next")), "label", "left").select("node", F.coalesce("next", "label").alias("label"))
-    return moved.unionByName(second.join(first.select("node"), "node", "left_anti"))
-
-
-def _verified(classes: DataFrame, asked: DataFrame) -> DataFrame:
-    """The rows of ``asked`` (ids a and b, other columns) whose fingerprints differ in at most FAR bits."""
-    words = [F.conv(F.hex(F.substring("fp", 1 + 7 * i, 7 if i < 4 else 4)), 16, 10).cast("long").alias(f"w{i}") for i in range(5)]  # 7 bytes fit a long
-    side = lambda k: classes.select(F.col("id").alias(k), F.struct(*words).alias(f"f{k}"))
-    far = sum((F.bit_count(F.col("fa")[f"w{i}"].bitwiseXOR(F.col("fb")[f"w{i}"])) for i in range(5)), F.lit(0))
-    return asked.join(side("a"), "a").join(side("b"), "b").where(far <= FAR).select(*asked.columns)
+        for b in slices_of(batches, 2_000_000):
+            sets = [shingle_set(t, width) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sets, np.zeros(0, np.int64)]))], ["token"])
+
+    texts = docs.select(F.xxhash64("text").alias("h"), "text").where(F.pmod("h", F.lit(max(1, docs.count() // SAMPLE))) == 0).dropDuplicates(["h"])
+    counts = texts.select("text").mapInArrow(run, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
+    rows = counts.orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow().sort_by("token")
+    return rows["token"].to_numpy(), rows["n"].to_numpy()
+
+
+def prefix_length(n: int) -> int:
+    """Of n shingles in a common order, so many first ones that two sets 0.8 alike share one among them."""
+    return n - -(-ALIKE[0] * n // ALIKE[1]) + 1 if n else 0
+
+
+def prefixes(docs: DataFrame, width: int = 5) -> DataFrame:
+    """k_id, k_text, id (of the shingle set), n (its size), bits (parity of the set's hashes modulo PARITY, as longs) and its prefix, rarest first."""
+    tokens, counts = frequent_shingles(docs, width)
+
+    def one(text):
+        found = shingle_set(text, width)
+        order = found
+        if len(tokens) and len(found):
+            at = np.minimum(np.searchsorted(tokens, found), len(tokens) - 1)
+            order = found[np.argsort(np.where(tokens[at] == found, counts[at], 0), kind="stable")]
+        parity = np.bincount(found & (PARITY - 1), minlength=PARITY) & 1
+        return xxhash.xxh3_64_intdigest(found.tobytes(), SEED), len(found), np.packbits(parity.astype(np.uint8)).view(np.int64), order[: prefix_length(len(found))]
+
+    def lists(parts):
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate(parts)))
+
+    def run(batches):
+        for b in slices_of(batches, 2_000_000):
+            if b.num_rows:
+                ids, sizes, bits, first = zip(*map(one, b.column("text").to_pylist()), strict=True)
+                cols = [pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), lists(bits), lists(first)]
+                yield pa.RecordBatch.from_arrays([b.column("k_id"), b.column("k_text"), *cols], ["k_id", "k_text", "id", "n", "bits", "prefix"])
+
+    return docs.select(*text_key(), "text").mapInArrow(run, "k_id long, k_text long, id long, n int, bits array<long>, prefix array<long>")
+
+
+def could_be(x: str, y: str) -> Column:
+    """True unless structs x and y (n, pos) rule out that their sets are 0.8 alike: by sizes, or by what is left after the first shared shingle.
+    True of every pair 0.8 alike at the first shingle they share."""
+    sizes = ALIKE[1] * F.least(f"{x}.n", f"{y}.n") >= ALIKE[0] * F.greatest(f"{x}.n", f"{y}.n")
+    shared = F.least(F.col(f"{x}.n") - F.col(f"{x}.pos"), F.col(f"{y}.n") - F.col(f"{y}.pos"))
+    return sizes & (sum(ALIKE) * shared >= ALIKE[0] * (F.col(f"{x}.n") + F.col(f"{y}.n")))
+
+
+def parities_fit(x: str, y: str) -> Column:
+    """True unless the parities of structs x and y (n, bits) rule it out: each shingle in one set only changes one of them."""
+    differ = sum((F.bit_count(F.col(f"{x}.bits")[i].bitwiseXOR(F.col(f"{y}.bits")[i])) for i in range(PARITY // 64)), F.lit(0))
+    return sum(ALIKE) * differ <= (ALIKE[1] - ALIKE[0]) * (F.col(f"{x}.n") + F.col(f"{y}.n"))
+
+
+def alike(docs: DataFrame, classes: DataFrame, asked: DataFrame, width: int = 5) -> DataFrame:
+    """The rows of ``asked`` (ids a and b, other columns) whose shingle sets are 0.8 alike, by all shingles."""
+
+    def run(batches):
+        for b in slices_of(batches, 2_000_000):
+            sets = [shingle_set(t, width) for t in b.column("text").to_pylist()]
+            edges = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.ListArray.from_arrays(edges, pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))], ["id", "tokens"])
+
+    asked = cut(asked, "asked")
+    ids = asked.select(F.col("a").alias("id")).unionByName(asked.select(F.col("b").alias("id"))).distinct()
+    keys = classes.join(ids, "id").select("id", "first.k_id", "first.k_text")
+    texts = docs.select(*text_key(), "text").join(keys, ["k_id", "k_text"]).dropDuplicates(["k_id", "k_text"]).select("id", "text")
+    sets = cut(texts.mapInArrow(run, "id long, tokens array<long>"), "sets")
+    side = lambda k: sets.select(F.col("id").alias(k), F.col("tokens").alias(f"t{k}"))
+    enough = sum(ALIKE) * F.size(F.array_intersect("ta", "tb")) >= ALIKE[0] * (F.size("ta") + F.size("tb"))
+    return asked.join(side("a"), "a").join(side("b"), "b").where(enough).select(*asked.columns)
+
+
+def met_shingles(classes: DataFrame) -> DataFrame:
+    """(token, m, x): the prefix shingles that m > 1 classes hold, with x the struct (id, n, pos) of a class."""
+    held = classes.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
+    held = held.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("m > 1")
+    return held.select("token", "m", F.struct("id", "n", "pos").alias("x"))
+
+
+def wide_labels(docs: DataFrame, classes: DataFrame, width: int = 5) -> DataFrame:
+    """(node, label) of the linked classes (columns id, first, n, bits, prefix), by ids: each class is asked with some of those it shares a prefix shingle with."""
+    met = cut(met_shingles(classes), "met")
+    bucket = Window.partitionBy("token").orderBy(F.xxhash64("x.id"), "x.id")
+    near = met.select("x", F.array(*(F.lag("x", k).over(bucket) for k in range(1, STEPS + 1))).alias("ys")).select("x", F.explode("ys").alias("y")).where("y is not null")
+    near = near.where(could_be("x", "y")).select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
+    return components(alike(docs, classes, near, width))
 
 
 def one_of_each(docs: DataFrame, width: int = 5) -> DataFrame:
-    """docs with one row of each group of near copies (similarity of about 0.8 or more) kept: that of the smallest doc_id (null last; ties by text
-    hash). All columns stay."""
+    """docs with one row of each group of near copies (0.8 or more alike on shingles of ``width`` words, or linked by rows that are) kept: that of the smallest
+    doc_id (null last; ties by text hash). All columns stay."""
     cols = docs.columns
-    marked = cut(wide_fingerprints(docs.select(*text_key(), "text"), ("k_id", "k_text"), width), "wide")
     first = F.struct((F.col("k_id") == -(2**63)).alias("no_id"), "k_id", "k_text")
-    classes = marked.groupBy("fp").agg(F.min(first).alias("first"), F.min("low").alias("low"))
-    classes = cut(classes.select(F.xxhash64("fp").alias("id"), "fp", "low", "first"), "wide-classes")
-    labels = cut(wide_labels(classes), "wide-labels")
+    least = prefixes(docs, width).groupBy("id").agg(F.min(F.struct(first.alias("first"), "n", "bits", "prefix")).alias("c"))
+    classes = cut(least.select("id", "c.*"), "wide-classes")
+    labels = cut(wide_labels(docs, classes, width), "wide-labels")
     linked = classes.join(labels.withColumnRenamed("node", "id"), "id", "left").select("first", F.coalesce("label", "id").alias("label"))
     kept = linked.groupBy("label").agg(F.min("first").alias("first")).select("first.k_id", "first.k_text")
     rows = docs.select(F.struct(*cols).alias("row"), *text_key()).join(kept, ["k_id", "k_text"])

@@ -129,3 +129,42 @@ def test_band_variants():
         band = k >> 32
         flipped = (k & 0xFFFFFFFF) ^ (whole >> (32 * band) & 0xFFFFFFFF)
         assert bin(flipped).count("1") <= 2 and all(i in low[0, 6 * band : 6 * band + 6] for i in range(32) if flipped >> i & 1)
+
+
+def edited(rnd, words, n):
+    """A copy with n words changed, none within five words of another, so 5 n shingles differ."""
+    out = list(words)
+    for i in rnd.sample(range(1, len(words) // 5 - 1), n):
+        out[5 * i] = f"new{rnd.random()}"
+    return out
+
+
+def brute_kept(rows):
+    """The smallest id of each component, all pairs compared by their shingle sets."""
+    sets, label = {i: shingles(t) for i, t in rows}, {i: i for i, _ in rows}
+
+    def top(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if i < j and top(i) != top(j) and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+                a, b = sorted((top(i), top(j)))
+                label[b] = a
+    return {i for i in sets if top(i) == i}
+
+
+def test_links_are_checked_on_shingles(docs):
+    """Documents of one template that are 0.7 alike all stay; of pairs just over 0.8 alike one goes, of those just under none."""
+    rnd = random.Random(8)
+    base = [f"t{i}" for i in range(304)]
+    rows = [(i, " ".join(edited(rnd, base, 5))) for i in range(150)]
+    for g in range(100):
+        text = [f"g{g}w{i}" for i in range(304)]
+        rows += [(1000 + 10 * g, " ".join(text)), (1001 + 10 * g, " ".join(edited(rnd, text, 6))), (1002 + 10 * g, " ".join(edited(rnd, text, 7)[::-1]))]
+        rows += [(1003 + 10 * g, " ".join(edited(rnd, text[::-1], 7)))]
+    want = brute_kept(rows)
+    assert len(want & set(range(150))) > 140 and not any(1001 + 10 * g in want for g in range(100))
+    assert {r["doc_id"] for r in s.one_of_each(docs(rows)).collect()} == want
