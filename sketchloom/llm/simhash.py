@@ -245,7 +245,25 @@ def wide_labels(docs: DataFrame, classes: DataFrame, width: int = 5) -> DataFram
     bucket = Window.partitionBy("token").orderBy(F.xxhash64("x.id"), "x.id")
     near = met.select("x", F.array(*(F.lag("x", k).over(bucket) for k in range(1, STEPS + 1))).alias("ys")).select("x", F.explode("ys").alias("y")).where("y is not null")
     near = near.where(could_be("x", "y")).select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
-    return components(alike(docs, classes, near, width))
+    first = cut(components(alike(docs, classes, near, width)), "first")
+    label = lambda k: first.select(F.col("node").alias(k), F.col("label").alias(f"l{k}"))
+    known = classes.select("id", "bits").join(first.withColumnRenamed("node", "id"), "id", "left")
+    known = met.select("token", "m", "x.*").join(known, "id").select(
+        "token", F.ceil(F.col("m") / BLOCK).cast("int").alias("k"), F.struct("id", "n", "pos", "bits").alias("x"), F.coalesce("label", "id").alias("label")
+    )
+    own = F.pmod(F.xxhash64("x.id"), F.col("k")).cast("int")
+    dealt = known.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    dealt = dealt.select("token", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "x", "label")
+    right = dealt.select("token", "lo", "hi", F.col("own").alias("own2"), F.col("x").alias("y"), F.col("label").alias("label2"))
+    # blocks lo and hi of a token meet once: lo on the left, hi on the right; within one block the smaller id on the left
+    sides = ((F.col("lo") < F.col("hi")) & (F.col("own") < F.col("own2"))) | ((F.col("lo") == F.col("hi")) & (F.col("x.id") < F.col("y.id")))
+    rest = dealt.join(right, ["token", "lo", "hi"]).where(sides & (F.col("label") != F.col("label2")) & could_be("x", "y") & parities_fit("x", "y"))
+    rest = rest.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
+    found = alike(docs, classes, rest, width).join(label("a"), "a", "left").join(label("b"), "b", "left")
+    found = found.select(F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb"))
+    second = cut(components(found.select(F.greatest("la", "lb").alias("a"), F.least("la", "lb").alias("b"))), "second")
+    moved = first.join(second.select(F.col("node").alias("label"), F.col("label").alias("next")), "label", "left").select("node", F.coalesce("next", "label").alias("label"))
+    return moved.unionByName(second.join(first.select("node"), "node", "left_anti"))
 
 
 def one_of_each(docs: DataFrame, width: int = 5) -> DataFrame:

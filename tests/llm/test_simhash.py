@@ -168,3 +168,18 @@ def test_links_are_checked_on_shingles(docs):
     want = brute_kept(rows)
     assert len(want & set(range(150))) > 140 and not any(1001 + 10 * g in want for g in range(100))
     assert {r["doc_id"] for r in s.one_of_each(docs(rows)).collect()} == want
+
+
+def test_all_members_of_a_bucket_are_compared(docs, monkeypatch):
+    """Near copies amid many texts of their template are found whatever their places in the buckets, in one block or in several."""
+    rnd = random.Random(9)
+    base = [f"t{i}" for i in range(304)]
+    texts = [edited(rnd, base, 6) for _ in range(250)]
+    texts += [edited(rnd, t, 6) for t in texts[:60]]
+    rnd.shuffle(texts)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    want = brute_kept(rows)
+    assert 240 <= len(want) <= 255
+    for size in (s.BLOCK, 20):
+        monkeypatch.setattr(s, "BLOCK", size)
+        assert {r["doc_id"] for r in s.one_of_each(docs(rows)).collect()} == want
