@@ -21,6 +21,7 @@ from .common import ascii_lower, cut
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 LINK = r"(?i)href\s*=\s*[\x22\x27]?\s*(?:https?:)?//([^/?#\x22\x27\s<>]+)"
 MOST_RULES = 1000
+EACH = 4
 
 
 @dataclass(frozen=True)
@@ -36,13 +37,14 @@ class Rule:
 
 @dataclass(frozen=True)
 class LinkRank:
-    """damping and rounds of both walks; a host is blocked if its distrust is over ``least`` of a uniform share and over
-    ``share`` of trust and distrust together."""
+    """damping of both walks and their least rounds: they go on until the mass still under way is less than ``rest`` of a uniform share, half of the last
+    digit that is compared. A host is blocked if its distrust is over ``least`` of a uniform share and over ``share`` of trust and distrust together."""
 
     damping: float = 0.85
     rounds: int = 8
     least: float = 0.1
     share: float = 0.5
+    rest: float = 5e-7
 
 
 def host_of(url: Column) -> Column:
@@ -78,8 +80,10 @@ def host_edges(pages: DataFrame) -> DataFrame:
     )
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, how: LinkRank) -> DataFrame:
-    """(host, trust, distrust) of every host that either walk reaches. seeds: (host, kind, part), kind trust or distrust."""
+def propagate(edges: DataFrame, seeds: DataFrame, how: LinkRank, n_hosts: float) -> DataFrame:
+    """(host, trust, distrust) of every host that either walk reaches. seeds: (host, kind, part), kind trust or distrust.
+
+    Mass only grows from round to round, and what k rounds add is damping^k of what k rounds before added at most: so much can still come."""
     both = edges.select(F.lit("trust").alias("kind"), "src", "dst").unionByName(
         edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"))
     )
@@ -89,14 +93,22 @@ def propagate(edges: DataFrame, seeds: DataFrame, how: LinkRank) -> DataFrame:
     start = cut(
         seeds.join(F.broadcast(total), "kind").select("kind", "host", ((1.0 - how.damping) * F.col("part") / F.col("seeds")).alias("mass")), "seeds"
     )  # two kinds: two rows are broadcast
-    rank = start
-    for i in range(how.rounds):
+    rank, was, i = start, 0.0, 0
+    while True:
         moved = walk.join(rank.withColumnRenamed("host", "src"), ["kind", "src"]).select(
             "kind", F.col("dst").alias("host"), (F.col("mass") * F.col("w")).alias("mass")
         )
         rank = start.unionByName(moved).groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
-        if i % 4 == 3:
-            rank = cut(rank, f"rank{i}")
+        i += 1
+        if i % EACH and i != how.rounds:
+            continue
+        rank = cut(rank, f"rank{i}")
+        if i % EACH == 0:
+            mass = rank.agg(F.sum("mass")).first()[0] or 0.0
+            still = (mass - was) * how.damping**EACH / (1.0 - how.damping**EACH)
+            if i >= how.rounds and still * n_hosts < max(how.rest, 1e-14 * n_hosts):  # the sum itself is no more exact
+                break
+            was = mass
     of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("mass")).otherwise(0.0)).alias(kind)
     return rank.groupBy("host").agg(of("trust"), of("distrust"))
 
@@ -119,8 +131,8 @@ def judge_urls(pages: DataFrame, rules: list[Rule], how: LinkRank = LinkRank())
         .where("part > 0")
     )
     edges = cut(host_edges(read), "links")
-    ranks = propagate(edges, seeds, how)
     n_hosts = float(hosts.select("host").unionByName(edges.select(F.col("dst").alias("host"))).distinct().count())
+    ranks = propagate(edges, seeds, how, n_hosts)
     suspects = (
         ranks.where("distrust > 0")
         .select(

@@ -99,3 +99,14 @@ def test_equals_sql(spark, sf_dir):
 def test_plan_is_native(spark, sf_dir):
     plan = judge_urls(table(spark, sf_dir, "pages"), RULES)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_walks_go_on_until_they_settle(spark):
+    """A chain of 20 hosts to a blocked one, and a ring beside it: the verdicts are those of 300 rounds, also over eight hops away."""
+    chain = [(i, f"http://h{i}.net/", f'<a href="http://h{i + 1}.net/">') for i in range(20)] + [(20, "http://h20.net/", '<a href="http://example.org/">')]
+    ring = [(100 + i, f"http://r{i}.net/", f'<a href="http://r{(i + 1) % 7}.net/"><a href="http://h{3 * i}.net/">') for i in range(7)]
+    made = [*chain, *ring, (200, "http://example.org/es/1", None), (201, "http://x.net/y", '<a href="http://r0.net/"><a href="http://h5.net/">')]
+    got = judge_urls(spark.createDataFrame(made, "page_id long, url string, html string"), RULES).collect()
+    assert sorted((tuple(r)[:5] for r in got), key=str) == brute(made, RULES, LinkRank(rounds=300))
+    far = {r["page_id"]: r for r in got}[12]
+    assert far["verdict"] == "block" and far["distrust"] > 0
