@@ -48,9 +48,15 @@ BASE = [
     SecretRule("access", r"AKIA[A-Z0-9]+", 0, 20, ("AKIA",)),
     SecretRule("hex", r"[0-9a-f]+", 0, 24),
 ]
+#: From the BEGIN line over the body to the END line (few dashes stand in a key's headers, so five end the search); where there is none, to the end of the
+#: lines of base64, after header lines. Line ends may be written as backslash and letter. No group repeats over lines: that would exhaust Java's stack.
+PEM = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*(?:-[^-]+){0,16}-----END [A-Z ]*PRIVATE KEY-----"
+    r"|(?:[ \t]*[\r\n]+[A-Za-z-]+: [^\r\n]*){0,8}[ \t]*[\r\n\\][ \t]*[A-Za-z0-9+/=\\\r\n]*)?"
+)
 #: Kinds that the index makes cheap to add; they come after the base kinds.
 MORE = [
-    SecretRule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, ("-----BEGIN ",)),
+    SecretRule("pem", PEM, 0, 1, ("-----BEGIN ",)),
     SecretRule("code_host", r"gh[pousr]_[A-Za-z0-9]+", 0, 40, ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
     SecretRule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30, ("eyJ",)),
     SecretRule("chat", r"xox[abprs]-[A-Za-z0-9-]+", 0, 15, ("xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-")),

@@ -100,3 +100,33 @@ def test_equals_sql(spark, sf_dir):
 
     for folder in (sf_dir, "/root/testdata/sf0.01"):
         assert rows(op3_secret_scan(spark, folder).toPandas()) == rows(connection(folder).sql(duckdb_sql()).df())
+
+
+BODY = "\n".join("MIIEow" + "aB3+/x9Q" * 7 + "Zz" for _ in range(300)) + "\nQk1zdA=="
+KEYS = {
+    1: ("a -----BEGIN RSA PRIVATE KEY-----\n" + BODY + "\n-----END RSA PRIVATE KEY----- b", "a [pem] b"),
+    2: ("-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-256-CBC,0A1B\n\n" + BODY + "\n-----END RSA PRIVATE KEY-----", "[pem]"),
+    3: ("-----BEGIN PRIVATE KEY-----\n" + BODY + "\n and more - words", "[pem] and more - words"),
+    4: ("-----BEGIN PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-256-CBC,0A1B\n\n" + BODY + "\n", "[pem]"),
+    5: ('"-----BEGIN PRIVATE KEY-----\\n' + BODY.replace("\n", "\\n") + '\\n-----END PRIVATE KEY-----\\n"', '"[pem]\\n"'),
+    6: ("-----BEGIN PRIVATE KEY----- is how a key begins. " + "well-known - " * 9000, None),
+    7: ("-----BEGIN PRIVATE KEY-----\n" + BODY + "\n-----BEGIN PRIVATE KEY-----\r\n" + BODY.replace("\n", "\r\n") + "\r\n-----END PRIVATE KEY-----", "[pem][pem]"),
+}
+
+
+def test_whole_private_keys_are_masked(spark, docs):
+    rows = {r["doc_id"]: r["text"] for r in redact(docs([(i, t) for i, (t, _) in KEYS.items()])).collect()}
+    assert rows == {i: t.replace("-----BEGIN PRIVATE KEY-----", "[pem]") if want is None else want for i, (t, want) in KEYS.items()}
+
+
+def test_whole_private_keys_equal_sql(docs):
+    import duckdb
+
+    from sketchloom.llm.secret_scan import duckdb_sql
+
+    documents = docs([(i, t) for i, (t, _) in KEYS.items()], extra=False).toPandas()
+    con = duckdb.connect()
+    con.register("documents", documents)
+    want = {r[0]: r for r in con.sql(duckdb_sql()).fetchall()}
+    got = {r["doc_id"]: tuple(r) for r in secret_digest(docs([(i, t) for i, (t, _) in KEYS.items()])).collect()}
+    assert got == want
