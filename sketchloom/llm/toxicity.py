@@ -7,7 +7,8 @@ words on either side are its features, and transitions its memory. Chains are up
 Forward-backward runs over all chains of a batch side by side. The sum of the squared marginals (so that many faint ones do not
 add up to a toxic word) gives a document's score through a logistic curve fitted on documents.
 
-Features are kept by name, so the model is as large as the sample's vocabulary at most. Texts are used whole and nothing but the text enters a score. A null
+The field is fitted on at most MOST_CHAINS chains of the sample, half of them with toxic words; what is beyond is left out of the fit, and only the logistic curve sees
+all sampled rows whole. Features are kept by name, so the model is as large as the sample's vocabulary at most. Texts are used whole and nothing but the text enters a score. A null
 text counts as empty: no words, the score of no toxic words. Without labels of both classes every score is that class's share (0
 without labels). Repeated rows score alike; other columns are ignored.
 """
