@@ -4,6 +4,7 @@ Labels are given by document only, so labelled tokens are made first: in a bound
 telling if it follows many different words in toxic documents (copies of a document count once so) and hardly any in clean
 ones; words with a telling feature are labelled toxic where they stand in toxic documents. The field then learns from these sequences: word, beginnings, ending, and the
 words on either side are its features, and transitions its memory. Chains are up to CHAIN consecutive words.
+To tag, a chain is read with BESIDE more words of its text on either side, whose own marginals come from their own chains, so its edges are no ends.
 Forward-backward runs over all chains of a batch side by side. The sum of the squared marginals (so that many faint ones do not
 add up to a toxic word) gives a document's score through a logistic curve fitted on documents.
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import fit_logistic, fold_of, labelled_sample, sigmoid, slices_of
 
 PER_CLASS = {0: 2000, 1: 1200}
-CHAIN = 64
+CHAIN, BESIDE = 64, 8
 MARKS = ".,!?;:|*#%&$\"'()[]{}<>-_/\\"
 CACHED = 80_000
 SLICE = 2_000_000
@@ -104,9 +105,9 @@ def chains(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin, np.minimum(CHAIN, sizes[of] - nth * CHAIN)
 
 
-def in_columns(begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def in_columns(begin: np.ndarray, length: np.ndarray, places: int = CHAIN) -> tuple[np.ndarray, np.ndarray]:
     """Token numbers (places, chains) and which are real."""
-    place = np.arange(CHAIN)[:, None]
+    place = np.arange(min(places, length.max(initial=1)))[:, None]
     return np.minimum(begin + place, begin + length - 1), place < length
 
 
@@ -234,13 +235,16 @@ class Tagger:
             return [(0.0, np.zeros(0)) for _ in texts]
         own, before, after = np.array([self.known[w] for ws in listed for w in ws]).T
         begin, length = chains(sizes)
-        at, valid = in_columns(begin, length)
+        first, end = (np.repeat(x, -(-sizes // CHAIN)) for x in (np.cumsum(sizes) - sizes, np.cumsum(sizes)))
+        wide = np.maximum(begin - BESIDE, first)
+        at, valid = in_columns(wide, np.minimum(begin + length + BESIDE, end) - wide, CHAIN + 2 * BESIDE)
+        inner = valid & (at >= begin) & (at < begin + length)
         e = own[at]
         e[1:] += before[at[:-1]]
         e[:-1] += np.where(valid[1:], after[at[1:]], 0.0)
         p = marginals(e + self.model.bias, valid, self.model.trans, self.model.start)
         flat = np.zeros(int(sizes.sum()))
-        flat[at[valid]] = p[valid]
+        flat[at[inner]] = p[inner]
         edge = np.concatenate([[0], np.cumsum(sizes)])
         return [(float(np.square(flat[a:b]).sum()), flat[a:b]) for a, b in zip(edge, edge[1:], strict=False)]
 

@@ -63,6 +63,20 @@ def test_toxic_spans_and_scores(docs):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3] and kept.first()["label"] == "clash"
 
 
+def test_edges_of_chains_are_no_ends(monkeypatch):
+    """Marginals of a long text are those of one chain over all of it, also where a phrase lies across an edge."""
+    model = toxicity.Field(weights={"w vile": 2.5, "w scum": 2.0}, before={"you": 1.5}, after={"go": 1.0}, trans=np.array([[0.0, -1.0], [-0.5, 2.0]]), start=-3.0, bias=-3.0)
+    words = [f"w{i}" for i in range(300)]
+    for at in (62, 63, 64, 127, 150, 191):
+        words[at : at + 4] = ["you", "vile", "scum", "go"]
+    texts = [" ".join(words), "vile", "", " ".join(words[:65])]
+    got = toxicity.Tagger(model)(texts)
+    monkeypatch.setattr(toxicity, "CHAIN", 400)
+    want = toxicity.Tagger(model)(texts)
+    for (a, p), (b, q) in zip(got, want, strict=True):
+        assert a == pytest.approx(b, abs=2e-3) and np.allclose(p, q, atol=2e-3)
+
+
 def test_one_class_or_none(docs):
     assert toxicity.tag(docs([(1, "x")]), toxicity.fit([])).first()["score"] < 1e-6
     assert toxicity.tag(docs([(1, "x")]), toxicity.fit([("a", 1), ("b", 1)])).first()["score"] > 0.99
