@@ -28,9 +28,11 @@ OWN_FOLDER = f"/tmp/checkpoints/sketchloom-{uuid.uuid4().hex}"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a folder of our own where the session has none."""
+    """The folder all executors share: spark.checkpoint.dir, or a folder of our own where the session has none and runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         atexit.unregister(shutil.rmtree)
         atexit.register(shutil.rmtree, OWN_FOLDER, ignore_errors=True)
         found = f"file://{OWN_FOLDER}"
@@ -42,7 +44,23 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     and the loss of an executor costs only the tasks that it ran."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.cut_path = path
+    return found
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables of cut() that nothing will read again. Shuffle files of ended jobs go when the driver's garbage is collected, which a driver
+    with much memory may do late, so it is asked to. Without tables only that."""
+    spark = SparkSession.getActiveSession()
+    if spark is None or not hasattr(spark, "_jvm"):
+        return
+    for t in tables:
+        if path := getattr(t, "cut_path", None):
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def ascii_lower(col: Column) -> Column:

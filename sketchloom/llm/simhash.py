@@ -7,10 +7,7 @@ pairs are spelled out; a variant has at most C(64, r/2) + ... distinct members (
 copies. Links are verified bit by bit. Components come from repeated minimum labels with pointer jumping, each round written
 to the shared folder.
 
-For a similarity threshold (``one_of_each``) fingerprints are too coarse near the threshold, so there the join is exact, on the sets of 64-bit
-hashes of the five-word shingles: sets 0.8 alike share one of their first fifth of shingles in any common order, here rarest first. Those that share
-one are asked, first with some neighbours in each bucket, then all members of a bucket that the components so far do not hold together, in
-blocks of bounded size. Sizes, places and parities rule out most; every link is verified on the whole sets, and components come from verified links.
+Fingerprints of 64 bits are too coarse to find all pairs of a given similarity; ``near_copies`` completes them for that.
 
 Equal texts fall together before anything is joined: a class is a distinct fingerprint with its smallest doc_id. A null text
 counts as empty; a text without words has fingerprint zero and is linked like any other. A null doc_id counts in its class
@@ -24,13 +21,15 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices_of, text_key
+from .common import cut, release, slices_of
 
 SEED = 42
 ROUNDS = 64
+UNPACKED = 100_000
+SLICE = 2_000_000
 
 
 def simhash(text: str | None, width: int = 3) -> int:
@@ -40,16 +39,23 @@ def simhash(text: str | None, width: int = 3) -> int:
         return 0
     parts = map(b" ".join, zip(*(words[i:] for i in range(width)))) if len(words) > width else [b" ".join(words)]  # noqa: B905
     n = max(1, len(words) - width + 1)
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), dtype=np.dtype("<u8"), count=n)
-    counts = np.unpackbits(hashes.view(np.uint8).reshape(n, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), dtype=np.dtype("<u8"), count=n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64 bits of which each is set in over half the hashes; none of no hashes. Bits are unpacked in blocks, so memory is bounded."""
+    counts = np.zeros(64, dtype=np.int64)
+    for i in range(0, len(hashes), UNPACKED):
+        part = np.ascontiguousarray(hashes[i : i + UNPACKED]).view(np.uint8).reshape(-1, 8)
+        counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, width: int = 3, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The key columns (longs) and fp (the 64 bits as a signed long), one row per document."""
 
     def run(batches):
-        for b in batches:
+        for b in slices_of(batches, SLICE):
             fp = np.array([simhash(t, width) for t in b.column("text").to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(b.column(k).cast(pa.int64()) for k in keys), pa.array(fp)], [*keys, "fp"])
 
@@ -86,14 +92,16 @@ def components(edges: DataFrame) -> DataFrame:
         jump = near.select(F.col("node").alias("label"), F.col("label").alias("next"))
         best = cut(near.join(jump, "label").select("node", F.least("label", "next").alias("label")), f"best{i}")
         if label_of is None:
-            label_of = best
+            spent, label_of = [near], best
         else:
             fresh = best.select(F.col("node").alias("label"), F.col("label").alias("next"))
-            label_of = cut(label_of.join(fresh, "label", "left").select("node", F.coalesce("next", "label").alias("label")), f"label{i}")
+            spent, label_of = [near, best, label_of], cut(label_of.join(fresh, "label", "left").select("node", F.coalesce("next", "label").alias("label")), f"label{i}")
         left, right = (best.select(F.col("node").alias(k), F.col("label").alias(f"{k}_label")) for k in ("a", "b"))
         drawn = edges.join(left, "a").join(right, "b").where("a_label <> b_label")
-        edges = cut(drawn.select(F.greatest("a_label", "b_label").alias("a"), F.least("a_label", "b_label").alias("b")).distinct(), f"edges{i}")
+        spent, edges = [*spent, edges], cut(drawn.select(F.greatest("a_label", "b_label").alias("a"), F.least("a_label", "b_label").alias("b")).distinct(), f"edges{i}")
+        release(*spent)
         if edges.isEmpty():
+            release(edges)
             return label_of
     raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
 
@@ -114,173 +122,6 @@ def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFra
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-BITS, BAND, LOW = 256, 32, 6
-
-
-def wide_simhash(text: str | None, width: int = 5) -> tuple[bytes, bytes]:
-    """256-bit fingerprint of shingles of ``width`` words, and per band the LOW bits whose counts are nearest to a half."""
-    words = (text or "").encode("utf-8").lower().split()
-    if not words:
-        return bytes(BITS // 8), bytes(range(LOW)) * (BITS // BAND)
-    parts = list(map(b" ".join, zip(*(words[i:] for i in range(width))))) if len(words) > width else [b" ".join(words)]  # noqa: B905
-    raw = b"".join([xxhash.xxh3_128_digest(p, SEED) for p in parts]), b"".join([xxhash.xxh3_128_digest(p, SEED + 1) for p in parts])
-    lean = np.concatenate([np.unpackbits(np.frombuffer(r, np.uint8).reshape(len(parts), 16), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for r in raw])
-    lean = 2 * lean - len(parts)
-    low = np.argsort(np.abs(lean).reshape(-1, BAND), axis=1, kind="stable")[:, :LOW].astype(np.uint8)
-    return np.packbits(lean > 0, bitorder="little").tobytes(), low.tobytes()
-
-
-def band_variants(fp: np.ndarray, low: np.ndarray) -> np.ndarray:
-    """(n, bands * variants) keys: the band's number above its 32 bits, with up to two of its least certain bits flipped."""
-    bands = fp.reshape(len(fp), -1).view("<u4").astype(np.int64)
-    one = np.int64(1) << low.reshape(len(fp), -1, LOW).astype(np.int64)
-    flips = [np.zeros_like(bands)] + [one[:, :, i] for i in range(LOW)] + [one[:, :, i] ^ one[:, :, j] for i, j in combinations(range(LOW), 2)]
-    keys = np.stack([bands ^ f for f in flips], axis=2) | (np.arange(bands.shape[1], dtype=np.int64) << BAND)[None, :, None]
-    return keys.reshape(len(fp), -1)
-
-
-ALIKE = (4, 5)
-SAMPLE, FREQUENT, PARITY = 8_000, 200_000, 512
-STEPS, BLOCK = 3, 500
-
-
-def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
-    """The distinct 64-bit hashes of the shingles of ``width`` words, sorted; a shorter text is one shingle, a text without words has none."""
-    words = (text or "").encode("utf-8").lower().split()
-    if not words:
-        return np.zeros(0, dtype=np.int64)
-    parts = map(b" ".join, zip(*(words[i:] for i in range(width)))) if len(words) > width else [b" ".join(words)]  # noqa: B905
-    return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, parts, repeat(SEED)), dtype=np.uint64, count=max(1, len(words) - width + 1)).view(np.int64))
-
-
-def frequent_shingles(docs: DataFrame, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and counts of the shingles that recur in a sample of texts. They only order the shingles of a text, so that buckets are small:
-    any order gives the same pairs."""
-
-    def run(batches):
-        for b in slices_of(batches, 2_000_000):
-            sets = [shingle_set(t, width) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sets, np.zeros(0, np.int64)]))], ["token"])
-
-    texts = docs.select(F.xxhash64("text").alias("h"), "text").where(F.pmod("h", F.lit(max(1, docs.count() // SAMPLE))) == 0).dropDuplicates(["h"])
-    counts = texts.select("text").mapInArrow(run, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
-    rows = counts.orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow().sort_by("token")
-    return rows["token"].to_numpy(), rows["n"].to_numpy()
-
-
-def prefix_length(n: int) -> int:
-    """Of n shingles in a common order, so many first ones that two sets 0.8 alike share one among them."""
-    return n - -(-ALIKE[0] * n // ALIKE[1]) + 1 if n else 0
-
-
-def prefixes(docs: DataFrame, width: int = 5) -> DataFrame:
-    """k_id, k_text, id (of the shingle set), n (its size), bits (parity of the set's hashes modulo PARITY, as longs) and its prefix, rarest first."""
-    tokens, counts = frequent_shingles(docs, width)
-
-    def one(text):
-        found = shingle_set(text, width)
-        order = found
-        if len(tokens) and len(found):
-            at = np.minimum(np.searchsorted(tokens, found), len(tokens) - 1)
-            order = found[np.argsort(np.where(tokens[at] == found, counts[at], 0), kind="stable")]
-        parity = np.bincount(found & (PARITY - 1), minlength=PARITY) & 1
-        return xxhash.xxh3_64_intdigest(found.tobytes(), SEED), len(found), np.packbits(parity.astype(np.uint8)).view(np.int64), order[: prefix_length(len(found))]
-
-    def lists(parts):
-        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate(parts)))
-
-    def run(batches):
-        for b in slices_of(batches, 2_000_000):
-            if b.num_rows:
-                ids, sizes, bits, first = zip(*map(one, b.column("text").to_pylist()), strict=True)
-                cols = [pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), lists(bits), lists(first)]
-                yield pa.RecordBatch.from_arrays([b.column("k_id"), b.column("k_text"), *cols], ["k_id", "k_text", "id", "n", "bits", "prefix"])
-
-    return docs.select(*text_key(), "text").mapInArrow(run, "k_id long, k_text long, id long, n int, bits array<long>, prefix array<long>")
-
-
-def could_be(x: str, y: str) -> Column:
-    """True unless structs x and y (n, pos) rule out that their sets are 0.8 alike: by sizes, or by what is left after the first shared shingle.
-    True of every pair 0.8 alike at the first shingle they share."""
-    sizes = ALIKE[1] * F.least(f"{x}.n", f"{y}.n") >= ALIKE[0] * F.greatest(f"{x}.n", f"{y}.n")
-    shared = F.least(F.col(f"{x}.n") - F.col(f"{x}.pos"), F.col(f"{y}.n") - F.col(f"{y}.pos"))
-    return sizes & (sum(ALIKE) * shared >= ALIKE[0] * (F.col(f"{x}.n") + F.col(f"{y}.n")))
-
-
-def parities_fit(x: str, y: str) -> Column:
-    """True unless the parities of structs x and y (n, bits) rule it out: each shingle in one set only changes one of them."""
-    differ = sum((F.bit_count(F.col(f"{x}.bits")[i].bitwiseXOR(F.col(f"{y}.bits")[i])) for i in range(PARITY // 64)), F.lit(0))
-    return sum(ALIKE) * differ <= (ALIKE[1] - ALIKE[0]) * (F.col(f"{x}.n") + F.col(f"{y}.n"))
-
-
-def alike(docs: DataFrame, classes: DataFrame, asked: DataFrame, width: int = 5) -> DataFrame:
-    """The rows of ``asked`` (ids a and b, other columns) whose shingle sets are 0.8 alike, by all shingles."""
-
-    def run(batches):
-        for b in slices_of(batches, 2_000_000):
-            sets = [shingle_set(t, width) for t in b.column("text").to_pylist()]
-            edges = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.ListArray.from_arrays(edges, pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))], ["id", "tokens"])
-
-    asked = cut(asked, "asked")
-    ids = asked.select(F.col("a").alias("id")).unionByName(asked.select(F.col("b").alias("id"))).distinct()
-    keys = classes.join(ids, "id").select("id", "first.k_id", "first.k_text")
-    texts = docs.select(*text_key(), "text").join(keys, ["k_id", "k_text"]).dropDuplicates(["k_id", "k_text"]).select("id", "text")
-    sets = cut(texts.mapInArrow(run, "id long, tokens array<long>"), "sets")
-    side = lambda k: sets.select(F.col("id").alias(k), F.col("tokens").alias(f"t{k}"))
-    enough = sum(ALIKE) * F.size(F.array_intersect("ta", "tb")) >= ALIKE[0] * (F.size("ta") + F.size("tb"))
-    return asked.join(side("a"), "a").join(side("b"), "b").where(enough).select(*asked.columns)
-
-
-def met_shingles(classes: DataFrame) -> DataFrame:
-    """(token, m, x): the prefix shingles that m > 1 classes hold, with x the struct (id, n, pos) of a class."""
-    held = classes.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
-    held = held.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("m > 1")
-    return held.select("token", "m", F.struct("id", "n", "pos").alias("x"))
-
-
-def wide_labels(docs: DataFrame, classes: DataFrame, width: int = 5) -> DataFrame:
-    """(node, label) of the linked classes (columns id, first, n, bits, prefix), by ids: each class is asked with some of those it shares a prefix shingle with."""
-    met = cut(met_shingles(classes), "met")
-    bucket = Window.partitionBy("token").orderBy(F.xxhash64("x.id"), "x.id")
-    near = met.select("x", F.array(*(F.lag("x", k).over(bucket) for k in range(1, STEPS + 1))).alias("ys")).select("x", F.explode("ys").alias("y")).where("y is not null")
-    near = near.where(could_be("x", "y")).select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
-    first = cut(components(alike(docs, classes, near, width)), "first")
-    label = lambda k: first.select(F.col("node").alias(k), F.col("label").alias(f"l{k}"))
-    known = classes.select("id", "bits").join(first.withColumnRenamed("node", "id"), "id", "left")
-    known = met.select("token", "m", "x.*").join(known, "id").select(
-        "token", F.ceil(F.col("m") / BLOCK).cast("int").alias("k"), F.struct("id", "n", "pos", "bits").alias("x"), F.coalesce("label", "id").alias("label")
-    )
-    own = F.pmod(F.xxhash64("x.id"), F.col("k")).cast("int")
-    dealt = known.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    dealt = dealt.select("token", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "x", "label")
-    right = dealt.select("token", "lo", "hi", F.col("own").alias("own2"), F.col("x").alias("y"), F.col("label").alias("label2"))
-    # blocks lo and hi of a token meet once: lo on the left, hi on the right; within one block the smaller id on the left
-    sides = ((F.col("lo") < F.col("hi")) & (F.col("own") < F.col("own2"))) | ((F.col("lo") == F.col("hi")) & (F.col("x.id") < F.col("y.id")))
-    rest = dealt.join(right, ["token", "lo", "hi"]).where(sides & (F.col("label") != F.col("label2")) & could_be("x", "y") & parities_fit("x", "y"))
-    rest = rest.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
-    found = alike(docs, classes, rest, width).join(label("a"), "a", "left").join(label("b"), "b", "left")
-    found = found.select(F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb"))
-    second = cut(components(found.select(F.greatest("la", "lb").alias("a"), F.least("la", "lb").alias("b"))), "second")
-    moved = first.join(second.select(F.col("node").alias("label"), F.col("label").alias("next")), "label", "left").select("node", F.coalesce("next", "label").alias("label"))
-    return moved.unionByName(second.join(first.select("node"), "node", "left_anti"))
-
-
-def one_of_each(docs: DataFrame, width: int = 5) -> DataFrame:
-    """docs with one row of each group of near copies (0.8 or more alike on shingles of ``width`` words, or linked by rows that are) kept: that of the smallest
-    doc_id (null last; ties by text hash). All columns stay."""
-    cols = docs.columns
-    first = F.struct((F.col("k_id") == -(2**63)).alias("no_id"), "k_id", "k_text")
-    least = prefixes(docs, width).groupBy("id").agg(F.min(F.struct(first.alias("first"), "n", "bits", "prefix")).alias("c"))
-    classes = cut(least.select("id", "c.*"), "wide-classes")
-    labels = cut(wide_labels(docs, classes, width), "wide-labels")
-    linked = classes.join(labels.withColumnRenamed("node", "id"), "id", "left").select("first", F.coalesce("label", "id").alias("label"))
-    kept = linked.groupBy("label").agg(F.min("first").alias("first")).select("first.k_id", "first.k_text")
-    rows = docs.select(F.struct(*cols).alias("row"), *text_key()).join(kept, ["k_id", "k_text"])
-    copy = F.row_number().over(Window.partitionBy("k_id", "k_text").orderBy("k_text"))
-    return rows.withColumn("copy", copy).where("copy = 1").select("row.*")
-
-
 def as_hex(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 

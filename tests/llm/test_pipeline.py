@@ -4,7 +4,7 @@ import sys
 import pytest
 
 import corpus_pipeline as c
-from sketchloom.llm import secret_scan, simhash, toxicity
+from sketchloom.llm import near_copies, secret_scan, toxicity
 from sketchloom.llm.common import cut, table
 
 
@@ -31,7 +31,7 @@ def test_decisions(stages, spark, sf_dir):
     ids = lambda d: sorted(r["doc_id"] for r in d.select("doc_id").collect())
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
     assert ids(toxic) == ids(toxicity.tag(docs, model).where("score < 0.3"))
-    assert ids(single) == ids(simhash.one_of_each(toxic))
+    assert ids(single) == ids(near_copies.one_of_each(toxic))
     texts = [r["text"] for r in single.select("text").collect()]
     assert len(set(texts)) == len(texts)
     assert ids(masked) == ids(single) == ids(mixed) == ids(tokens)
