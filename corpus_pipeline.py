@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sketchloom.llm import bpe, mixing, secret_scan, simhash, toxicity
+from sketchloom.llm import bpe, mixing, near_copies, secret_scan, toxicity
 from sketchloom.llm.common import cut, table
 from sketchloom.llm.queries import tokenizer_path
 
@@ -20,7 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-copies stays, the one with the smallest doc_id. Near: 0.8 or more alike on five-word shingles."""
-    return simhash.one_of_each(docs)
+    return near_copies.one_of_each(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
