@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import cardinality, frequency, membership, quantiles, sampling, streams, theta
+from .plans import cardinality, frequency, membership, quantiles, sampling, states, streams, theta
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-for _module in (cardinality, theta, membership, frequency, sampling, quantiles, streams):
+for _module in (cardinality, theta, membership, frequency, sampling, quantiles, streams, states):
     QUERIES.update(_module.QUERIES)
     ORACLE_SQL.update(_module.ORACLE_SQL)

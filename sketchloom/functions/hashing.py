@@ -1,7 +1,7 @@
 """Hashes for state tables.
 
 ``portable``: the first 15 hex digits of the md5 of the item's text, a 60-bit non-negative integer that any SQL engine can recompute.
-``fast``: xxhash64 cut to 60 bits, inside code generation and several times cheaper; only Spark has it.
+``fast`` (what operators use unless told otherwise): xxhash64 cut to 60 bits, inside code generation and several times cheaper; only Spark has it.
 ``murmur3``: two 32-bit murmur3 hashes put together, also inside code generation.
 
 A null item hashes to null and is skipped by every operator, as count(distinct) does. Doubles are hashed by their text, so
@@ -52,6 +52,19 @@ class Hasher:
         part = lambda at: F.conv(F.substring(digest, at, 8), 16, 10).cast("bigint")
         return part(1), part(9)
 
+    def parts(self, item: str | Column, n: int) -> list[Column]:
+        """n independent hashes of 30 bits at least: four from each md5, two from each 64-bit hash."""
+        text = as_column(item).cast("string")
+        out = []
+        for i in range(n):
+            if self.kind == "portable":
+                digest = F.md5(F.concat(F.lit(f"{i // 4}:"), text).cast("binary"))
+                out.append(F.conv(F.substring(digest, 1 + 8 * (i % 4), 8), 16, 10).cast("bigint"))
+            else:
+                h = self.h60(item, f"{i // 2}:")
+                out.append(F.shiftright(h, 30) if i % 2 else h.bitwiseAND((1 << 30) - 1))
+        return out
+
     def unit(self, item: str | Column, salt: str = "") -> Column:
         """A double in (0, 1) that depends on the item and the salt alone."""
         return (self.h60(item, salt).cast("double") + F.lit(0.5)) / F.lit(SPAN)

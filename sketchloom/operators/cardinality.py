@@ -7,13 +7,15 @@ estimating is one aggregation of the state. The sparse form of a summary is the
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import BITS, PORTABLE, Hasher, as_column, bit_length, power2, present
+from ..functions.hashing import BITS, FAST, Hasher, as_column, bit_length, power2, present
 from ..functions.spec import CpcSpec, HllSpec, HybridSpec, LinearSpec, require
 
 # Thresholds of linear counting for p = 4 to 18.
@@ -36,7 +38,7 @@ def d(x: float) -> Column:
 # -- HLL ------------------------------------------------------------------------------------------------------------------
 
 
-def hll_coupons(df: DataFrame, item: str | Column, keys: list[str], spec: HllSpec = HllSpec(), hasher: Hasher = PORTABLE) -> DataFrame:
+def hll_coupons(df: DataFrame, item: str | Column, keys: list[str], spec: HllSpec = HllSpec(), hasher: Hasher = FAST) -> DataFrame:
     """(keys.., idx, rank): the first p bits of the hash, and the position of the first one in the rest."""
     rest = BITS - spec.p
     hashed = present(df, item).select(*keys, hasher.h60(item).alias("h"))
@@ -44,7 +46,7 @@ def hll_coupons(df: DataFrame, item: str | Column, keys: list[str], spec: HllSpe
     return hashed.select(*keys, F.shiftright("h", rest).cast("int").alias("idx"), (F.lit(rest + 1) - bit_length(low)).cast("int").alias("rank"))
 
 
-def hll_build(df: DataFrame, item: str | Column, keys: list[str], spec: HllSpec = HllSpec(), hasher: Hasher = PORTABLE) -> DataFrame:
+def hll_build(df: DataFrame, item: str | Column, keys: list[str], spec: HllSpec = HllSpec(), hasher: Hasher = FAST) -> DataFrame:
     return hll_combine(hll_coupons(df, item, keys, spec, hasher), keys)
 
 
@@ -135,7 +137,7 @@ def native_hll(df: DataFrame, item: str, keys: list[str], lg_k: int = 12) -> Dat
 # -- CPC ------------------------------------------------------------------------------------------------------------------
 
 
-def cpc_build(df: DataFrame, item: str | Column, keys: list[str], spec: CpcSpec = CpcSpec(), hasher: Hasher = PORTABLE) -> DataFrame:
+def cpc_build(df: DataFrame, item: str | Column, keys: list[str], spec: CpcSpec = CpcSpec(), hasher: Hasher = FAST) -> DataFrame:
     """(keys.., row, bits): the coupons (row, column) of each row as one bit mask."""
     h = present(df, item).select(*keys, hasher.h60(item).alias("h"), hasher.h60(item, "cpc:").alias("g"))
     col = (F.lit(BITS) - bit_length(F.col("g"))).cast("int")
@@ -173,20 +175,25 @@ def icon_polynomial(coupons: Column, spec: CpcSpec) -> Column:
     return F.when(c < 2, c).otherwise(F.greatest(F.when(c > d(5.7 * k), tail).otherwise(curve), c))
 
 
-def icon_inverse(coupons: float, lg_k: int) -> float:
-    """ICON by its definition: the number of items at which that many coupons are expected, by bisection."""
-    if coupons < 2:
-        return float(coupons)
+def icon_inverse(coupons: float | np.ndarray, lg_k: int) -> float | np.ndarray:
+    """ICON by its definition: the number of items at which that many coupons are expected, never under the number of coupons. Newton steps on the logarithm
+    of the number (of which the expectation is a smooth, growing function), side by side for an array."""
     k = 1 << lg_k
-    probabilities = [2.0 ** -(min(c, 62) + 1) / k for c in range(64)]
-    expected = lambda n: k * sum(-math.expm1(n * math.log1p(-p)) for p in probabilities)
-    low, high = 1.0, 2.0
-    while expected(high) < coupons:
-        high *= 2
-    for _ in range(80):
-        mid = (low + high) / 2
-        low, high = (mid, high) if expected(mid) < coupons else (low, mid)
-    return max(high, coupons)
+    c = np.atleast_1d(np.asarray(coupons, dtype=float))
+    logs = np.log1p(-(2.0 ** -(np.minimum(np.arange(64), 62) + 1.0)) / k)
+    n = np.maximum(c, 2.0) * np.where(c > 3 * k, np.exp2(np.clip(c / k - 4.0, 0, 58)), 1.0)
+    low, high = np.maximum(c, 1.0), np.full_like(c, 2.0**80)
+    for _ in range(200):
+        missed = np.exp(n[:, None] * logs)
+        value, slope = k * (1 - missed).sum(axis=1), -k * (missed * logs).sum(axis=1)
+        low, high = np.where(value < c, n, low), np.where(value >= c, n, high)
+        step = n * np.exp(np.clip((c - value) / np.maximum(slope * n, 1e-300), -2, 2))
+        fresh = np.where((step > low) & (step < high), step, np.sqrt(low * high))
+        if (np.abs(fresh - n) <= 1e-13 * n).all():
+            break
+        n = fresh
+    out = np.where(c < 2, c, np.maximum(n, c))
+    return float(out[0]) if np.ndim(coupons) == 0 else out
 
 
 def cpc_estimate(state: DataFrame, keys: list[str], spec: CpcSpec = CpcSpec()) -> DataFrame:
@@ -198,7 +205,7 @@ def cpc_estimate(state: DataFrame, keys: list[str], spec: CpcSpec = CpcSpec()) -
 
     @F.pandas_udf("double")
     def invert(coupons: pd.Series) -> pd.Series:
-        return coupons.map(lambda c: icon_inverse(float(c), spec.lg_k)).astype(float)
+        return pd.Series(icon_inverse(coupons.to_numpy(dtype=float), spec.lg_k))
 
     return flavored.withColumn("estimate", invert("coupons"))
 
@@ -206,7 +213,7 @@ def cpc_estimate(state: DataFrame, keys: list[str], spec: CpcSpec = CpcSpec()) -
 # -- linear and hybrid counters -------------------------------------------------------------------------------------------
 
 
-def linear_build(df: DataFrame, item: str | Column, keys: list[str], spec: LinearSpec, hasher: Hasher = PORTABLE) -> DataFrame:
+def linear_build(df: DataFrame, item: str | Column, keys: list[str], spec: LinearSpec, hasher: Hasher = FAST) -> DataFrame:
     """(keys.., bit): the distinct bits set."""
     return present(df, item).select(*keys, (hasher.h60(item) % spec.m).cast("int").alias("bit")).distinct()
 
@@ -226,9 +233,9 @@ def linear_estimate(state: DataFrame, keys: list[str], spec: LinearSpec) -> Data
     )
 
 
-def hybrid_estimate(df: DataFrame, item: str | Column, keys: list[str], spec: HybridSpec, hasher: Hasher = PORTABLE) -> DataFrame:
-    """keys.., mode, estimate. Both states are kept, so nothing seen before the switch is lost: the linear count answers while its rule
-    holds, the HLL beyond it. One pass over the input: both slots are read off the same rows."""
+def hybrid_build(df: DataFrame, item: str | Column, keys: list[str], spec: HybridSpec, hasher: Hasher = FAST) -> DataFrame:
+    """(keys.., part, idx, rank): bits of the linear counter (part 0) and registers of the HLL (part 1). Both are kept, so nothing seen before the
+    switch is lost and states merge whatever their modes. One pass over the input: both slots are read off the same rows."""
     rest = BITS - spec.hll.p
     h = present(df, item).select(*keys, hasher.h60(item).alias("h"))
     rank = (F.lit(rest + 1) - bit_length(F.col("h").bitwiseAND((1 << rest) - 1))).cast("int")
@@ -240,8 +247,23 @@ def hybrid_estimate(df: DataFrame, item: str | Column, keys: list[str], spec: Hy
                 F.struct(F.lit(1).alias("part"), F.shiftright("h", rest).cast("int").alias("idx"), rank.alias("rank")),
             )
         ).alias("s"),
-    ).select(*keys, "s.*")
-    state = both.groupBy(*keys, "part", "idx").agg(F.max("rank").alias("rank"))
+    )
+    return hybrid_combine(both.select(*keys, "s.*"), keys)
+
+
+def hybrid_combine(states: DataFrame, keys: list[str]) -> DataFrame:
+    """States of the given keys (a subset of the state's: a roll-up)."""
+    return states.groupBy(*keys, "part", "idx").agg(F.max("rank").alias("rank"))
+
+
+def hybrid_merge(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    cols = [*keys, "part", "idx", "rank"]
+    return hybrid_combine(a.select(cols).unionByName(b.select(cols)), keys)
+
+
+def hybrid_statistics(state: DataFrame, keys: list[str], spec: HybridSpec) -> DataFrame:
+    """keys.., mode, estimate, bits_set and fill_ratio (null beyond the switch), transition_threshold, memory_usage (bytes of the form that answers).
+    The linear count answers while its rule holds, the HLL beyond it."""
     used = F.count_if(F.col("part") == 0).cast("double")
     m, k = float(spec.linear.m), float(spec.hll.m)
     linear = F.when(used >= d(m), d(1.5 * m)).otherwise(d(-m) * F.log((d(m) - used) / d(m)))
@@ -250,7 +272,39 @@ def hybrid_estimate(df: DataFrame, item: str | Column, keys: list[str], spec: Hy
     small = d(k) * F.log(d(k) / F.when(zeros > 0, zeros).otherwise(d(1.0)))
     hll = F.when((raw <= d(2.5 * k)) & (zeros > 0), small).otherwise(raw)
     stay = (used / d(m) <= d(0.3)) & (linear <= d(0.1 * m))
-    return state.groupBy(*keys).agg(F.when(stay, "Linear Counter").otherwise("HyperLogLog").alias("mode"), F.when(stay, linear).otherwise(hll).alias("estimate"))
+    return state.groupBy(*keys).agg(
+        F.when(stay, "Linear Counter").otherwise("HyperLogLog").alias("mode"), F.when(stay, linear).otherwise(hll).alias("estimate"),
+        F.when(stay, used.cast("bigint")).alias("bits_set"), F.when(stay, used / d(m)).alias("fill_ratio"),
+        F.lit(spec.threshold).cast("bigint").alias("transition_threshold"), F.when(stay, spec.linear.m // 8).otherwise(spec.hll.m).cast("bigint").alias("memory_usage"),
+    )
+
+
+def hybrid_estimate(df: DataFrame, item: str | Column, keys: list[str], spec: HybridSpec, hasher: Hasher = FAST) -> DataFrame:
+    """keys.., mode, estimate."""
+    return hybrid_statistics(hybrid_build(df, item, keys, spec, hasher), keys, spec).select(*keys, "mode", "estimate")
+
+
+WIDTHS = {"tinyint": 1, "boolean": 1, "smallint": 2, "int": 4, "float": 4, "bigint": 8, "double": 8, "timestamp": 8}
+
+
+def state_size(state: DataFrame, keys: list[str]) -> DataFrame:
+    """keys.., entries, memory_usage: rows of a state table of any family, and their bytes without the keys (strings and arrays by their length)."""
+    width = F.lit(0).cast("bigint")
+    for f in state.schema.fields:
+        if f.name in keys:
+            continue
+        kind, c = f.dataType.simpleString(), F.col(f"`{f.name}`")
+        if kind.startswith("array"):
+            width = width + F.coalesce(F.size(c), F.lit(0)) * WIDTHS.get(kind[6:-1], 8)
+        else:
+            width = width + (WIDTHS[kind] if kind in WIDTHS else F.coalesce(F.octet_length(c.cast("string")), F.lit(0)))
+    return state.groupBy(*keys).agg(F.count(F.lit(1)).alias("entries"), F.coalesce(F.sum(width.cast("bigint")), F.lit(0)).cast("bigint").alias("memory_usage"))
+
+
+def merge_many(states: list[DataFrame], combine: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Any number of states of one family and parameters in one aggregation: ``combine`` is the family's (as hll_combine, cpc_combine or distinct)."""
+    require(bool(states), "there are no states to merge")
+    return combine(reduce(lambda a, b: a.unionByName(b), states))
 
 
 def exact_distinct(df: DataFrame, item: str, keys: list[str], name: str = "exact") -> DataFrame:

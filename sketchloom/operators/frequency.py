@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import PORTABLE, Hasher
+from ..functions.hashing import FAST, Hasher
 from ..functions.spec import FrequentSpec, MatrixSpec, require
 from .cardinality import d
 
@@ -25,14 +25,15 @@ def _counted(df: DataFrame, item: str, keys: list[str], weight: str | Column | N
 def _cells(item: str, spec: MatrixSpec, hasher: Hasher, signed: bool) -> Column:
     """array<struct<row, col, sign>> of an item."""
     rows = []
-    for r in range(spec.depth):
-        sign = (F.lit(1) - 2 * (hasher.h60(item, f"s{r}:") % 2)).cast("int") if signed else F.lit(1)
-        rows.append(F.struct(F.lit(r).alias("row"), (hasher.h60(item, f"{r}:") % spec.width).cast("int").alias("col"), sign.alias("sign")))
+    for r, h in enumerate(hasher.parts(item, spec.depth)):
+        sign = (F.lit(1) - 2 * h.bitwiseAND(1)).cast("int") if signed else F.lit(1)  # the last bit, and the others choose the column
+        col = (F.shiftright(h, 1) if signed else h) % spec.width
+        rows.append(F.struct(F.lit(r).alias("row"), col.cast("int").alias("col"), sign.alias("sign")))
     return F.explode(F.array(*rows))
 
 
 def matrix_build(
-    df: DataFrame, item: str, keys: list[str], spec: MatrixSpec, weight: str | Column | None = None, signed: bool = False, hasher: Hasher = PORTABLE
+    df: DataFrame, item: str, keys: list[str], spec: MatrixSpec, weight: str | Column | None = None, signed: bool = False, hasher: Hasher = FAST
 ) -> DataFrame:
     """(keys.., row, col, n). signed: Count Sketch; else Count-Min."""
     counted = _counted(df, item, keys, weight)
@@ -44,7 +45,7 @@ def matrix_merge(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return a.unionByName(b).groupBy(*keys, "row", "col").agg(F.sum("n").alias("n"))
 
 
-def matrix_query(state: DataFrame, questions: DataFrame, item: str, spec: MatrixSpec, signed: bool = False, hasher: Hasher = PORTABLE) -> DataFrame:
+def matrix_query(state: DataFrame, questions: DataFrame, item: str, spec: MatrixSpec, signed: bool = False, hasher: Hasher = FAST) -> DataFrame:
     """The distinct items of ``questions`` with their estimate: the least cell, or for signed cells the upper median."""
     asked = questions.select(F.col(item)).where(F.col(item).isNotNull()).distinct().withColumn("_item", F.col(item).cast("string"))
     cells = asked.select(F.col(item), _cells("_item", spec, hasher, signed).alias("c")).select(item, "c.*")
@@ -72,7 +73,7 @@ def heavy_cells(state: DataFrame, threshold: int) -> DataFrame:
     return state.where(F.col("n") >= threshold).select("n").distinct()
 
 
-def heavy_items(df: DataFrame, item: str, state: DataFrame, threshold: int, spec: MatrixSpec, hasher: Hasher = PORTABLE) -> DataFrame:
+def heavy_items(df: DataFrame, item: str, state: DataFrame, threshold: int, spec: MatrixSpec, hasher: Hasher = FAST) -> DataFrame:
     """Items whose estimate is at least the threshold (never misses one; Count-Min does not under-estimate)."""
     return matrix_query(state, df, item, spec, hasher=hasher).where(F.col("estimate") >= threshold)
 
@@ -84,7 +85,7 @@ def conservative_update(cells: list[int], count: int) -> list[int]:
     return [max(c, goal) for c in cells]
 
 
-#: Groups of the first round of merging.
+#: Summaries that one task merges.
 FAN_IN = 64
 
 # -- frequent items -------------------------------------------------------------------------------------------------------
@@ -99,8 +100,9 @@ def trim(counts: dict[str, int], size: int) -> tuple[dict[str, int], int]:
 
 
 def frequent_build(df: DataFrame, item: str, spec: FrequentSpec, weight: str | None = None) -> DataFrame:
-    """(item, n, offset, total): a Misra-Gries summary. Tasks summarise their rows as they stream by, at most max_map_size counters each; two
-    rounds of merges bring these down to one. n <= true count <= n + offset."""
+    """(item, n, offset, total): a Misra-Gries summary. Rows are counted by item first (combined before the shuffle); tasks summarise the counts as
+    they stream by, at most max_map_size counters each; rounds of merges, FAN_IN summaries a task, bring these down to one.
+    n <= true count <= n + offset."""
     size = spec.max_map_size
     kinds = "part long, item string, n long, cut long, total long"
 
@@ -128,15 +130,20 @@ def frequent_build(df: DataFrame, item: str, spec: FrequentSpec, weight: str | N
         if total:
             yield rows(counts, off + cut, total, TaskContext.get().partitionId())
 
-    def merge(_, b: pd.DataFrame) -> pd.DataFrame:
-        sums = b.dropna(subset=["item"]).groupby("item")["n"].sum()
-        counts, cut = trim({k: int(v) for k, v in sums.items()}, size)
-        return rows(counts, int(b["cut"].sum()) + cut, int(b["total"].sum()), int(b["part"].iloc[0]))
+    def merged(groups: int):
+        def merge(b: pd.DataFrame) -> pd.DataFrame:
+            sums = b.dropna(subset=["item"]).groupby("item")["n"].sum()
+            counts, cut = trim({k: int(v) for k, v in sums.items()}, size)
+            return rows(counts, int(b["cut"].sum()) + cut, int(b["total"].sum()), int(b["part"].iloc[0]) % groups)
 
-    n = F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
-    parts = df.where(F.col(item).isNotNull()).select(F.col(item).cast("string").alias("item"), n.alias("n")).mapInPandas(local, kinds)
-    for groups in (FAN_IN, 1):  # summaries of bounded size, first by task number, then all that is left
-        parts = parts.groupBy((F.col("part") % groups).alias("g")).applyInPandas(lambda k, b: merge(k, b), kinds)
+        return merge
+
+    counted = _counted(df, item, [], None if weight is None else F.col(weight).cast("long"))
+    parts = counted.select(F.col("_item").alias("item"), F.col("_n").alias("n")).mapInPandas(local, kinds)
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    while tasks > 1:  # summaries of bounded size, FAN_IN of them in a task
+        tasks = -(-tasks // FAN_IN)
+        parts = parts.groupBy((F.col("part") % tasks).alias("g")).applyInPandas(merged(tasks), kinds)
     total = F.sum("cut").over(_all()), F.sum("total").over(_all())
     return parts.select("item", "n", total[0].alias("offset"), total[1].alias("total")).where("item is not null")
 

@@ -12,20 +12,20 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import PORTABLE, Hasher, present
+from ..functions.hashing import FAST, Hasher, present
 from ..functions.spec import BloomSpec, require
 from .cardinality import d
 
 BROADCAST_BITS = 1 << 26
 
 
-def positions(item: str | Column, spec: BloomSpec, hasher: Hasher = PORTABLE) -> Column:
+def positions(item: str | Column, spec: BloomSpec, hasher: Hasher = FAST) -> Column:
     """array<bigint> of the item's positions; null for a null item. 32-bit parts keep the products within a long."""
     one, two = hasher.h32s(item)
     return F.transform(F.sequence(F.lit(0), F.lit(spec.k - 1)), lambda i: (one + i * two) % spec.m)
 
 
-def bloom_build(df: DataFrame, item: str | Column, keys: list[str], spec: BloomSpec, hasher: Hasher = PORTABLE) -> DataFrame:
+def bloom_build(df: DataFrame, item: str | Column, keys: list[str], spec: BloomSpec, hasher: Hasher = FAST) -> DataFrame:
     return present(df, item).select(*keys, F.explode(positions(item, spec, hasher)).alias("pos")).distinct()
 
 
@@ -33,7 +33,7 @@ def bloom_merge(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b).distinct()
 
 
-def bloom_contains(state: DataFrame, questions: DataFrame, item: str, spec: BloomSpec, hasher: Hasher = PORTABLE) -> DataFrame:
+def bloom_contains(state: DataFrame, questions: DataFrame, item: str, spec: BloomSpec, hasher: Hasher = FAST) -> DataFrame:
     """The distinct items of ``questions`` with ``hit``: true for every member, and for some others."""
     asked = questions.select(F.col(item)).where(F.col(item).isNotNull()).distinct()
     spread = asked.select(F.col(item), F.explode(F.array_distinct(positions(item, spec, hasher))).alias("pos"))
@@ -41,7 +41,7 @@ def bloom_contains(state: DataFrame, questions: DataFrame, item: str, spec: Bloo
     return found.groupBy(item).agg((F.count("_in") == F.count(F.lit(1))).alias("hit"))
 
 
-def bloom_semi_join(left: DataFrame, item: str, state: DataFrame, spec: BloomSpec, hasher: Hasher = PORTABLE) -> DataFrame:
+def bloom_semi_join(left: DataFrame, item: str, state: DataFrame, spec: BloomSpec, hasher: Hasher = FAST) -> DataFrame:
     """Rows of left whose item may be a member. Up to BROADCAST_BITS the state goes to every task as one array of 64-bit words (its size is known from
     the spec); beyond it the distinct items are asked by a join."""
     if spec.m > BROADCAST_BITS:
@@ -67,7 +67,7 @@ def expected_fpp(spec: BloomSpec, n: int) -> float:
     return (1 - math.exp(-spec.k * n / spec.m)) ** spec.k
 
 
-def counting_build(df: DataFrame, item: str | Column, keys: list[str], spec: BloomSpec, hasher: Hasher = PORTABLE, delta: Column | None = None) -> DataFrame:
+def counting_build(df: DataFrame, item: str | Column, keys: list[str], spec: BloomSpec, hasher: Hasher = FAST, delta: Column | None = None) -> DataFrame:
     """(keys.., pos, n): counters, saturating at max_count on reading; ``delta`` is +1 to add (default) and -1 to remove."""
     rows = present(df, item).select(*keys, F.explode(positions(item, spec, hasher)).alias("pos"), (F.lit(1) if delta is None else delta).cast("bigint").alias("n"))
     return counting_merge(rows, keys)
@@ -77,14 +77,14 @@ def counting_merge(states: DataFrame, keys: list[str]) -> DataFrame:
     return states.groupBy(*keys, "pos").agg(F.sum("n").alias("n"))
 
 
-def counting_remove(state: DataFrame, items: DataFrame, item: str, spec: BloomSpec, hasher: Hasher = PORTABLE) -> DataFrame:
+def counting_remove(state: DataFrame, items: DataFrame, item: str, spec: BloomSpec, hasher: Hasher = FAST) -> DataFrame:
     """The state without one copy of each distinct member in ``items``; items that are not members change nothing."""
     members = counting_contains(state, items, item, spec, hasher).where("hit").select(item)
     taken = counting_build(members, item, [], spec, hasher, F.lit(-1))
     return counting_merge(state.select("pos", "n").unionByName(taken), []).where("n > 0")
 
 
-def counting_contains(state: DataFrame, questions: DataFrame, item: str, spec: BloomSpec, hasher: Hasher = PORTABLE) -> DataFrame:
+def counting_contains(state: DataFrame, questions: DataFrame, item: str, spec: BloomSpec, hasher: Hasher = FAST) -> DataFrame:
     return bloom_contains(state.where("n > 0"), questions, item, spec, hasher)
 
 

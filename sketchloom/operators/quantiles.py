@@ -41,6 +41,14 @@ def kll_quantiles(states: DataFrame, ranks: list[float], keys: list[str]) -> Dat
     return states.select(*keys, *[pick(r).alias(f"q{i}") for i, r in enumerate(ranks)])
 
 
+def kll_statistics(states: DataFrame, keys: list[str], spec: KllSpec = KllSpec()) -> DataFrame:
+    """keys.., k, total_count, min, max, min_value_set, max_value_set, memory_usage (bytes of the state)."""
+    return states.select(
+        *keys, F.lit(spec.k).cast("bigint").alias("k"), F.kll_sketch_get_n_double("sketch").alias("total_count"), "min", "max",
+        F.col("min").isNotNull().alias("min_value_set"), F.col("max").isNotNull().alias("max_value_set"), F.length("sketch").cast("bigint").alias("memory_usage"),
+    )
+
+
 def kll_ranks(states: DataFrame, splits: list[float], keys: list[str]) -> DataFrame:
     """keys.., cdf: array of inclusive ranks of the split points and a last 1; pmf: its differences."""
     require(list(splits) == sorted(set(splits)), "split points ascend")
@@ -258,8 +266,8 @@ def build(df: DataFrame, value: str, keys: list[str], make: Callable, parse: Cal
 
 
 def merge_states(states: DataFrame, keys: list[str], parse: Callable, fan_in: int = 32) -> DataFrame:
-    """One state per key. A first round merges up to about the square root of a hot key's states per task, so no task gathers a state from
-    every task of a large job."""
+    """One state per key. A first round brings the states of a key down to at most fan_in (and, where the cluster has more slots than fan_in squared, a round before
+    it to fan_in squared), so no task gathers a state from every task of a large job."""
     kinds = ", ".join([*(f"`{k}` {states.schema[k].dataType.simpleString()}" for k in keys), "sketch binary"])
 
     def merge(b: pd.DataFrame) -> pd.DataFrame:
@@ -270,8 +278,10 @@ def merge_states(states: DataFrame, keys: list[str], parse: Callable, fan_in: in
         out["sketch"] = [total.to_bytes()]
         return out
 
-    first = states.withColumn("_s", F.spark_partition_id() % fan_in)
-    once = first.groupBy(*keys, "_s").applyInPandas(lambda b: merge(b), kinds)
+    slots = states.sparkSession.sparkContext.defaultParallelism
+    once = states
+    for groups in [fan_in * fan_in] * (slots > fan_in * fan_in) + [fan_in]:
+        once = once.withColumn("_s", F.spark_partition_id() % groups).groupBy(*keys, "_s").applyInPandas(lambda b: merge(b), kinds)
     return (once.groupBy(*keys) if keys else once.groupBy(F.lit(True).alias("_one"))).applyInPandas(lambda b: merge(b), kinds)
 
 
@@ -299,7 +309,8 @@ def ask(states: DataFrame, keys: list[str], parse: Callable, questions: dict[str
 
 
 def statistics(states: DataFrame, keys: list[str], parse: Callable) -> DataFrame:
-    """keys.., n, min, max, retained (items or centroids kept) and bytes of each stored state."""
+    """keys.., n, min, max, retained (items or centroids kept), levels and bytes of each stored state."""
     kept = lambda s: float(s.retained if isinstance(s, Req) else len(s.means))
-    asked = ask(states, keys, parse, {"n": lambda s: float(s.n), "min": lambda s: s.min, "max": lambda s: s.max, "retained": kept, "bytes": lambda s: float(len(s.to_bytes()))})
-    return asked.select(*keys, F.col("n").cast("bigint").alias("n"), "min", "max", F.col("retained").cast("bigint").alias("retained"), F.col("bytes").cast("bigint").alias("bytes"))
+    levels = lambda s: float(len(s.levels) if isinstance(s, Req) else 1)
+    asked = ask(states, keys, parse, {"n": lambda s: float(s.n), "min": lambda s: s.min, "max": lambda s: s.max, "retained": kept, "levels": levels, "bytes": lambda s: float(len(s.to_bytes()))})
+    return asked.select(*keys, "min", "max", *[F.col(c).cast("bigint").alias(c) for c in ("n", "retained", "levels", "bytes")])

@@ -11,12 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import PORTABLE, SPAN, Hasher
+from ..functions.hashing import FAST, SPAN, Hasher
 from ..functions.spec import SampleSpec
 from .cardinality import d
 
 
-def uniform_sample(df: DataFrame, key: str, spec: SampleSpec, seed: int = 0, hasher: Hasher = PORTABLE) -> DataFrame:
+def uniform_sample(df: DataFrame, key: str, spec: SampleSpec, seed: int = 0, hasher: Hasher = FAST) -> DataFrame:
     """df's columns and sample_hash: k rows, uniform without replacement (all rows where there are no more)."""
     hashed = df.where(F.col(key).isNotNull()).withColumn("sample_hash", hasher.h60(key, f"{seed}:"))
     return hashed.orderBy("sample_hash", key).limit(spec.k)
@@ -26,7 +26,24 @@ def merge_uniform(a: DataFrame, b: DataFrame, key: str, spec: SampleSpec) -> Dat
     return a.unionByName(b).orderBy("sample_hash", key).limit(spec.k)
 
 
-def uniform_sample_by(df: DataFrame, keys: list[str], key: str, spec: SampleSpec, seed: int = 0, hasher: Hasher = PORTABLE) -> DataFrame:
+def uniform_state(df: DataFrame, key: str, spec: SampleSpec, seed: int = 0, hasher: Hasher = FAST) -> DataFrame:
+    """A uniform sample whose rows also carry items_seen, so the statistics are read off the sample itself."""
+    seen = df.where(F.col(key).isNotNull()).agg(F.count(F.lit(1)).alias("items_seen"))
+    return uniform_sample(df, key, spec, seed, hasher).crossJoin(F.broadcast(seen))  # one row
+
+
+def merge_uniform_states(a: DataFrame, b: DataFrame, key: str, spec: SampleSpec) -> DataFrame:
+    seen = a.agg(F.max("items_seen").alias("n")).unionByName(b.agg(F.max("items_seen").alias("n"))).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("items_seen"))
+    return merge_uniform(a.drop("items_seen"), b.drop("items_seen"), key, spec).crossJoin(F.broadcast(seen))  # one row
+
+
+def state_statistics(state: DataFrame, spec: SampleSpec) -> DataFrame:
+    """items_seen, sample_size, capacity, is_full of a sample made by uniform_state."""
+    n = F.count(F.lit(1))
+    return state.agg(F.coalesce(F.max("items_seen"), F.lit(0)).cast("bigint").alias("items_seen"), n.alias("sample_size"), F.lit(spec.k).cast("bigint").alias("capacity"), (n >= spec.k).alias("is_full"))
+
+
+def uniform_sample_by(df: DataFrame, keys: list[str], key: str, spec: SampleSpec, seed: int = 0, hasher: Hasher = FAST) -> DataFrame:
     """A uniform sample of k rows per group. A group of n rows sends about 2 k + 64 of them to its task: rows over that quantile of hashes
     are dropped before the shuffle, and groups that fall short are taken whole."""
     hashed = df.where(F.col(key).isNotNull()).withColumn("sample_hash", hasher.h60(key, f"{seed}:"))
@@ -46,7 +63,7 @@ def sample_statistics(df: DataFrame, key: str, spec: SampleSpec, weight: str | N
     return kept.agg(n.alias("items_seen"), F.least(n, F.lit(spec.k).cast("bigint")).alias("sample_size"), F.lit(spec.k).cast("bigint").alias("capacity"), (n >= spec.k).alias("is_full"), *more)
 
 
-def weighted_sample(df: DataFrame, key: str, weight: str, spec: SampleSpec, seed: int = 0, hasher: Hasher = PORTABLE) -> DataFrame:
+def weighted_sample(df: DataFrame, key: str, weight: str, spec: SampleSpec, seed: int = 0, hasher: Hasher = FAST) -> DataFrame:
     """df's columns and sample_key = ln(u) / w, the k largest."""
     u = hasher.unit(key, f"{seed}:")
     keyed = df.where(F.col(key).isNotNull() & (F.col(weight) > 0)).withColumn("sample_key", F.log(u) / F.col(weight).cast("double"))
@@ -71,7 +88,7 @@ def varopt_tau(df: DataFrame, weight: str, spec: SampleSpec) -> DataFrame:
     return sums.join(first, F.lit(True), "left").select(F.coalesce("tau", d(0.0)).alias("tau"), F.coalesce("heavy", "n").alias("heavy"), "n", "total")  # one row each
 
 
-def varopt_sample(df: DataFrame, key: str, weight: str, spec: SampleSpec, seed: int = 0, hasher: Hasher = PORTABLE) -> DataFrame:
+def varopt_sample(df: DataFrame, key: str, weight: str, spec: SampleSpec, seed: int = 0, hasher: Hasher = FAST) -> DataFrame:
     """df's columns, tau and adjusted weight max(w, tau): all heavy items, and the k - heavy lighter ones with the smallest
     priority u tau / w. If there are at most k items all are kept with their weights."""
     tau = varopt_tau(df, weight, spec)
@@ -90,7 +107,7 @@ def subset_sum(sample: DataFrame, weight: str, predicate: Column) -> DataFrame:
     return chosen.select("estimate", F.greatest(d(0.0), F.col("estimate") - d(1.96) * F.col("_sd")).alias("lower"), (F.col("estimate") + d(1.96) * F.col("_sd")).alias("upper"))
 
 
-def varopt_merge(a: DataFrame, b: DataFrame, key: str, spec: SampleSpec, seed: int = 1, hasher: Hasher = PORTABLE) -> DataFrame:
+def varopt_merge(a: DataFrame, b: DataFrame, key: str, spec: SampleSpec, seed: int = 1, hasher: Hasher = FAST) -> DataFrame:
     """A sample of two samples: their adjusted weights are sampled anew."""
     cols = [c for c in a.columns if c not in ("tau", "adjusted")]
     both = a.select(*cols, "adjusted").unionByName(b.select(*cols, "adjusted")).withColumnRenamed("adjusted", "_w")

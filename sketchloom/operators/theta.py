@@ -9,11 +9,15 @@ from above at twice its expected value, 20 standard errors away. So about 2 k ha
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import BITS, PORTABLE, SPAN, Hasher, as_column, present
-from ..functions.spec import AodSpec, ThetaSpec
+from ..functions.hashing import BITS, FAST, SPAN, Hasher, as_column, present
+from ..functions.spec import AodSpec, ThetaSpec, require
 from .cardinality import d
 
 FULL = 1 << BITS
@@ -43,7 +47,7 @@ def _build(hashed: DataFrame, keys: list[str], k: int, aggs: list[Column], scree
     return _smallest(rows.groupBy(*keys, "h").agg(*aggs) if aggs else rows.select(*keys, "h").distinct(), keys, k)
 
 
-def theta_build(df: DataFrame, item: str | Column, keys: list[str], spec: ThetaSpec = ThetaSpec(), hasher: Hasher = PORTABLE, screen: bool = True) -> DataFrame:
+def theta_build(df: DataFrame, item: str | Column, keys: list[str], spec: ThetaSpec = ThetaSpec(), hasher: Hasher = FAST, screen: bool = True) -> DataFrame:
     hashed = present(df, item).select(*keys, hasher.h60(item).alias("h"))
     return _build(hashed, keys, spec.nominal, [], screen)
 
@@ -60,6 +64,23 @@ def theta_union(a: DataFrame, b: DataFrame, keys: list[str], spec: ThetaSpec = T
     return _smallest(both.groupBy(*keys, "h").agg(F.min("theta").alias("theta")), keys, spec.nominal)
 
 
+def theta_union_many(states: list[DataFrame], keys: list[str], spec: ThetaSpec = ThetaSpec()) -> DataFrame:
+    """Union of any number of states in one aggregation."""
+    require(bool(states), "there are no states to merge")
+    rows = reduce(lambda a, b: a.unionByName(b), [s.select(*keys, "h", "theta") for s in states])
+    return _smallest(rows.groupBy(*keys, "h").agg(F.min("theta").alias("theta")), keys, spec.nominal)
+
+
+def theta_intersect_many(states: list[DataFrame], keys: list[str]) -> DataFrame:
+    """Hashes that every state holds, below the smallest theta of all; one aggregation."""
+    require(bool(states), "there are no states to intersect")
+    rows = reduce(lambda a, b: a.unionByName(b), [s.select(*keys, "h", "theta", F.lit(i).alias("_i")) for i, s in enumerate(states)])
+    least = rows.groupBy(*keys).agg(F.min("theta").alias("_t"))
+    held = rows.groupBy(*keys, "h").agg(F.count_distinct("_i").alias("_n")).where(F.col("_n") == len(states))
+    joined = held.join(least, keys) if keys else held.crossJoin(F.broadcast(least))  # no keys: one row
+    return joined.where(F.col("h") < F.col("_t")).select(*keys, "h", F.col("_t").alias("theta"))
+
+
 def _with_theta(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """a with the smaller theta of both sides; a key that b lacks keeps its own."""
     other = b.groupBy(*keys).agg(F.min("theta").alias("_t"))
@@ -88,38 +109,73 @@ def native_theta(df: DataFrame, item: str, keys: list[str], lg_k: int = 12) -> D
 
 # -- tuple: a summary per hash --------------------------------------------------------------------------------------------
 
-COMBINE = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
+
+@dataclass(frozen=True)
+class Summary:
+    """What stands beside a hash. make: aggregate of the rows' values; merge: aggregate of states; put: of two sides in an intersection."""
+
+    make: Callable[[Column], Column]
+    merge: Callable[[Column], Column]
+    put: Callable[[Column, Column], Column]
+
+
+def _plus(x: Column, y: Column) -> Column:
+    return x + y
+
+
+def array_sum(n: int) -> Summary:
+    """Sums of arrays of n doubles, place by place."""
+    def add(c: Column) -> Column:
+        return F.array(*[F.sum(c[i].cast("double")) for i in range(n)])
+
+    return Summary(add, add, lambda x, y: F.zip_with(x, y, _plus))
+
+
+SUMMARIES = {"sum": Summary(F.sum, F.sum, _plus), "count": Summary(F.count, F.sum, _plus), "min": Summary(F.min, F.min, F.least), "max": Summary(F.max, F.max, F.greatest)}
+
+
+def summary(how: str | Summary) -> Summary:
+    return SUMMARIES[how] if isinstance(how, str) else how
 
 
 def tuple_build(
-    df: DataFrame, item: str | Column, summaries: dict[str, tuple[str, str | Column]], keys: list[str], spec: ThetaSpec = ThetaSpec(), hasher: Hasher = PORTABLE
+    df: DataFrame, item: str | Column, summaries: dict[str, tuple[str | Summary, str | Column]], keys: list[str], spec: ThetaSpec = ThetaSpec(), hasher: Hasher = FAST
 ) -> DataFrame:
-    """summaries: name -> (sum | count | min | max, column). Every kept hash has its whole summary: all rows are aggregated per hash before any hash is let go."""
+    """summaries: name -> (sum | count | min | max or a Summary, column). Every kept hash has its whole summary: all rows are aggregated per hash before any hash is let go."""
     values = [as_column(c).alias(f"_v{i}") for i, (_, c) in enumerate(summaries.values())]
     hashed = present(df, item).select(*keys, hasher.h60(item).alias("h"), *values)
-    make = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
-    aggs = [make[how](f"_v{i}").alias(name) for i, (name, (how, _)) in enumerate(summaries.items())]
+    aggs = [summary(how).make(F.col(f"_v{i}")).alias(name) for i, (name, (how, _)) in enumerate(summaries.items())]
     return _build(hashed, keys, spec.nominal, aggs, True)
 
 
-def tuple_union(a: DataFrame, b: DataFrame, summaries: dict[str, str], keys: list[str], spec: ThetaSpec = ThetaSpec()) -> DataFrame:
+def tuple_union(a: DataFrame, b: DataFrame, summaries: dict[str, str | Summary], keys: list[str], spec: ThetaSpec = ThetaSpec()) -> DataFrame:
     cols = [*keys, "h", "theta", *summaries]
     both = a.select(cols).unionByName(b.select(cols))
-    merged = both.groupBy(*keys, "h").agg(F.min("theta").alias("theta"), *[COMBINE[how](n).alias(n) for n, how in summaries.items()])
+    merged = both.groupBy(*keys, "h").agg(F.min("theta").alias("theta"), *[summary(how).merge(F.col(n)).alias(n) for n, how in summaries.items()])
     return _smallest(merged, keys, spec.nominal)
 
 
-def tuple_intersect(a: DataFrame, b: DataFrame, summaries: dict[str, str], keys: list[str]) -> DataFrame:
+def tuple_intersect(a: DataFrame, b: DataFrame, summaries: dict[str, str | Summary], keys: list[str]) -> DataFrame:
     right = b.select(*keys, "h", *[F.col(n).alias(f"_{n}") for n in summaries])
-    put = {"sum": lambda x, y: x + y, "count": lambda x, y: x + y, "min": F.least, "max": F.greatest}
     joined = _with_theta(a, b, keys).join(right, [*keys, "h"])
-    return joined.select(*keys, "h", "theta", *[put[how](F.col(n), F.col(f"_{n}")).alias(n) for n, how in summaries.items()])
+    return joined.select(*keys, "h", "theta", *[summary(how).put(F.col(n), F.col(f"_{n}")).alias(n) for n, how in summaries.items()])
 
 
 def tuple_difference(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return theta_difference(a, b, keys)
 
 
+def tuple_get(state: DataFrame, items: DataFrame, item: str, hasher: Hasher = FAST) -> DataFrame:
+    """The distinct items asked for with their summaries; null where the item was never seen or was let go. For a state without keys."""
+    asked = items.select(F.col(item)).where(F.col(item).isNotNull()).distinct().withColumn("h", hasher.h60(item))
+    return asked.join(state.drop("theta"), "h", "left").drop("h")
+
+
+def tuple_map(state: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """keys.., summaries: a map from hash to its summaries, at most k entries a key."""
+    return state.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("h", F.struct(*names)))).alias("summaries"))
+
+
 def tuple_estimate(state: DataFrame, keys: list[str], sums: list[str] = ()) -> DataFrame:
     """As theta_estimate, and for each summary in ``sums`` its total over all items, scaled by theta."""
     n, top = F.count(F.lit(1)), F.coalesce(F.min("theta"), F.lit(FULL))
@@ -131,7 +187,7 @@ def tuple_estimate(state: DataFrame, keys: list[str], sums: list[str] = ()) -> D
 # -- array of doubles -----------------------------------------------------------------------------------------------------
 
 
-def aod_build(df: DataFrame, item: str | Column, values: list[str], order: str, keys: list[str], spec: AodSpec, hasher: Hasher = PORTABLE) -> DataFrame:
+def aod_build(df: DataFrame, item: str | Column, values: list[str], order: str, keys: list[str], spec: AodSpec, hasher: Hasher = FAST) -> DataFrame:
     """(keys.., h, theta, values, seq): per hash the values of its last row by ``order`` (last write wins). A key over its capacity
     keeps the smallest 3/4 of the capacity."""
     if len(values) != spec.num_values:

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.spec import CpcSpec, HllSpec, HybridSpec, LinearSpec
-from ..operators import cardinality as c
+from ..operators import cardinality
 from ..operators.cardinality import HLLPP_THRESHOLDS, ICON_11
 from ..sources.tables import table
 from . import sql as q
 
+c = q.Portable(cardinality)
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 
@@ -190,7 +191,7 @@ def native_hll_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select count(distinct o_custkey) as exact, true as within_bound from orders")
 def native_hll_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Monthly sketches of Spark's aggregate united into one."""
+    """Monthly summaries of Spark's aggregate united into one."""
     rows = _months(spark, sf_dir)
     union = c.native_hll(rows, "o_custkey", ["month"]).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("est"))
     both = union.crossJoin(c.exact_distinct(rows, "o_custkey", []))  # one row each

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.spec import FrequentSpec, MatrixSpec
-from ..operators import frequency as f
+from ..operators import frequency
 from ..sources.tables import table
 from . import sql as q
 
+f = q.Portable(frequency)
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 SPEC = MatrixSpec(512, 5)
@@ -27,8 +28,9 @@ def _matrix(item: str, tab: str, signed: bool = False) -> str:
     """Cells of each distinct item: item, r, c, s, n."""
     parts = []
     for r in range(SPEC.depth):
-        sign = f"1 - 2 * (({q.h60(item, f's{r}:')}) % 2)" if signed else "1"
-        parts.append(f"select item, n, {r} as r, ({q.h60(item, f'{r}:')}) % {SPEC.width} as c, {sign} as s from i")
+        h = q.part32(item, r)
+        col, sign = (f"({h} >> 1)", f"1 - 2 * ({h} & 1)") if signed else (h, "1")
+        parts.append(f"select item, n, {r} as r, ({col}) % {SPEC.width} as c, {sign} as s from i")
     return f"i as (select {item} as {item}, {item} as item, count(*) as n from {tab} group by 1), cells as ({' union all '.join(parts)}), m as (select r, c, sum(n * s)::bigint as n from cells group by all)"
 
 

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.spec import BloomSpec
-from ..operators import membership as b
+from ..operators import membership
 from ..sources.tables import table
 from . import sql as q
 from .cardinality import r6
 
+b = q.Portable(membership)
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 SPEC = BloomSpec(2000, 0.01)

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.spec import SampleSpec
-from ..operators import sampling as s
+from ..operators import sampling
 from ..sources.tables import table
 from . import sql as q
 
+s = q.Portable(sampling)
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 SPEC = SampleSpec(200)

@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
-from ..functions.hashing import BITS
+import inspect
+from functools import partial
+from types import ModuleType
+
+from ..functions.hashing import BITS, PORTABLE
 from ..operators.cardinality import alpha
 
 
+class Portable:
+    """The operators of a module over the portable hash, which SQL can recompute."""
+
+    def __init__(self, module: ModuleType):
+        self.module = module
+
+    def __getattr__(self, name: str):
+        found = getattr(self.module, name)
+        return partial(found, hasher=PORTABLE) if inspect.isfunction(found) and "hasher" in inspect.signature(found).parameters else found
+
+
 def h60(x: str, salt: str = "") -> str:
     text = f"'{salt}' || ({x})::varchar" if salt else f"({x})::varchar"
     return f"('0x' || substr(md5({text}), 1, 15))::bigint"
@@ -15,6 +30,11 @@ def h32(x: str, part: int) -> str:
     return f"('0x' || substr(md5(({x})::varchar), {1 + 8 * part}, 8))::bigint"
 
 
+def part32(x: str, i: int) -> str:
+    """The i-th of the independent 32-bit hashes."""
+    return f"('0x' || substr(md5('{i // 4}:' || ({x})::varchar), {1 + 8 * (i % 4)}, 8))::bigint"
+
+
 def unit(x: str, salt: str = "") -> str:
     return f"(({h60(x, salt)})::double + 0.5::double) / {2**BITS}::double"
 

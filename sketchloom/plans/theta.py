@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import BITS
 from ..functions.spec import AodSpec, ThetaSpec
-from ..operators import cardinality as c
-from ..operators import theta as t
+from ..operators import cardinality
+from ..operators import theta
 from ..sources.tables import table
 from . import sql as q
 from .cardinality import r6
 
+t = q.Portable(theta)
+c = q.Portable(cardinality)
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 SPEC = ThetaSpec(1024)
@@ -185,7 +187,7 @@ def aod_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     (select count(*) from (select l_partkey from lineitem where l_returnflag = 'A' except select l_partkey from lineitem where l_returnflag = 'R')) as only_first, true as within_bound"""
 )
 def native_theta_set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Intersection and difference of Spark's own sketches against exact set operations; the error is bounded by the union's size."""
+    """Intersection and difference of Spark's own summaries against exact set operations; the error is bounded by the union's size."""
     rows = table(spark, sf_dir, "lineitem")
     sides = [rows.where(F.col("l_returnflag") == f) for f in ("A", "R")]
     pair = t.native_theta(sides[0], "l_partkey", []).withColumnRenamed("sketch", "a").crossJoin(t.native_theta(sides[1], "l_partkey", []).withColumnRenamed("sketch", "b"))  # one row each

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sketchloom.functions.hashing import PORTABLE
 from sketchloom.functions.register import register
 from sketchloom.functions.spec import CpcSpec, HllSpec, MatrixSpec, SampleSpec
 from sketchloom.operators import cardinality as c
@@ -47,7 +48,7 @@ def test_sql_functions(spark):
     register(spark)
     spark.range(5000).select(F.col("id").cast("string").alias("v"), F.col("id").cast("double").alias("x")).createOrReplaceTempView("items")
     rows = spark.sql("select hll_index(h60(v), 12) as idx, max(hll_rank(h60(v), 12)) as rank from items group by 1")
-    built = c.hll_build(spark.table("items"), "v", [])
+    built = c.hll_build(spark.table("items"), "v", [], hasher=PORTABLE)
     assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, built.collect()))
     got = spark.sql("select tdigest_quantile(tdigest_agg(x), 0.5D) as a, req_quantile(req_agg(x), 0.99D) as b, tdigest_rank(tdigest_agg(x), 2500D) as r from items").first()
     assert abs(got["a"] - 2500) < 50 and abs(got["b"] - 4950) < 10 and abs(got["r"] - 0.5) < 0.02
@@ -83,7 +84,7 @@ def test_stream_windows_equal_batch(spark, events):
 def test_stream_sample_equals_batch(spark, events):
     stream, batch = events
     finish(m.sample_stream(stream, ["event_type"], "event_id", SampleSpec(20), seed=3), "samples", "update")
-    rows = spark.table("samples").distinct()
+    rows = spark.table("samples").select("event_type", "item", "sample_hash").distinct()
     seen = spark.createDataFrame(rows.collect(), rows.schema)
     kept = s.uniform_sample_by(seen.select("event_type", F.col("item").alias("event_id")), ["event_type"], "event_id", SampleSpec(20), seed=3)
     direct = s.uniform_sample_by(batch.select("event_type", F.col("event_id").cast("string").alias("event_id")), ["event_type"], "event_id", SampleSpec(20), seed=3)
