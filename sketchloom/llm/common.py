@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
 import gc
-import shutil
 import uuid
 from collections.abc import Iterator
 
@@ -16,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -23,22 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-#: Only for sessions on one machine without a shared folder, as in tests; gone when the process ends.
-OWN_FOLDER = f"/tmp/checkpoints/sketchloom-{uuid.uuid4().hex}"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a folder of our own where the session has none and runs in one process."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        atexit.unregister(shutil.rmtree)
-        atexit.register(shutil.rmtree, OWN_FOLDER, ignore_errors=True)
-        found = f"file://{OWN_FOLDER}"
-    return found.rstrip("/")
-
-
 def cut(df: DataFrame, tag: str) -> DataFrame:
     """df written once as Parquet to the shared folder and read back: nothing upstream is ever computed again,
     and the loss of an executor costs only the tasks that it ran."""
@@ -59,7 +43,7 @@ def release(*tables: DataFrame) -> None:
         if path := getattr(t, "cut_path", None):
             folder = spark._jvm.org.apache.hadoop.fs.Path(path)
             folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
-    gc.collect()
+    give_back()
     spark._jvm.System.gc()
 
 
@@ -99,7 +83,7 @@ def slices_of(batches, limit: int, column: str = "text") -> Iterator[pa.RecordBa
 
 
 def give_back() -> None:
-    """Hands freed memory back to the system: workers live on, beside those of later stages."""
+    """Hands freed memory back to the system: workers live on beside those of later stages, and so does the driver after a fit."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(AttributeError, OSError):  # only where the C library can

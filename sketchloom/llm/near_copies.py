@@ -7,7 +7,7 @@ Ball hashing (``simhash``) asks for the closest pairs. Fingerprints of 64 bits a
    rarest first; a shingle in the first fifth of several classes is a bucket.
 2. Each class is asked with the head (smallest id) of its buckets and with what ball hashing met. Sizes and parities of the sets rule out
    most questions; the rest are verified on the whole sets, and verified links give components.
-3. In buckets that components do not hold together yet, all members outside the bucket's largest component are compared with all members of
+3. In buckets whose other members components do not hold together yet, all outside the bucket's largest component are compared with all members of
    other components, in blocks of bounded size. Sizes, places and parities rule out most; the rest are verified and the components united.
 
 So every link of the whole table is found, or both ends are in one component already. Only classes, their first fifths and questions
@@ -21,6 +21,7 @@ by a second hash.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -33,7 +34,8 @@ from .common import cut, release, slices_of, text_key
 from .simhash import SEED, SLICE, components, links, majority
 
 ALIKE = (4, 5)
-SAMPLE, FREQUENT, PARITY = 8_000, 200_000, 512
+SAMPLE, FREQUENT = 8_000, 200_000
+PARITY, FOLDED = 2048, 512
 BLOCK, PART = 500, 5_000
 
 
@@ -132,12 +134,27 @@ def places_fit(n1: Column, pos1: Column, n2: Column, pos2: Column) -> Column:
     return sum(ALIKE) * F.least(n1 - pos1, n2 - pos2) >= ALIKE[0] * (n1 + n2)
 
 
-def parities_fit(n1: Column, bits1: Column, n2: Column, bits2: Column) -> Column:
-    """Each shingle in one set only changes one of the parities."""
-    differ = sum((F.bit_count(bits1[i].bitwiseXOR(bits2[i])) for i in range(PARITY // 64)), F.lit(0))
+def parities_fit(n1: Column, bits1: Column, n2: Column, bits2: Column, width: int = PARITY) -> Column:
+    """Each shingle in one set only changes one of the ``width`` parities."""
+    differ = sum((F.bit_count(bits1[i].bitwiseXOR(bits2[i])) for i in range(width // 64)), F.lit(0))
     return sum(ALIKE) * differ <= (ALIKE[1] - ALIKE[0]) * (n1 + n2)
 
 
+def folded(bits: Column) -> Column:
+    """Parities modulo FOLDED from those modulo PARITY."""
+    n = FOLDED // 64
+    parts = [[bits[i + k] for k in range(0, PARITY // 64, n)] for i in range(n)]
+    return F.array(*[reduce(Column.bitwiseXOR, p) for p in parts])
+
+
+def may_be_alike(classes: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rows of ``asked`` (ids a and b) that sizes and parities do not rule out."""
+    about = lambda k: classes.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits{k}"))
+    na, nb = F.col("na"), F.col("nb")
+    fits = sizes_fit(na, nb) & parities_fit(na, F.col("bitsa"), nb, F.col("bitsb"))
+    return asked.join(about("a"), "a").join(about("b"), "b").where(fits).select("a", "b")
+
+
 def first_questions(classes: DataFrame, met: DataFrame) -> DataFrame:
     """(a, b): each class with the heads of its buckets, and with what ball hashing links its fingerprint to; only those that may be alike."""
     stars = met.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"))
@@ -145,10 +162,7 @@ def first_questions(classes: DataFrame, met: DataFrame) -> DataFrame:
     same = classes.select("id", "fp").join(heads, "fp").where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"))
     end = lambda k: heads.select(F.col("fp").alias(k), F.col("head").alias(f"{k}_id"))
     balls = links(heads.select("fp")).join(end("a"), "a").join(end("b"), "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
-    about = lambda k: classes.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits{k}"))
-    asked = stars.unionByName(same).unionByName(balls).distinct().join(about("a"), "a").join(about("b"), "b")
-    na, nb = F.col("na"), F.col("nb")
-    asked = cut(asked.where(sizes_fit(na, nb) & parities_fit(na, F.col("bitsa"), nb, F.col("bitsb"))).select("a", "b"), "near-asked")
+    asked = cut(may_be_alike(classes, stars.unionByName(same).unionByName(balls).distinct()), "near-asked")
     release(heads)
     return asked
 
@@ -172,14 +186,14 @@ def alike(docs: DataFrame, classes: DataFrame, asked: DataFrame, width: int = 5)
 
 
 def other_questions(classes: DataFrame, met: DataFrame, labels: DataFrame) -> DataFrame:
-    """(a, b): all pairs that share a bucket, are in different components and may be alike."""
-    named = met.join(labels.withColumnRenamed("node", "id"), "id", "left").select("token", "id", "n", "pos", F.coalesce("label", "id").alias("label"))
+    """(a, b): all pairs that share a bucket, are in different components and may be alike, but for pairs with the head, which have their answers."""
+    named = met.where("id <> head").join(labels.withColumnRenamed("node", "id"), "id", "left").select("token", "id", "n", "pos", F.coalesce("label", "id").alias("label"))
     named = cut(named, "near-named")
     held = named.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"))
     open_ = held.groupBy("token").agg(F.sum("c").alias("m"), F.max(F.struct("c", "label")).alias("most")).where("m > most.c")
     count = lambda x, size: F.ceil(x / size).cast("int")
     open_ = open_.select("token", F.col("most.label").alias("main"), count(F.col("m") - F.col("most.c"), BLOCK).alias("blocks"), count(F.col("m"), PART).alias("parts"))
-    rows = named.join(open_, "token").join(classes.select("id", "bits"), "id")
+    rows = named.join(open_, "token").join(classes.select("id", folded(F.col("bits")).alias("bits")), "id")
     rows = cut(rows, "near-rows")
     dealt = lambda k: F.pmod(F.xxhash64("id"), F.col(k)).cast("int")
     each = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
@@ -189,9 +203,9 @@ def other_questions(classes: DataFrame, met: DataFrame, labels: DataFrame) -> Da
     others = rows.select("token", each("blocks").alias("block"), dealt("parts").alias("part"), about("y"), "main")
     x, y = (lambda k: F.col(f"x.{k}")), (lambda k: F.col(f"y.{k}"))
     once = (x("label") != y("label")) & ((y("label") == F.col("main")) | (x("id") < y("id")))
-    fits = sizes_fit(x("n"), y("n")) & places_fit(x("n"), x("pos"), y("n"), y("pos")) & parities_fit(x("n"), x("bits"), y("n"), y("bits"))
+    fits = sizes_fit(x("n"), y("n")) & places_fit(x("n"), x("pos"), y("n"), y("pos")) & parities_fit(x("n"), x("bits"), y("n"), y("bits"), FOLDED)
     pairs = strays.join(others, ["token", "block", "part"]).where(once & fits)
-    asked = cut(pairs.select(F.greatest(x("id"), y("id")).alias("a"), F.least(x("id"), y("id")).alias("b")).distinct(), "near-asked2")
+    asked = cut(may_be_alike(classes, pairs.select(F.greatest(x("id"), y("id")).alias("a"), F.least(x("id"), y("id")).alias("b")).distinct()), "near-asked2")
     release(named, rows)
     return asked
 

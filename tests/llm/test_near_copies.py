@@ -110,7 +110,7 @@ def test_class_ids_that_fall_together(docs, monkeypatch):
 def test_tables_in_between_are_deleted(docs, spark):
     import os
 
-    from sketchloom.llm.common import shared_dir
+    from sketchloom.sources.shared import shared_dir
 
     frame = docs([(i, f"one text of {i % 7} and some more words") for i in range(50)])
     before = set(os.listdir(shared_dir(spark).removeprefix("file:"))) if os.path.isdir(shared_dir(spark).removeprefix("file:")) else set()
