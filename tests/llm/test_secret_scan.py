@@ -1,12 +1,14 @@
 import hashlib
+import random
 import re
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from sketchloom.llm import trigrams
 from sketchloom.llm.common import table
-from sketchloom.llm.secret_scan import BASE, RULES, SecretRule, candidates, find_secrets, redact, secret_digest
+from sketchloom.llm.secret_scan import BASE, RULES, SecretRule, candidates, find_secrets, postings, redact, secret_digest
 
 from .conftest import ODD
 
@@ -42,8 +44,6 @@ def test_against_re(docs):
 
 
 def test_random_texts(spark, docs):
-    import random
-
     rnd = random.Random(4)
     bits = ["token", "Secret", "api_key", "apikey", "passwd", "password", "=", ":", " ", "'", '"', "abc", "deadbeef", "0123456789", "AKIA", "ABCD1234", "\n", "é", "😀", "-", "=="]
     texts = {i: "".join(rnd.choice(bits) for _ in range(rnd.randint(0, 40))) for i in range(400)}
@@ -55,25 +55,66 @@ def test_odd_rows(docs):
     assert secret_digest(docs(ODD).where("false")).count() == 0
 
 
-@settings(max_examples=50, deadline=None)
-@given(st.text(alphabet="tokensecrapi_y wd", max_size=60))
-def test_queries_have_no_false_negatives(text):
-    """A text with a match satisfies some clause of the rule's trigram query."""
-    rule = BASE[0]
-    if any(c in text for c in rule.clauses):
-        grams = {text[i : i + 3] for i in range(len(text) - 2)}
-        assert any(set(clause) <= grams for clause in rule.query())
+letters = st.sampled_from("abcAB1 _-")
+pieces = st.recursive(
+    st.one_of(letters.map(re.escape), st.sampled_from([".", "[ab]", "[a-z]", "[^a]", r"\w", "(?i:Ab)", "abc", "é"])),
+    lambda inner: st.one_of(
+        st.lists(inner, min_size=1, max_size=4).map("".join),
+        st.tuples(inner, inner).map(lambda x: f"(?:{x[0]}|{x[1]})"),
+        st.tuples(inner, st.sampled_from(["?", "*", "+", "{2}", "{1,3}", "{5,}"])).map(lambda x: f"(?:{x[0]}){x[1]}"),
+    ),
+    max_leaves=8,
+)
+
+
+@settings(max_examples=400, deadline=None)
+@given(pieces, st.text(alphabet="abcAB1 _-é", max_size=40))
+def test_queries_have_no_false_negatives(regex, text):
+    """A text with a match of any regular expression satisfies its trigram query."""
+    if re.search(regex, text):
+        low = text.lower()
+        assert trigrams.holds(trigrams.query_of(regex), {low[i : i + 3] for i in range(len(low) - 2)})
+
+
+def test_derived_queries():
+    assert BASE[1].query() == ("and", ("aki", "kia"))
+    assert trigrams.query_of("ab(c|d)?ef") == ("or", (("and", ("abc", "bce", "cef")), ("and", ("abd", "bde", "def")), ("and", ("abe", "bef"))))
+    assert trigrams.query_of("abc+d") == ("and", ("abc",)) or "abc" in trigrams.grams_of(trigrams.query_of("abc+d"))
+    assert {"pas", "tok", "sec"} <= set(trigrams.grams_of(BASE[0].query()))
 
 
 def test_rules_without_trigrams_scan_fully():
-    assert BASE[2].query() == [] and SecretRule("x", "ab", 0, 1, ("ab",)).query() == []
+    assert BASE[2].query() == trigrams.TRUE and SecretRule("x", "ab", 0, 1).query() == trigrams.TRUE
 
 
 def test_candidates_are_few(docs):
-    rows = candidates(docs([(1, "nothing here"), (2, "my TOKEN is"), (3, "AKIA"), (4, "tok oke ken")]), RULES).collect()
+    frame = docs([(1, "nothing here"), (2, "my TOKEN is"), (3, "AKIA"), (4, "tok oke ken"), (5, None)])
+    rows = candidates(postings(frame, RULES), RULES).collect()
     assert {r["k_id"]: sorted(r["kinds"]) for r in rows} == {2: ["assign"], 3: ["access"], 4: ["assign"]}
 
 
+def test_many_matches(docs):
+    """A text with a hundred thousand matches, whose spans and masked text are those of a regular-expression engine."""
+    n = 100_000
+    text = "".join(f"é secret=abc{i:06d} " for i in range(n))
+    row = secret_digest(docs([(1, text)])).first()
+    assert (row["n_assign"], row["n_access"], row["n_hex"], row["base_sha256"]) == brute(text)
+    assert redact(docs([(1, text)])).first()["text"] == "é [assign] " * n
+
+
+def test_overlapping_spans_are_masked_once(docs):
+    rnd = random.Random(7)
+    texts = {i: "".join(rnd.choice(["secret=", "0123456789abcdef" * 2, "ghp_" + "a1" * 20, " ", "-----BEGIN PRIVATE KEY-----", "x-"]) for _ in range(rnd.randint(0, 30))) for i in range(150)}
+    found = {r["doc_id"]: r["spans"] for r in find_secrets(docs(list(texts.items()))).collect()}
+    for r in redact(docs(list(texts.items()))).collect():
+        out, at = "", 0
+        for x in found[r["doc_id"]]:
+            if x["start"] >= at:
+                out += texts[r["doc_id"]][at : x["start"]] + f"[{x['kind']}]"
+            at = max(at, x["end"])
+        assert r["text"] == out + texts[r["doc_id"]][at:]
+
+
 def test_redaction(docs):
     rows = {r["doc_id"]: r for r in redact(docs([(1, "é token=abcdefgh end"), (2, "clean"), (3, None), (3, None), (4, "secret=" + "a1" * 20)])).collect()}
     assert rows[1]["text"] == "é [assign] end" and rows[2]["text"] == "clean" and rows[3]["text"] is None and rows[4]["text"] == "[assign]"
