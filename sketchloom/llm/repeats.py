@@ -15,12 +15,18 @@ Every byte covered by a string of ``length`` bytes that starts at two places (of
 4. An anchor with more than HOT classes would not fit one task: there each window stands for itself under its own hash, and windows
    that meet are repeated. This is exact too and has no bound on the group.
 
-A null text counts as empty. Repeated rows repeat each other's windows. Rows are keyed by id and text hash, so null or
-repeated ids are safe; other columns are ignored.
+The same search runs over words instead of bytes: a passage is a run of more than PASSAGE words that also stands elsewhere. There a symbol is the
+64-bit hash of a word.
+
+What is gathered in one row is the segments or ranges of one document, fewer than it has bytes. A null text counts as empty. Repeated rows repeat each
+other's windows. Rows are keyed by id and text hash, so null or repeated ids are safe; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +34,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices_by_bytes, text_key
+from .common import cut, release, slices_by_bytes, slices_of, text_key
 
 LENGTH = 400
 GRAM = 32
+PASSAGE, WORD_GRAM = 50, 8
 PIECE = 3_000_000
+SLICE = 3_000_000
 PLACE_BITS = 24
 HOT = 20_000
 BATCH = 6_000
@@ -48,9 +56,27 @@ def _mix(x: np.ndarray) -> np.ndarray:
 _BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
 
 
+def word_hashes(raw: bytes) -> np.ndarray:
+    words = raw.split()
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words, repeat(7)), dtype=np.uint64, count=len(words))
+
+
+@dataclass(frozen=True)
+class Unit:
+    """What a window is counted in. symbols: of a text's bytes; gram: symbols of an anchor (a power of two)."""
+
+    symbols: Callable[[bytes], np.ndarray]
+    gram: int
+    kind: type
+
+
+BYTES = Unit(lambda raw: np.frombuffer(raw, dtype=np.uint8), GRAM, np.uint8)
+WORDS = Unit(word_hashes, WORD_GRAM, np.uint64)
+
+
 def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
-    """Mixed hash of the gram (a power of two) that begins at each byte."""
-    h, power, width = _BYTE[data], _BASE, 1
+    """Mixed hash of the gram (a power of two) that begins at each symbol."""
+    h, power, width = _BYTE[data] if data.dtype == np.uint8 else _mix(data), _BASE, 1
     while width < gram:
         h = h[:-width] * power + h[width:]
         power, width = power * power, width * 2
@@ -91,26 +117,27 @@ def segments(data: np.ndarray, starts: np.ndarray, length: int = LENGTH, gram: i
 SEGMENT = "a long, d long, k_id long, k_text long, s0 long, s1 long, off int"
 
 
-def all_segments(docs: DataFrame, length: int) -> DataFrame:
-    """One row per segment: anchor hash, hash of its bytes, key of the document, first and last window, the anchor's offset."""
+def all_segments(docs: DataFrame, length: int, unit: Unit = BYTES) -> DataFrame:
+    """One row per segment: anchor hash, hash of its symbols, key of the document, first and last window, the anchor's offset."""
 
     def run(batches):
-        for b in batches:
-            texts = [(t or "").encode("utf-8") for t in b.column("text").to_pylist()]
+        for b in slices_of(batches, SLICE):
+            texts = [unit.symbols((t or "").encode("utf-8")) for t in b.column("text").to_pylist()]
             ids, keys = b.column("k_id").to_numpy(zero_copy_only=False), b.column("k_text").to_numpy(zero_copy_only=False)
-            pieces = []  # (row, first byte): a long text goes in pieces that share length - 1 bytes, so no window is lost or doubled
+            pieces = []  # (row, first symbol): a long text goes in pieces that share length - 1 symbols, so no window is lost or doubled
             for i, t in enumerate(texts):
                 pieces += [(i, o) for o in range(0, max(0, len(t) - length + 1), PIECE)]
             sizes = [min(PIECE + length - 1, len(texts[i]) - o) for i, o in pieces]
             for lo, hi in slices_by_bytes(sizes, PIECE):
                 part = pieces[lo:hi]
-                blob = b"".join(texts[i][o : o + n] for (i, o), n in zip(part, sizes[lo:hi], strict=True))
+                data = np.concatenate([texts[i][o : o + n] for (i, o), n in zip(part, sizes[lo:hi], strict=True)])
                 starts = np.concatenate([[0], np.cumsum(sizes[lo:hi])]).astype(np.int64)
-                a, s0, s1, place = segments(np.frombuffer(blob, dtype=np.uint8), starts, length)
+                a, s0, s1, place = segments(data, starts, length, unit.gram)
                 if not len(a):
                     continue
-                view = memoryview(blob)
-                d = np.fromiter((xxhash.xxh3_64_intdigest(view[x : y + length]) for x, y in zip(s0.tolist(), s1.tolist(), strict=True)), np.uint64, len(a))
+                view, wide = memoryview(data).cast("B"), data.itemsize
+                spans = zip((s0 * wide).tolist(), ((s1 + length) * wide).tolist(), strict=True)
+                d = np.fromiter((xxhash.xxh3_64_intdigest(view[x:y]) for x, y in spans), np.uint64, len(a))
                 piece = np.searchsorted(starts, s0, side="right") - 1
                 row = np.array([i for i, _ in part])[piece]
                 shift = np.array([o for _, o in part], dtype=np.int64)[piece] - starts[piece]
@@ -122,19 +149,25 @@ def all_segments(docs: DataFrame, length: int) -> DataFrame:
     return docs.select(*text_key(), "text").mapInArrow(run, SEGMENT)
 
 
-def repeated_windows(rows: list[tuple[int, int, int, bytes]], length: int = LENGTH) -> list[np.ndarray]:
-    """For each (group, anchor offset, windows, bytes): which of its windows also start in another row of its group.
+def repeated_windows(rows: list[tuple[int, int, int, bytes]], length: int = LENGTH, kind: type = np.uint8) -> list[np.ndarray]:
+    """For each (group, anchor offset, windows, bytes of the symbols): which of its windows also start in another row of its group.
 
     Column by column from the right: ``order`` holds the rows by their suffix from this column on, ``lcp`` the common prefix of
     neighbours in it. Rows of a group stay together."""
     n = len(rows)
     left = max(r[1] for r in rows)
     lo = np.array([left - r[1] for r in rows])
-    size = np.array([len(r[3]) for r in rows])
+    data = [np.frombuffer(r[3], dtype=kind) for r in rows]
+    if kind is np.uint8:
+        data = [x.astype(np.uint16) + 1 for x in data]
+    else:  # other symbols by their rank in this batch
+        numbers = np.unique(np.concatenate(data), return_inverse=True)[1].astype(np.uint32) + 1
+        data = np.split(numbers.astype(np.uint16) if numbers.max() < 2**16 else numbers, np.cumsum([len(x) for x in data])[:-1])
+    size = np.array([len(x) for x in data])
     width = int((lo + size).max())
-    table = np.zeros((width, n), dtype=np.uint16)
-    for i, r in enumerate(rows):
-        table[lo[i] : lo[i] + size[i], i] = np.frombuffer(r[3], dtype=np.uint8).astype(np.uint16) + 1
+    table = np.zeros((width, n), dtype=data[0].dtype)
+    for i, x in enumerate(data):
+        table[lo[i] : lo[i] + size[i], i] = x
     names = {g: i for i, g in enumerate(dict.fromkeys(r[0] for r in rows))}
     group = np.array([names[r[0]] for r in rows], dtype=np.int64)
     windows = np.array([r[2] for r in rows])
@@ -168,38 +201,43 @@ def runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return [(int(a), int(b) - 1) for a, b in zip(edge[::2], edge[1::2], strict=True)]
 
 
-def open_bytes(docs: DataFrame, reps: DataFrame, length: int) -> DataFrame:
-    """Bytes of the representatives: (a, w, k_id, k_text, s0, n_win, off, alone, bytes); for a hot anchor a row per window under its
-    hash w, without bytes. One document's representatives are gathered, at most as many as it has segments."""
+OPEN = pa.schema([(k, pa.int64()) for k in ("a", "w", "k_id", "k_text", "s0", "n_win")] + [("off", pa.int32()), ("alone", pa.bool_()), ("bytes", pa.binary())])
+
+
+def open_segments(docs: DataFrame, reps: DataFrame, length: int, unit: Unit) -> DataFrame:
+    """Symbols of the representatives: (a, w, k_id, k_text, s0, n_win, off, alone, bytes); for a hot anchor a row per window under its
+    hash w, without bytes."""
     listed = reps.groupBy("k_id", "k_text").agg(F.collect_list(F.struct("a", "s0", "s1", "off", "alone", "hot")).alias("segs"))
     text = docs.select(*text_key(), "text")
     joined = text.join(listed, ["k_id", "k_text"]).select("k_id", "k_text", "text", "segs")
-    names = ["a", "w", "k_id", "k_text", "s0", "n_win", "off", "alone", "bytes"]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), OPEN, strict=True)], schema=OPEN)
 
     def run(batches):
-        for b in batches:
+        for b in slices_of(batches, SLICE):
             out: list[tuple] = []
             for k_id, k_text, text, segs in zip(*(b.column(c).to_pylist() for c in ("k_id", "k_text", "text", "segs")), strict=True):
-                raw = text.encode("utf-8")
+                data = unit.symbols((text or "").encode("utf-8"))
+                raw, wide = data.tobytes(), data.itemsize
                 for s in segs:
                     a, s0, s1 = s["a"], s["s0"], s["s1"]
                     if not s["hot"]:
-                        out.append((a, 0, k_id, k_text, s0, s1 - s0 + 1, s["off"], s["alone"], raw[s0 : s1 + length]))
+                        out.append((a, 0, k_id, k_text, s0, s1 - s0 + 1, s["off"], s["alone"], raw[s0 * wide : (s1 + length) * wide]))
                         continue
                     for x in range(s0, s1 + 1):
-                        w = xxhash.xxh3_64_intdigest(raw[x : x + length]) >> 1
+                        w = xxhash.xxh3_64_intdigest(raw[x * wide : (x + length) * wide]) >> 1
                         out.append((a, w or 1, k_id, k_text, x, 1, 0, s["alone"], b""))
-                if len(out) > 20_000:
-                    yield pa.RecordBatch.from_arrays(list(map(pa.array, zip(*out, strict=True))), schema=OPEN)
-                    out = []
+                    if len(out) > 20_000:
+                        yield batch_of(out)
+                        out = []
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), OPEN, strict=True)], schema=OPEN)
+                yield batch_of(out)
 
-    OPEN = pa.schema(list(zip(names, [pa.int64()] * 6 + [pa.int32(), pa.bool_(), pa.binary()], strict=True)))
     return joined.mapInArrow(run, "a long, w long, k_id long, k_text long, s0 long, n_win long, off int, alone boolean, bytes binary")
 
 
-def matched(opened: DataFrame, length: int) -> DataFrame:
+def matched(opened: DataFrame, length: int, unit: Unit = BYTES) -> DataFrame:
     """(k_id, k_text, a0, a1): byte ranges found repeated among the opened segments."""
     out_type = pa.schema([("k_id", pa.int64()), ("k_text", pa.int64()), ("a0", pa.int64()), ("a1", pa.int64())])
 
@@ -210,7 +248,7 @@ def matched(opened: DataFrame, length: int) -> DataFrame:
     def resolve(rows: list[tuple]) -> list[tuple]:
         if len(rows) < 2:
             return []
-        hits = repeated_windows([(r[0], r[6], r[5], r[8]) for r in rows], length)
+        hits = repeated_windows([(r[0], r[6], r[5], r[8]) for r in rows], length, unit.kind)
         return [(r[2], r[3], r[4] + x, r[4] + y + length) for r, flags in zip(rows, hits, strict=True) if r[7] and flags.any() for x, y in runs(flags)]
 
     def run(batches):
@@ -242,54 +280,73 @@ def matched(opened: DataFrame, length: int) -> DataFrame:
     return opened.repartition("a", "w").sortWithinPartitions("a", "w").mapInArrow(run, "k_id long, k_text long, a0 long, a1 long")
 
 
-def repeated_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(k_id, k_text, a0, a1): byte ranges [a0, a1) made of repeated windows, per document key; they may overlap."""
-    found = cut(all_segments(docs, length), "segments")
+def repeated_ranges(docs: DataFrame, length: int = LENGTH, unit: Unit = BYTES) -> DataFrame:
+    """(k_id, k_text, a0, a1): ranges [a0, a1) of symbols made of repeated windows, per document key; they may overlap."""
+    found = cut(all_segments(docs, length, unit), "segments")
     # written, so that the join below deals both sides anew and a very frequent anchor's rows can be split among tasks
     twice = cut(found.groupBy("a").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("a"), "anchors")
     live = cut(found.join(twice, "a", "left_semi"), "live")
-    classes = cut(
-        live.groupBy("a", "d").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k_id", "k_text", "s0", "s1", "off")).alias("rep")), "classes"
-    )
+    release(found, twice)
+    least = F.min(F.struct("k_id", "k_text", "s0", "s1", "off")).alias("rep")
+    classes = cut(live.groupBy("a", "d").agg(F.count(F.lit(1)).alias("n"), least), "classes")
+    many = cut(classes.groupBy("a").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "many")
     whole = live.join(classes.where("n > 1").select("a", "d"), ["a", "d"], "left_semi").select(
         "k_id", "k_text", F.col("s0").alias("a0"), (F.col("s1") + length).alias("a1")
     )
-    many = cut(classes.groupBy("a").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "many")
     reps = classes.join(many, "a").select("a", "rep.*", (F.col("n") == 1).alias("alone"), (F.col("m") > HOT).alias("hot"))
-    return whole.unionByName(matched(open_bytes(docs, reps, length), length))
-
-
-def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, spans array<struct<a0, a1>> (maximal removed byte runs, ascending), kept binary: one row per document."""
-    ranges = repeated_ranges(docs, length).groupBy("k_id", "k_text").agg(F.collect_set(F.struct("a0", "a1")).alias("ranges"))
+    ranges = cut(whole.unionByName(matched(open_segments(docs, reps, length, unit), length, unit)), "ranges")
+    release(live, classes, many)
+    return ranges
+
+
+def merged(ranges: list[dict]) -> list[dict]:
+    """Maximal runs of ranges that meet or overlap, ascending."""
+    out: list[dict] = []
+    for r in sorted(ranges, key=lambda r: r["a0"]):
+        if out and r["a0"] <= out[-1]["a1"]:
+            out[-1]["a1"] = max(out[-1]["a1"], r["a1"])
+        else:
+            out.append({"a0": r["a0"], "a1": r["a1"]})
+    return out
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, passage: int | None = None) -> DataFrame:
+    """doc_id, n_bytes, spans array<struct<a0, a1>> (maximal removed byte runs, ascending), kept binary, n_passage_words: one row per document.
+    n_passage_words: words in runs of more than ``passage`` words that also stand elsewhere (null without ``passage``)."""
+    ranges = repeated_ranges(docs, length).withColumn("words", F.lit(False))
+    if passage is not None:
+        ranges = ranges.unionByName(repeated_ranges(docs, passage + 1, WORDS).withColumn("words", F.lit(True)))
+    ranges = ranges.groupBy("k_id", "k_text").agg(F.collect_set(F.struct("words", "a0", "a1")).alias("ranges"))
     joined = docs.select("doc_id", *text_key(), "text").join(ranges, ["k_id", "k_text"], "left").select("doc_id", "text", "ranges")
     span = pa.list_(pa.struct([("a0", pa.int64()), ("a1", pa.int64())]))
 
     def run(batches):
-        for b in batches:
-            n, spans, kept = [], [], []
+        for b in slices_of(batches, SLICE):
+            n, spans, kept, words = [], [], [], []
             for text, ranges in zip(b.column("text").to_pylist(), b.column("ranges").to_pylist(), strict=True):
-                raw, merged, parts, at = (text or "").encode("utf-8"), [], [], 0
-                for r in sorted(ranges or [], key=lambda r: r["a0"]):
-                    if merged and r["a0"] <= merged[-1]["a1"]:
-                        merged[-1]["a1"] = max(merged[-1]["a1"], r["a1"])
-                    else:
-                        merged.append(dict(r))
-                for r in merged:
+                raw, parts, at = (text or "").encode("utf-8"), [], 0
+                gone = merged([r for r in ranges or [] if not r["words"]])
+                for r in gone:
                     parts.append(raw[at : r["a0"]])
                     at = r["a1"]
                 n.append(len(raw))
-                spans.append(merged)
+                spans.append(gone)
                 kept.append(b"".join([*parts, raw[at:]]))
-            ids = b.column("doc_id").cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
+                words.append(None if passage is None else sum(r["a1"] - r["a0"] for r in merged([r for r in ranges or [] if r["words"]])))
+            cols = [b.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary()), pa.array(words, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", "spans", "kept", "n_passage_words"])
 
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<a0:long,a1:long>>, kept binary")
+    return joined.mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<a0:long,a1:long>>, kept binary, n_passage_words long")
 
 
 def repeats_digest(docs: DataFrame) -> DataFrame:
-    """The columns of query op9."""
+    """The columns of query op9, and n_passage_words: strings of LENGTH bytes miss passages of over PASSAGE words that are shorter than that."""
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["a1"] - s["a0"])
-    return without_repeats(docs).select(
-        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    return without_repeats(docs, passage=PASSAGE).select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+        "n_passage_words",
     )

@@ -36,6 +36,19 @@ def corpus():
     return rows + ODD
 
 
+def brute_words(rows, length):
+    """doc -> words covered by strings of ``length`` words that stand at two places."""
+    raw = [(i, (t or "").encode().split()) for i, t in rows]
+    seen = Counter(tuple(x[j : j + length]) for _, x in raw for j in range(len(x) - length + 1))
+    out = []
+    for i, x in raw:
+        hit = np.zeros(len(x), bool)
+        for j in range(len(x) - length + 1):
+            hit[j : j + length] |= seen[tuple(x[j : j + length])] > 1
+        out.append((i, int(hit.sum())))
+    return sorted(out, key=str)
+
+
 def result(frame, length):
     from pyspark.sql import functions as F
 
@@ -60,6 +73,25 @@ def test_small_batches_and_pieces(docs, monkeypatch):
     assert result(docs(rows), 64) == brute(rows, 64)
 
 
+@pytest.mark.parametrize(("piece", "hot"), [(3_000_000, 20_000), (70, 2)])
+def test_passages_against_every_window(docs, monkeypatch, piece, hot):
+    """Runs of over 20 words that stand elsewhere, however short in bytes; a document without any has none."""
+    monkeypatch.setattr(r, "PIECE", piece)
+    monkeypatch.setattr(r, "HOT", hot)
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 5)))
+    passages = [[word() for _ in range(n)] for n in (19, 20, 21, 22, 40, 90)]
+    rows = []
+    for i in range(80):
+        parts = [[word() for _ in range(rnd.randint(0, 40))] if rnd.random() < 0.6 else rnd.choice(passages)[rnd.randint(0, 2) :] for _ in range(rnd.randint(1, 5))]
+        rows.append((i, rnd.choice([" ", "\n", " \t"]).join(w for p in parts for w in p)))
+    rows += [(100 + i, rows[i][1]) for i in range(4)] + [(200, "same " * 100)] + ODD
+    got = r.without_repeats(docs(rows), 400, passage=20).select("doc_id", "n_passage_words").collect()
+    want = brute_words(rows, 21)
+    assert sorted(map(tuple, got), key=str) == want
+    assert any(n == 0 for _, n in want) and any(0 < n < 100 for _, n in want)
+
+
 def test_length_of_the_query(docs):
     base = "".join(chr(97 + i * i % 26) for i in range(399))
     rows = [(1, base + "A"), (2, base + "A"), (3, base + "B"), (4, "x" + base + "A" + "y")]
@@ -94,3 +126,11 @@ def test_prefix_arrays_against_sorting():
         for j in range(win):
             n = sum(h == g and 0 <= (k := j - off + o) < w and x[k : k + 24] == data[j : j + 24] for h, o, w, x in rows)
             assert bool(flags[j]) == (n > 1)
+
+
+def test_a_very_long_text(docs):
+    rnd = random.Random(3)
+    base = "".join(rnd.choice("abcdefgh ") for _ in range(2_000_000))
+    rows = [(1, base * 4), (2, base[1000:1400] + "-"), (3, base[1000:1399] + "-")]
+    got = {i: (n, gone) for i, n, gone, *_ in result(docs(rows), 400)}
+    assert got == {1: (8_000_000, 8_000_000), 2: (401, 400), 3: (400, 0)}
