@@ -99,14 +99,17 @@ def flat_bytes(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, per_class: dict[int, int]) -> list[tuple[str, int]]:
     """(text, label) of a bounded sample of labelled rows: of each class the per_class[c] smallest hashes of doc_id, none from the held-out
-    rows (crc32 of doc_id as text, mod modulus). At most sum(per_class) ids are broadcast and as many rows come to the driver."""
+    rows (crc32 of doc_id as text, mod modulus). At most sum(per_class) ids are broadcast and as many rows come to the driver. An id that is labelled both ways is
+    left out; of several texts under one id the one with the smallest hash is taken, so the sample is the same in every run."""
     usable = labels.where(f"{label} is not null and doc_id is not null").where(F.col(label).isin(list(per_class))).where(fold_of(modulus) != held_out)
+    sure = usable.groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("z")).where("y = z").select("doc_id", F.col("y").cast("int").alias("y"))
     picked = None
     for c, n in sorted(per_class.items()):
-        part = usable.where(F.col(label) == c).select("doc_id", F.col(label).cast("int").alias("y")).dropDuplicates(["doc_id"])
-        part = part.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+        part = sure.where(F.col("y") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
         picked = part if picked is None else picked.unionByName(part)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).collect()
+    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    text = F.coalesce("text", F.lit(""))
+    rows = found.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64(text), text.alias("text")))["text"].alias("text")).collect()
     return [(r["text"] or "", r["y"]) for r in sorted(rows, key=lambda r: r["doc_id"])]
 
 

@@ -20,12 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fit_logistic, fold_of, labelled_sample, sigmoid
+from .common import fit_logistic, fold_of, give_back, labelled_sample, sigmoid, slices_of
 
 PER_CLASS = {0: 2000, 1: 3000}
 BITS = 18
 MASK = np.uint64(2**BITS - 1)
 CACHED = 200_000
+SLICE = 2_000_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -145,7 +146,7 @@ def scores(docs: DataFrame, model: Model, ratio: np.ndarray) -> DataFrame:
     def run(batches):
         words = Words()
         with np.errstate(over="ignore"):
-            for b in batches:
+            for b in slices_of(batches, SLICE):
                 out = [m.score(features(t, words), r) for t in b.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(out, pa.float64())], ["doc_id", "score"])
 
@@ -155,6 +156,7 @@ def scores(docs: DataFrame, model: Model, ratio: np.ndarray) -> DataFrame:
 def quality_scores(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1) -> DataFrame:
     """The columns of query op6."""
     model, ratio = fit(labelled_sample(docs, labels, "quality", modulus, held_out, PER_CLASS))
+    give_back()
     return scores(docs, model, ratio).select(
         "doc_id", (fold_of(modulus) == held_out).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
