@@ -283,19 +283,18 @@ def matched(opened: DataFrame, length: int, unit: Unit = BYTES) -> DataFrame:
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, unit: Unit = BYTES) -> DataFrame:
     """(k_id, k_text, a0, a1): ranges [a0, a1) of symbols made of repeated windows, per document key; they may overlap."""
     found = cut(all_segments(docs, length, unit), "segments")
-    # written, so that the join below deals both sides anew and a very frequent anchor's rows can be split among tasks
+    # written, so that the joins below deal both sides anew and a very frequent anchor's rows, which come from all tasks, can be split among tasks
     twice = cut(found.groupBy("a").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("a"), "anchors")
-    live = cut(found.join(twice, "a", "left_semi"), "live")
-    release(found, twice)
     least = F.min(F.struct("k_id", "k_text", "s0", "s1", "off")).alias("rep")
-    classes = cut(live.groupBy("a", "d").agg(F.count(F.lit(1)).alias("n"), least), "classes")
+    classes = cut(found.join(twice, "a", "left_semi").groupBy("a", "d").agg(F.count(F.lit(1)).alias("n"), least), "classes")
+    release(twice)
     many = cut(classes.groupBy("a").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "many")
-    whole = live.join(classes.where("n > 1").select("a", "d"), ["a", "d"], "left_semi").select(
+    whole = found.join(classes.where("n > 1").select("a", "d"), ["a", "d"], "left_semi").select(
         "k_id", "k_text", F.col("s0").alias("a0"), (F.col("s1") + length).alias("a1")
     )
     reps = classes.join(many, "a").select("a", "rep.*", (F.col("n") == 1).alias("alone"), (F.col("m") > HOT).alias("hot"))
     ranges = cut(whole.unionByName(matched(open_segments(docs, reps, length, unit), length, unit)), "ranges")
-    release(live, classes, many)
+    release(found, classes, many)
     return ranges
 
 
