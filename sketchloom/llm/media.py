@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices_by_bytes
+from .common import slices_by_bytes, slices_of
 
 SIDE = 24
 FRAME = SIDE * SIDE
@@ -242,7 +242,7 @@ def media_column(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media binary (an AVI file)."""
 
     def run(batches):
-        for b in batches:
+        for b in slices_of(batches, SLICE):
             made = [payload(t) for t in b.column("text").to_pylist()]
             ids = b.column("doc_id").cast(pa.int64())
             for lo, hi in slices_by_bytes([len(p) for _, p in made], SLICE):
@@ -286,7 +286,7 @@ def media_digest(docs: DataFrame) -> DataFrame:
     feature: ``first frame:mean`` of every clip."""
 
     def run(batches):
-        for b in batches:
+        for b in slices_of(batches, SLICE):
             made = [payload(t) for t in b.column("text").to_pylist()]
             ids = b.column("doc_id").to_pylist()
             for lo, hi in slices_by_bytes([len(p) for _, p in made], SLICE):

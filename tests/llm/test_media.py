@@ -83,3 +83,9 @@ def test_refuses_other_files():
         m.read_avi(b"RIFF\0\0\0\0WAVE")
     with pytest.raises(ValueError):
         m.read_avi(m.chunk(b"RIFF", b"AVI "))
+
+
+def test_a_very_long_text(docs):
+    text = "frames of a long text " * 500_000
+    row = m.media_digest(docs([(1, text), (2, "x")])).where("doc_id = 1").first()
+    assert row["n_bytes"] == len(text) and row["payload_bytes"] % m.FRAME == 0 and row["feature"]

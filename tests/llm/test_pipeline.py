@@ -44,12 +44,24 @@ def test_run_is_the_stages(stages, spark, sf_dir):
     assert sorted(map(str, c.run(spark, sf_dir).collect())) == sorted(map(str, stages[-1].collect()))
 
 
-def test_entry_without_the_subpackage(monkeypatch):
+def entry_without(monkeypatch, *missing):
     for name in [m for m in sys.modules if m.startswith("sketchloom.llm") or m == "corpus_pipeline"]:
         monkeypatch.delitem(sys.modules, name)
-    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+    for name in missing:
+        monkeypatch.setitem(sys.modules, name, None)
     monkeypatch.delitem(sys.modules, "__spark_entry__", raising=False)
-    entry = importlib.import_module("__spark_entry__")
+    try:
+        return importlib.import_module("__spark_entry__")
+    finally:
+        sys.modules.pop("__spark_entry__", None)
+
+
+def test_entry_without_the_subpackage(monkeypatch):
+    entry = entry_without(monkeypatch, "sketchloom.llm", "corpus_pipeline")
     assert entry.queries() and not any(q.startswith("op") or q == "pipeline" for q in entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    sys.modules.pop("__spark_entry__", None)
+
+
+def test_a_missing_library_shows_itself(monkeypatch):
+    with pytest.raises(ImportError):
+        entry_without(monkeypatch, "xxhash")
