@@ -15,6 +15,8 @@ from ..functions.hashing import FAST, SPAN, Hasher
 from ..functions.spec import SampleSpec
 from .cardinality import d
 
+MOST_GROUPS = 50_000
+
 
 def uniform_sample(df: DataFrame, key: str, spec: SampleSpec, seed: int = 0, hasher: Hasher = FAST) -> DataFrame:
     """df's columns and sample_hash: k rows, uniform without replacement (all rows where there are no more)."""
@@ -44,15 +46,17 @@ def state_statistics(state: DataFrame, spec: SampleSpec) -> DataFrame:
 
 
 def uniform_sample_by(df: DataFrame, keys: list[str], key: str, spec: SampleSpec, seed: int = 0, hasher: Hasher = FAST) -> DataFrame:
-    """A uniform sample of k rows per group. A group of n rows sends about 2 k + 64 of them to its task: rows over that quantile of hashes
-    are dropped before the shuffle, and groups that fall short are taken whole."""
+    """A uniform sample of k rows per group. A group of n rows sends about 2 k + 128 of them to its task: rows over that quantile of hashes
+    are dropped before the shuffle. The quantiles of the MOST_GROUPS largest groups are broadcast; smaller groups go whole, and no row is shuffled for the screen.
+    Hashes are taken to be spread evenly: of distinct keys, not of a sample."""
     hashed = df.where(F.col(key).isNotNull()).withColumn("sample_hash", hasher.h60(key, f"{seed}:"))
-    top = F.least(d(SPAN), d(2.0 * SPAN * (spec.k + 64)) / F.col("_n"))
-    sizes = hashed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).withColumn("_top", top.cast("bigint"))
-    enough = hashed.join(sizes, keys).where(F.col("sample_hash") < F.col("_top"))
+    sizes = hashed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 2 * (spec.k + 64)).orderBy(F.desc("_n")).limit(MOST_GROUPS)
+    bound = sizes.select(*keys, (d(2.0 * SPAN * (spec.k + 64)) / F.col("_n")).cast("bigint").alias("_top"))
+    joined = hashed.join(F.broadcast(bound), keys, "left")
+    enough = joined.where(F.col("_top").isNull() | (F.col("sample_hash") < F.col("_top")))
     order = Window.partitionBy(*keys).orderBy("sample_hash", key)
     ranked = enough.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= spec.k)
-    return ranked.drop("_n", "_top", "_r")
+    return ranked.drop("_top", "_r")
 
 
 def sample_statistics(df: DataFrame, key: str, spec: SampleSpec, weight: str | None = None) -> DataFrame:

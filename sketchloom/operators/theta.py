@@ -4,7 +4,8 @@ A state has rows (keys.., h, theta, values..): the k smallest distinct hashes h
 hash or 2^60 where fewer were seen. This canonical form does not depend on the order of arrival. Set operations are joins on h.
 
 Hashes that cannot be kept are screened out before the shuffle: a cheap HyperLogLog++ count per key (standard error 5 %) bounds theta
-from above at twice its expected value, 20 standard errors away. So about 2 k hashes of a key reach its task, however many it has.
+from above at twice its expected value, 20 standard errors away. So about 2 k hashes of a key reach its task, however many it has. The bounds of
+the MOST_KEYS keys with most hashes are broadcast; rows of other keys, each of which has fewer, are not screened. Rows are never shuffled for the screen.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from ..functions.spec import AodSpec, ThetaSpec, require
 from .cardinality import d
 
 FULL = 1 << BITS
+MOST_KEYS = 50_000
 
 
 def _smallest(rows: DataFrame, keys: list[str], k: int) -> DataFrame:
@@ -37,9 +39,10 @@ def _smallest(rows: DataFrame, keys: list[str], k: int) -> DataFrame:
 def _screened(hashed: DataFrame, keys: list[str], k: int) -> DataFrame:
     """Rows whose hash may be among the k + 1 smallest of their key."""
     size = hashed.groupBy(*keys).agg(F.approx_count_distinct("h", 0.05).alias("_n"))
-    bound = size.select(*keys, F.least(d(SPAN), d(2.0 * (k + 64) * SPAN) / F.greatest(F.col("_n").cast("double"), d(1.0))).cast("bigint").alias("_top"))
-    joined = hashed.join(bound, keys) if keys else hashed.crossJoin(F.broadcast(bound))  # no keys: one row
-    return joined.where(F.col("h") < F.col("_top")).drop("_top")
+    large = size.where(F.col("_n") > 2 * (k + 64)).orderBy(F.desc("_n")).limit(MOST_KEYS)
+    bound = large.select(*keys, (d(2.0 * (k + 64) * SPAN) / F.col("_n").cast("double")).cast("bigint").alias("_top"))
+    joined = hashed.join(F.broadcast(bound), keys or F.lit(True), "left")  # at most MOST_KEYS rows; one row without keys
+    return joined.where(F.col("_top").isNull() | (F.col("h") < F.col("_top"))).drop("_top")
 
 
 def _build(hashed: DataFrame, keys: list[str], k: int, aggs: list[Column], screen: bool) -> DataFrame:

@@ -57,6 +57,7 @@ def to_bytes(state: DataFrame, keys: list[str], family: str, parameters: dict) -
             found = []
             for i in range(b.num_rows):
                 rows = pa.RecordBatch.from_struct_array(b.column("_rows").slice(i, 1).flatten())
+                rows = rows.take(pa.array(range(rows.num_rows), pa.int32()))  # into buffers of its own, without bytes of other rows
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, rows.schema.with_metadata({"parameters": _tag(parameters)})) as out:
                     out.write_batch(rows)

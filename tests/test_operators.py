@@ -69,6 +69,21 @@ def test_screening_changes_nothing(spark):
     assert same(t.theta_build(rows, "v", [], ThetaSpec(128)), t.theta_build(rows, "v", [], ThetaSpec(128), screen=False))
 
 
+def test_many_keys_are_not_shuffled_for_the_screen(spark, monkeypatch):
+    """With more keys than bounds the result is the same, and no raw row is joined by a shuffle."""
+    rows = spark.range(30_000).select(F.when(F.col("id") % 2 == 0, F.lit(0)).otherwise(F.col("id") % 5000).alias("g"), F.col("id").cast("string").alias("v"))
+    want = t.theta_build(rows, "v", ["g"], ThetaSpec(64), screen=False)
+    monkeypatch.setattr(t, "MOST_KEYS", 1)
+    screened = t.theta_build(rows, "v", ["g"], ThetaSpec(64))
+    assert same(screened, want)
+    plan = screened._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    monkeypatch.setattr(s, "MOST_GROUPS", 1)
+    few = s.uniform_sample_by(rows, ["g"], "v", SampleSpec(5))
+    assert few.groupBy("g").count().where("count > 5").count() == 0 and few.where("g = 0").count() == 5
+    assert "SortMergeJoin" not in few._jdf.queryExecution().executedPlan().toString()
+
+
 def test_null_and_empty(spark):
     df = spark.createDataFrame([(None,), ("a",), ("a",), (None,)], "v string")
     empty = df.where("false")
@@ -141,6 +156,46 @@ def test_misra_gries_bounds(spark):
     assert f.top_k(f.frequent_build(df, "v", FrequentSpec(5)), 1).first()["item"] == "hot"
 
 
+def test_many_summaries_merge_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(f, "FAN_IN", 2)
+    items = [f"item_{i % 40}" for i in range(400)] + ["hot"] * 300
+    df = spark.createDataFrame([(i,) for i in items], "v string")
+    rows = f.frequent_build(df, "v", FrequentSpec(6)).collect()
+    hot = next(r for r in rows if r["item"] == "hot")
+    assert len(rows) <= 6 and hot["n"] <= 300 <= hot["n"] + hot["offset"] and hot["total"] == 700
+
+
+def test_icon_of_many_sizes():
+    import numpy as np
+
+    for lg_k in (4, 8, 12, 20):
+        k = 1 << lg_k
+        n = np.array([2.0, k / 3, k, 3.0 * k, 20.0 * k, 1000.0 * k])
+        p = 2.0 ** -(np.arange(64) + 1.0) / k
+        coupons = -(k * np.expm1(n[:, None] * np.log1p(-p))).sum(axis=1)
+        found = c.icon_inverse(coupons, lg_k)
+        assert np.allclose(found[coupons >= 2], n[coupons >= 2], rtol=1e-6)
+    assert c.icon_inverse(0.0, 9) == 0 and c.icon_inverse(1.0, 9) == 1
+
+
+def test_bytes_are_canonical_and_checked(spark):
+    from sketchloom.sources.codec import from_bytes, to_bytes
+
+    df = spark.range(2000).select((F.col("id") % 3).alias("g"), F.col("id").cast("string").alias("v"))
+    state = c.hll_build(df, "v", ["g"])
+    one, two = (to_bytes(x, ["g"], "hll", {"p": 12}).orderBy("g").collect() for x in (state, state.repartition(7)))
+    assert one == two and all(r["memory_usage"] == len(r["state"]) for r in one)
+    blob = to_bytes(state, ["g"], "hll", {"p": 12})
+    assert same(from_bytes(blob, ["g"], "hll", {"p": 12}), state)
+    for family, parameters in (("cpc", {"p": 12}), ("hll", {"p": 11})):
+        with pytest.raises(Exception, match="CodecError"):
+            from_bytes(blob, ["g"], family, parameters).collect()
+    junk = spark.createDataFrame([(1, bytearray(b"garbage"))], "g long, state binary")
+    with pytest.raises(Exception, match="CodecError"):
+        from_bytes(junk, ["g"], "hll", {"p": 12}).collect()
+    assert from_bytes(spark.createDataFrame([(1, None)], "g long, state binary"), ["g"], "hll", {"p": 12}).count() == 0
+
+
 def test_conservative_update_never_under():
     assert f.conservative_update([0, 3], 5) == [5, 5]
 
