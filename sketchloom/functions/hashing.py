@@ -81,8 +81,10 @@ MURMUR3 = Hasher("murmur3")
 
 
 def bit_length(col: Column) -> Column:
-    """Number of bits of a non-negative integer, 0 for 0 (log2 is not exact near powers of two)."""
-    return F.when(col > 0, F.length(F.bin(col))).otherwise(F.lit(0))
+    """Number of bits of a non-negative long, 0 for 0: the logarithm, which may be off by one near powers of two, put right by shifts."""
+    n = F.floor(F.log2(F.greatest(col, F.lit(1)).cast("double"))).cast("int")
+    shifted = lambda by: F.call_function("shiftright", col, by)
+    return F.when(col <= 0, 0).when(shifted(n) == 0, n).when(shifted(n + 1) > 0, n + 2).otherwise(n + 1)
 
 
 def power2(col: Column) -> Column:

@@ -110,13 +110,13 @@ def bytes_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.counting_merge(parts[0].unionByName(parts[1]), [])
 
 
-@query(f"with {fq._matrix('l_partkey', 'lineitem')} select r as row, c as col, n from m")
+@query(f"with {fq._matrix('l_partkey', 'lineitem')} select r as row, c::int as col, n from m")
 def bytes_countmin(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [stored(f.matrix_build(x, "l_partkey", [], fq.SPEC), [], "countmin", width=512, depth=5) for x in _line_halves(spark, sf_dir)]
     return f.matrix_merge(*parts, [])
 
 
-@query(f"with {fq._matrix('l_partkey', 'lineitem', True)} select r as row, c as col, n from m where n <> 0")
+@query(f"with {fq._matrix('l_partkey', 'lineitem', True)} select r as row, c::int as col, n from m where n <> 0")
 def bytes_countsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [stored(f.matrix_build(x, "l_partkey", [], fq.SPEC, signed=True), [], "countsketch", width=512, depth=5) for x in _line_halves(spark, sf_dir)]
     return f.matrix_merge(*parts, []).where("n <> 0")
@@ -501,7 +501,7 @@ def delimited_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found["nation"].join(found["region"], F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
 
 
-@query(f"select idx, max(rank) as rank from ({q.hll_registers('orders', 'o_custkey', '', 8)}) group by 1")
+@query(f"select idx::int as idx, max(rank)::int as rank from ({q.hll_registers('orders', 'o_custkey', '', 8)}) group by 1")
 def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Registers built in SQL with the registered functions."""
     register(spark)

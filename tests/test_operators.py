@@ -234,6 +234,14 @@ def test_folding_rule(p, q, h):
     assert coupon(q) == (i >> cut, cut - head.bit_length() + 1 if head else cut + r)
 
 
+def test_bit_length(spark):
+    from sketchloom.functions.hashing import bit_length
+
+    values = [0, 1, 2, 3, *[(1 << n) + d for n in range(2, 61) for d in (-2, -1, 0, 1, 2)]]
+    rows = spark.createDataFrame([(v,) for v in values], "v long").select("v", bit_length(F.col("v")).alias("n")).collect()
+    assert all(r["n"] == r["v"].bit_length() for r in rows)
+
+
 def test_hasher_kinds():
     with pytest.raises(ValueError):
         Hasher("other")
