@@ -286,7 +286,9 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, unit: Unit = BYTES) -
     # written, so that the joins below deal both sides anew and a very frequent anchor's rows, which come from all tasks, can be split among tasks
     twice = cut(found.groupBy("a").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("a"), "anchors")
     least = F.min(F.struct("k_id", "k_text", "s0", "s1", "off")).alias("rep")
-    classes = cut(found.join(twice, "a", "left_semi").groupBy("a", "d").agg(F.count(F.lit(1)).alias("n"), least), "classes")
+    # by one struct: grouped by its two columns, the rows would stay where the join on ``a`` put them, a frequent anchor's in one task and not yet combined
+    grouped = found.join(twice, "a", "left_semi").groupBy(F.struct("a", "d").alias("ad")).agg(F.count(F.lit(1)).alias("n"), least)
+    classes = cut(grouped.select("ad.*", "n", "rep"), "classes")
     release(twice)
     many = cut(classes.groupBy("a").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "many")
     whole = found.join(classes.where("n > 1").select("a", "d"), ["a", "d"], "left_semi").select(
