@@ -8,6 +8,8 @@ that should be filtered before a shuffle, a bitmap of checked size can be broadc
 from __future__ import annotations
 
 import math
+import operator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,7 +53,9 @@ def bloom_semi_join(left: DataFrame, item: str, state: DataFrame, spec: BloomSpe
     packed = words.agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("_map"))
     dense = packed.select(F.transform(F.sequence(F.lit(0), F.lit((spec.m - 1) // 64)), lambda i: F.coalesce(F.try_element_at("_map", i.cast("bigint")), F.lit(0).cast("bigint"))).alias("_bits"))
     bit = lambda p: F.call_function("shiftright", F.get(F.col("_bits"), F.shiftright(p, 6).cast("int")), (p % 64).cast("int")).bitwiseAND(1) == 1
-    return left.crossJoin(F.broadcast(dense)).where(F.forall(positions(item, spec, hasher), bit)).drop("_bits")  # one row of checked size
+    one, two = hasher.h32s(item)
+    hit = reduce(operator.and_, [bit((one + i * two) % spec.m) for i in range(spec.k)])  # compiled, and done at the first bit that is not set
+    return left.crossJoin(F.broadcast(dense)).where(hit).drop("_bits")  # one row of checked size
 
 
 def bloom_statistics(state: DataFrame, keys: list[str], spec: BloomSpec) -> DataFrame:
