@@ -7,6 +7,8 @@ import corpus_pipeline as c
 from sketchloom.llm import near_copies, secret_scan, toxicity
 from sketchloom.llm.common import cut, table
 
+from .conftest import ODD
+
 
 @pytest.fixture(scope="module")
 def stages(spark, sf_dir):
@@ -44,6 +46,30 @@ def test_run_is_the_stages(stages, spark, sf_dir):
     assert sorted(map(str, c.run(spark, sf_dir).collect())) == sorted(map(str, stages[-1].collect()))
 
 
+def whole(spark, frame, sf_dir):
+    """All stages over the rows of ``frame``, each written and read again."""
+    for name, f in c.STAGES:
+        frame = cut(f(spark, frame, sf_dir), f"test-{name}")
+    return frame
+
+
+def test_odd_rows(spark, sf_dir):
+    """Null ids and texts, empty and very long texts and repeated rows go through all stages; copies go, one of each stays."""
+    rows = [(i, t, None, f"src{k % 3}" if k % 4 else None, None) for k, (i, t) in enumerate(ODD)]
+    docs = spark.createDataFrame(rows, table(spark, sf_dir, "documents").schema)
+    out = {r["doc_id"]: r["n_tokens"] for r in whole(spark, docs, sf_dir).collect()}
+    assert set(out) == {None, 0, 2, 5, 6, 7} and out[0] == 0 and out[5] > 1000
+
+
+def test_empty_table_and_nothing_kept(spark, sf_dir):
+    """An empty table, and stages that get no rows because the first rejects all, end in an empty table of the same columns."""
+    docs = table(spark, sf_dir, "documents")
+    assert whole(spark, docs.where("false"), sf_dir).count() == 0
+    none = toxicity.clean_only(docs, toxicity.Field(intercept=20.0))
+    assert none.count() == 0 and none.columns == docs.columns
+    assert near_copies.one_of_each(none).count() == 0
+
+
 def entry_without(monkeypatch, *missing):
     for name in [m for m in sys.modules if m.startswith("sketchloom.llm") or m == "corpus_pipeline"]:
         monkeypatch.delitem(sys.modules, name)
