@@ -16,7 +16,7 @@ def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir, or a folder of our own where the session has none and runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         atexit.unregister(_clear)
         atexit.register(_clear)
