@@ -4,7 +4,8 @@ Ball hashing (``simhash``) asks for the closest pairs. Fingerprints of 64 bits a
 64-bit shingle hashes completes it:
 
 1. A class is a distinct set, with its smallest document. Sets 0.8 alike share one of their first fifth of shingles in any common order, here
-   rarest first; a shingle in the first fifth of several classes is a bucket.
+   rarest first as far as a sample tells, and by further looks at the shingles that turn out to be in very many first fifths; a shingle in the first fifth of
+   several classes is a bucket.
 2. Each class is asked with the head (smallest id) of its buckets and with what ball hashing met. Sizes and parities of the sets rule out
    most questions; the rest are verified on the whole sets, and verified links give components.
 3. In buckets whose other members components do not hold together yet, all outside the bucket's largest component are compared with all members of
@@ -34,7 +35,7 @@ from .common import cut, release, slices_of, text_key
 from .simhash import SEED, SLICE, components, links, majority
 
 ALIKE = (4, 5)
-SAMPLE, FREQUENT = 8_000, 200_000
+SAMPLE, FREQUENT, HEAVY, LOOKS = 8_000, 200_000, 10_000, 3
 PARITY, FOLDED = 2048, 512
 BLOCK, PART = 500, 5_000
 
@@ -53,18 +54,32 @@ def lists(parts: list[np.ndarray]) -> pa.ListArray:
 
 
 def frequent_shingles(docs: DataFrame, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and counts of the shingles that recur in a sample of texts. They only order the shingles of a text, so that buckets are small:
-    any order gives the same pairs."""
+    """Sorted hashes of the shingles that recur in a sample of texts, and about how many texts hold them. They only order the shingles of a text, so that
+    buckets are small: any order gives the same pairs."""
 
     def run(batches):
         for b in slices_of(batches, SLICE):
             sets = [shingle_set(t, width) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([lists(sets).flatten()], ["token"])
 
-    texts = docs.select(F.xxhash64("text").alias("h"), "text").where(F.pmod("h", F.lit(max(1, docs.count() // SAMPLE))) == 0).dropDuplicates(["h"])
+    every = max(1, docs.count() // SAMPLE)
+    texts = docs.select(F.xxhash64("text").alias("h"), "text").where(F.pmod("h", F.lit(every)) == 0).dropDuplicates(["h"])
     counts = texts.select("text").mapInArrow(run, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
     rows = counts.orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow().sort_by("token")
-    return rows["token"].to_numpy(), rows["n"].to_numpy()
+    return rows["token"].to_numpy(), rows["n"].to_numpy() * every
+
+
+def with_heavy(order: tuple[np.ndarray, np.ndarray], shared: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+    """The order with the shingles that over HEAVY classes have in their first fifths (at most FREQUENT of them, the heaviest); None if it knows them
+    already. A sample of fixed size can't know those that are rare among all texts and yet many."""
+    rows = shared.where(F.col("m") > HEAVY).orderBy(F.desc("m"), "token").limit(FREQUENT).select("token", "m").toArrow()
+    if np.isin(rows["token"].to_numpy(), order[0]).all():
+        return None
+    tokens = np.concatenate([order[0], rows["token"].to_numpy()])
+    counts = np.concatenate([order[1], rows["m"].to_numpy()])
+    at = np.lexsort((-counts, tokens))
+    keep = at[np.concatenate([[True], np.diff(tokens[at]) != 0])]
+    return tokens[keep], counts[keep]
 
 
 def prefix_length(n: int) -> int:
@@ -72,20 +87,20 @@ def prefix_length(n: int) -> int:
     return n - -(-ALIKE[0] * n // ALIKE[1]) + 1 if n else 0
 
 
-def described(docs: DataFrame, width: int) -> DataFrame:
+def described(docs: DataFrame, width: int, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """k_id, k_text, id and id2 (hashes of the shingle set), n (its size), fp (its fingerprint), bits (parity of its hashes modulo PARITY, as longs)
     and its prefix, rarest first."""
-    tokens, counts = frequent_shingles(docs, width)
+    tokens, counts = order
 
     def one(text):
-        found = order = shingle_set(text, width)
+        found = ordered = shingle_set(text, width)
         if len(tokens) and len(found):
             at = np.minimum(np.searchsorted(tokens, found), len(tokens) - 1)
-            order = found[np.argsort(np.where(tokens[at] == found, counts[at], 0), kind="stable")]
+            ordered = found[np.argsort(np.where(tokens[at] == found, counts[at], 0), kind="stable")]
         parity = np.bincount(found & (PARITY - 1), minlength=PARITY) & 1
         raw = found.tobytes()
         ids = xxhash.xxh3_64_intdigest(raw, SEED), xxhash.xxh3_64_intdigest(raw, SEED + 1), majority(found)
-        return *ids, len(found), np.packbits(parity.astype(np.uint8)).view(np.int64), order[: prefix_length(len(found))]
+        return *ids, len(found), np.packbits(parity.astype(np.uint8)).view(np.int64), ordered[: prefix_length(len(found))]
 
     def run(batches):
         for b in slices_of(batches, SLICE):
@@ -99,10 +114,10 @@ def described(docs: DataFrame, width: int) -> DataFrame:
     return docs.select(*text_key(), "text").mapInArrow(run, kinds)
 
 
-def classes_of(docs: DataFrame, width: int) -> DataFrame:
+def classes_of(docs: DataFrame, width: int, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """id, id2, first (struct of no_id, k_id, k_text: the smallest document), fp, n, bits, prefix: one row per distinct set. Copies fall together before the shuffle."""
     first = F.struct((F.col("k_id") == -(2**63)).alias("no_id"), "k_id", "k_text").alias("first")
-    least = described(docs, width).groupBy("id", "id2").agg(F.min(F.struct(first, "fp", "n", "bits", "prefix")).alias("c"))
+    least = described(docs, width, order).groupBy("id", "id2").agg(F.min(F.struct(first, "fp", "n", "bits", "prefix")).alias("c"))
     classes = cut(least.select("id", "id2", "c.*"), "near-classes")
     twins = [r["id"] for r in classes.groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").collect()]
     if twins:
@@ -112,14 +127,18 @@ def classes_of(docs: DataFrame, width: int) -> DataFrame:
     return classes
 
 
-def met_shingles(classes: DataFrame) -> DataFrame:
-    """(token, head, id, n, pos): the prefix shingles that several classes hold, the smallest id among these, and the class with the place it
-    has the shingle at. Counts are combined before they are shuffled, and the join can split a very frequent shingle."""
+def shared_shingles(classes: DataFrame) -> DataFrame:
+    """(token, m, head): the prefix shingles that m > 1 classes hold, and the smallest id among these. Counts are combined before they are shuffled."""
+    held = classes.select("id", F.explode("prefix").alias("token"))
+    return cut(held.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("head")).where("m > 1"), "near-shared")
+
+
+def met_shingles(classes: DataFrame, shared: DataFrame) -> DataFrame:
+    """(token, head, id, n, pos): the shared prefix shingles, the head, and the class with the place it has the shingle at. The join can split a very frequent
+    shingle."""
     held = classes.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = held.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("head")).where("m > 1").select("token", "head")
-    shared = cut(shared, "near-shared")
     place = (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("place")  # one long for two, since there are many of these rows
-    met = held.select("token", "id", place).join(shared, "token")
+    met = held.select("token", "id", place).join(shared.select("token", "head"), "token")
     met = cut(met.select("token", "head", "id", F.shiftright("place", 32).cast("int").alias("n"), F.col("place").bitwiseAND(2**32 - 1).cast("int").alias("pos")), "near-met")
     release(shared)
     return met
@@ -219,10 +238,9 @@ def united(labels: DataFrame, found: DataFrame) -> DataFrame:
     return kept.select("node", F.coalesce("next", "label").alias("label")).unionByName(moved.join(labels.select("node"), "node", "left_anti"))
 
 
-def copy_labels(docs: DataFrame, classes: DataFrame, width: int = 5) -> DataFrame:
+def copy_labels(docs: DataFrame, classes: DataFrame, shared: DataFrame, width: int = 5) -> DataFrame:
     """(node, label) of the classes that have near copies: the smallest id that each can reach."""
-    met = met_shingles(classes)
-    release()
+    met = met_shingles(classes, shared)
     asked = first_questions(classes, met)
     release()
     found = alike(docs, classes, asked, width)
@@ -240,9 +258,19 @@ def one_of_each(docs: DataFrame, width: int = 5) -> DataFrame:
     """docs with one row of each group of near copies (0.8 or more alike on shingles of ``width`` words, or linked by rows that are) kept: that of the smallest
     doc_id (null last; ties by text hash). All columns stay."""
     cols = docs.columns
-    classes = classes_of(docs, width)
+    order = frequent_shingles(docs, width)
+    classes = classes_of(docs, width, order)
+    shared = shared_shingles(classes)
     release()
-    labels = copy_labels(docs, classes, width)
+    for _ in range(LOOKS):  # other heavy ones may move up; in a group of near copies all are heavy, so this has an end
+        if (better := with_heavy(order, shared)) is None:
+            break
+        release(classes, shared)
+        order = better
+        classes = classes_of(docs, width, order)
+        shared = shared_shingles(classes)
+        release()
+    labels = copy_labels(docs, classes, shared, width)
     linked = classes.join(labels.withColumnRenamed("node", "id"), "id", "left").select("first", F.coalesce("label", "id").alias("label"))
     kept = cut(linked.groupBy("label").agg(F.min("first").alias("first")).select("first.k_id", "first.k_text"), "near-kept")
     release(classes)

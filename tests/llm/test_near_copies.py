@@ -96,12 +96,32 @@ def test_all_members_of_a_bucket_are_compared(docs, monkeypatch):
         assert {r["doc_id"] for r in n.one_of_each(docs(rows)).collect()} == want
 
 
+def test_heavy_shingles_come_later(docs, monkeypatch):
+    """A passage that many texts share goes to the end of the order after a look at the buckets; the rows kept are the same."""
+    rnd = random.Random(3)
+    common = " ".join(f"c{i}" for i in range(30))
+    rows = [(i, " ".join(f"w{rnd.random()}" for _ in range(60)) + " " + common) for i in range(80)]
+    rows += [(100 + i, t + " end") for i, t in rows[:20]]
+    monkeypatch.setattr(n, "SAMPLE", 1)  # the sample knows nothing
+    want = {i for i, _ in rows if i < 100}
+    assert {r["doc_id"] for r in n.one_of_each(docs(rows)).collect()} == want
+    monkeypatch.setattr(n, "HEAVY", 30)
+    assert {r["doc_id"] for r in n.one_of_each(docs(rows)).collect()} == want
+    order = n.np.zeros(0, n.np.int64), n.np.zeros(0, n.np.int64)
+    most = []
+    while order is not None:
+        shared = n.shared_shingles(n.classes_of(docs(rows), 5, order))
+        most.append(shared.agg(n.F.max("m")).first()[0])
+        order = n.with_heavy(order, shared)
+    assert 2 <= len(most) <= n.LOOKS + 2 and most[0] > 30 >= most[-1]
+
+
 def test_class_ids_that_fall_together(docs, monkeypatch):
     """Different sets under one id are told apart by their second hash: none is lost as a copy of the other."""
     import xxhash
 
     first = xxhash.xxh3_64_intdigest
-    monkeypatch.setattr(n, "described", lambda d, w, f=n.described: f(d, w).withColumn("id", n.F.lit(5).cast("long")))
+    monkeypatch.setattr(n, "described", lambda d, w, o, f=n.described: f(d, w, o).withColumn("id", n.F.lit(5).cast("long")))
     rows = [(i, f"text number {i} " + "word " * i) for i in range(20)] + [(100 + i, f"text number {i} " + "word " * i) for i in range(20)]
     assert {r["doc_id"] for r in n.one_of_each(docs(rows)).collect()} >= set(range(20))
     assert xxhash.xxh3_64_intdigest is first
