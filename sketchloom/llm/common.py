@@ -33,18 +33,23 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     return found
 
 
-def release(*tables: DataFrame) -> None:
-    """Deletes tables of cut() that nothing will read again. Shuffle files of ended jobs go when the driver's garbage is collected, which a driver
-    with much memory may do late, so it is asked to. Without tables only that."""
-    spark = SparkSession.getActiveSession()
-    if spark is None or not hasattr(spark, "_jvm"):
-        return
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables of cut() that nothing will read again."""
     for t in tables:
-        if path := getattr(t, "cut_path", None):
+        spark, path = t.sparkSession, getattr(t, "cut_path", None)
+        if path and hasattr(spark, "_jvm"):
             folder = spark._jvm.org.apache.hadoop.fs.Path(path)
             folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables of cut() that nothing will read again. Shuffle files of ended jobs go when the driver's garbage is collected, which a driver
+    with much memory may do late, so it is asked to. Without tables only that."""
+    drop(*tables)
     give_back()
-    spark._jvm.System.gc()
+    spark = SparkSession.getActiveSession()
+    if spark is not None and hasattr(spark, "_jvm"):
+        spark._jvm.System.gc()
 
 
 def ascii_lower(col: Column) -> Column:

@@ -38,6 +38,7 @@ ALIKE = (4, 5)
 SAMPLE, FREQUENT, HEAVY, LOOKS = 8_000, 200_000, 10_000, 3
 PARITY, FOLDED = 2048, 512
 BLOCK, PART = 500, 5_000
+KEYS_SENT = 1_000_000
 
 
 def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
@@ -187,19 +188,27 @@ def first_questions(classes: DataFrame, met: DataFrame) -> DataFrame:
 
 
 def alike(docs: DataFrame, classes: DataFrame, asked: DataFrame, width: int = 5) -> DataFrame:
-    """The rows of ``asked`` (ids a and b) whose shingle sets are 0.8 alike, by all shingles."""
+    """The rows of ``asked`` (ids a and b) whose shingle sets are 0.8 alike, by all shingles. The keys of the texts go to where these are, if they are KEYS_SENT
+    at most (tens of MB); beyond that both are shuffled."""
 
     def run(batches):
+        seen: set[int] = set()  # a repeated row gives its set once in a task
         for b in slices_of(batches, SLICE):
-            yield pa.RecordBatch.from_arrays([b.column("id"), lists([shingle_set(t, width) for t in b.column("text").to_pylist()])], ["id", "tokens"])
-
-    ids = asked.select(F.col("a").alias("id")).unionByName(asked.select(F.col("b").alias("id"))).distinct()
-    keys = cut(classes.select("id", "first.k_id", "first.k_text").join(ids, "id", "left_semi"), "near-keys")
-    texts = docs.select(*text_key(), "text").join(keys, ["k_id", "k_text"]).dropDuplicates(["k_id", "k_text"]).select("id", "text")
-    sets = cut(texts.mapInArrow(run, "id long, tokens array<long>"), "near-sets")
-    side = lambda k: sets.select(F.col("id").alias(k), F.col("tokens").alias(f"t{k}"))
+            fresh = [not (i in seen or seen.add(i)) for i in b.column("id").to_pylist()]
+            b = b.filter(pa.array(fresh, pa.bool_()))
+            cols = [b.column(c) for c in ("id", "in_a", "in_b")]
+            yield pa.RecordBatch.from_arrays([*cols, lists([shingle_set(t, width) for t in b.column("text").to_pylist()])], ["id", "in_a", "in_b", "tokens"])
+
+    ends = [asked.select(F.col(k).alias("id"), F.lit(k == "a").alias("in_a"), F.lit(k == "b").alias("in_b")) for k in ("a", "b")]
+    ids = ends[0].unionByName(ends[1]).groupBy("id").agg(F.max("in_a").alias("in_a"), F.max("in_b").alias("in_b"))
+    keys = cut(classes.select("id", "first.k_id", "first.k_text").join(ids, "id"), "near-keys")
+    sent = F.broadcast(keys) if keys.count() <= KEYS_SENT else keys
+    texts = docs.select(*text_key(), "text").join(sent, ["k_id", "k_text"]).select("id", "in_a", "in_b", "text")
+    made = texts.mapInArrow(run, "id long, in_a boolean, in_b boolean, tokens array<long>")
+    sets = cut(made, "near-sets")
+    side = lambda k: sets.where(f"in_{k}").select(F.col("id").alias(k), F.col("tokens").alias(f"t{k}"))
     enough = sum(ALIKE) * F.size(F.array_intersect("ta", "tb")) >= ALIKE[0] * (F.size("ta") + F.size("tb"))
-    found = cut(asked.join(side("a"), "a").join(side("b"), "b").where(enough).select("a", "b"), "near-alike")
+    found = cut(asked.join(side("a"), "a").join(side("b"), "b").where(enough).select("a", "b").distinct(), "near-alike")
     release(keys, sets)
     return found
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, release, slices_of
+from .common import cut, drop, slices_of
 
 SEED = 42
 ROUNDS = 64
@@ -99,9 +99,9 @@ def components(edges: DataFrame) -> DataFrame:
         left, right = (best.select(F.col("node").alias(k), F.col("label").alias(f"{k}_label")) for k in ("a", "b"))
         drawn = edges.join(left, "a").join(right, "b").where("a_label <> b_label")
         spent, edges = [*spent, edges], cut(drawn.select(F.greatest("a_label", "b_label").alias("a"), F.least("a_label", "b_label").alias("b")).distinct(), f"edges{i}")
-        release(*spent)
+        drop(*spent)
         if edges.isEmpty():
-            release(edges)
+            drop(edges)
             return label_of
     raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
 

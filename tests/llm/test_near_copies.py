@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from sketchloom.llm import near_copies as n
 
 from .conftest import ODD
@@ -66,8 +68,10 @@ def brute_kept(rows):
     return {i for i in sets if top(i) == i}
 
 
-def test_links_are_checked_on_shingles(docs):
-    """Documents of one template that are 0.7 alike all stay; of pairs just over 0.8 alike one goes, of those just under none."""
+@pytest.mark.parametrize("sent", [n.KEYS_SENT, 0])
+def test_links_are_checked_on_shingles(docs, monkeypatch, sent):
+    """Documents of one template that are 0.7 alike all stay; of pairs just over 0.8 alike one goes, of those just under none. With keys sent and with keys shuffled."""
+    monkeypatch.setattr(n, "KEYS_SENT", sent)
     rnd = random.Random(8)
     base = [f"t{i}" for i in range(304)]
     rows = [(i, " ".join(edited(rnd, base, 5))) for i in range(150)]
