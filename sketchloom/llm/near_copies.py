@@ -11,8 +11,8 @@ Ball hashing (``simhash``) asks for the closest pairs. Fingerprints of 64 bits a
 3. In buckets whose other members components do not hold together yet, all outside the bucket's largest component are compared with all members of
    other components, in blocks of bounded size. Sizes, places and parities rule out most; the rest are verified and the components united.
 
-So every link of the whole table is found, or both ends are in one component already. Only classes, their first fifths and questions
-are shuffled, and the texts of questioned classes twice. The work is in proportion to the rows but for step 3, which grows with the
+So every link of the whole table is found, or both ends are in one component already. What is shuffled are classes, their first fifths, questions and the sets of
+questioned classes; texts only where more are asked for than their keys can be sent to. The work is in proportion to the rows but for step 3, which grows with the
 product of a bucket's strays and its members: no exact method knows that a stray has no partner without looking.
 
 A null text counts as empty; all texts without words are copies of each other. Repeated rows are copies. A null doc_id comes after all others
