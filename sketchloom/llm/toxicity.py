@@ -176,14 +176,15 @@ def telling(words: np.ndarray, before: np.ndarray, toxic: np.ndarray, features:
     return out
 
 
-def numbered(core: pa.Array) -> tuple[np.ndarray, list[tuple[str, str]]]:
-    """(word, kind) numbers from 1 of the features, 0 for none; and their names."""
-    table, names = np.zeros((len(core), len(KINDS)), dtype=np.int64), []
+def numbered(core: pa.Array) -> tuple[np.ndarray, list[tuple[str, pa.Array]]]:
+    """(word, kind) numbers from 1 of the features, 0 for none; and their names in that order, by kind."""
+    table, names, size = np.zeros((len(core), len(KINDS)), dtype=np.int64), [], 0
     for j, (kind, column) in enumerate(features_of(core).items()):
         coded = column.dictionary_encode()
         index = pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
-        table[:, j] = np.where(index >= 0, index + 1 + len(names), 0)
-        names += [(kind, x) for x in coded.dictionary]  # as Arrow values: most are let go
+        table[:, j] = np.where(index >= 0, index + 1 + size, 0)
+        names.append((kind, coded.dictionary))
+        size += len(coded.dictionary)
     return table, names
 
 
@@ -233,17 +234,18 @@ def fit(sample: list[tuple[str, int]]) -> Field:
     marks = telling(words, before, toxic, table)
     toxic_word = marks[table].any(axis=1) & (pc.utf8_length(core).to_numpy(zero_copy_only=False) > 2)
     label = toxic_word[words] & (toxic == 1)
-    often = np.zeros(len(names) + 1)
+    often = np.zeros(sum(len(d) for _, d in names) + 1)
     seen_words = np.bincount(words, minlength=len(core))
     for j in range(len(KINDS)):
         often += np.bincount(table[:, j], seen_words, len(often))
     often[0] = 0
     used = often >= LEAST_SEEN
     table = (np.cumsum(used) * used)[table].astype(np.int32)
-    kept_names = [names[i - 1] for i in np.flatnonzero(used)]
+    edges = np.cumsum([1, *(len(d) for _, d in names)])
+    kept_names = [(kind, d.filter(pa.array(used[a:b]))) for (kind, d), a, b in zip(names, edges, edges[1:], strict=False)]
     del names, toxic, marks
     data = ([table[words, j] for j in range(len(KINDS))], before, after, chains, label.astype(float), _real(label, chains))
-    weights = [np.zeros(len(kept_names) + 1), np.zeros(len(core) + 1), np.zeros(len(core) + 1), np.zeros((2, 2)), np.zeros(2)]
+    weights = [np.zeros(int(used.sum()) + 1), np.zeros(len(core) + 1), np.zeros(len(core) + 1), np.zeros((2, 2)), np.zeros(2)]
     weights[4][1] = np.log((label.sum() + 1) / (len(label) + 1))  # as rare as toxic words are; the features make up for it
     sums = [np.full_like(x, 1e-6) for x in weights]
     scale = 1.0 / max(1.0, float(label.sum()))
@@ -255,10 +257,10 @@ def fit(sample: list[tuple[str, int]]) -> Field:
     del data, words, label, before, after, chains, table
     wf, wb, wa, model.trans, extra = weights
     keep_at = 0.02
-    model.weights = {k: {} for k in KINDS}
-    for (kind, name), x in zip(kept_names, wf[1:].tolist(), strict=True):
-        if abs(x) > keep_at:
-            model.weights[kind][name.as_py()] = x
+    at = 1
+    for kind, d in kept_names:
+        model.weights[kind] = {name: x for name, x in zip(d.to_pylist(), wf[at : at + len(d)].tolist(), strict=True) if abs(x) > keep_at}
+        at += len(d)
     listed = core.to_pylist()
     model.before = {w: x for w, x in zip(listed, wb[1:].tolist(), strict=True) if abs(x) > keep_at}
     model.after = {w: x for w, x in zip(listed, wa[1:].tolist(), strict=True) if abs(x) > keep_at}
