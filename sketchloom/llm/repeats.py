@@ -39,8 +39,8 @@ from .common import cut, release, slices_by_bytes, slices_of, text_key
 LENGTH = 400
 GRAM = 32
 PASSAGE, WORD_GRAM = 50, 8
-PIECE = 3_000_000
-SLICE = 3_000_000
+PIECE = 1_500_000
+SLICE = 1_500_000
 PLACE_BITS = 24
 HOT = 20_000
 BATCH = 6_000
@@ -285,19 +285,20 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, unit: Unit = BYTES) -
     found = cut(all_segments(docs, length, unit), "segments")
     # written, so that the joins below deal both sides anew and a very frequent anchor's rows, which come from all tasks, can be split among tasks
     twice = cut(found.groupBy("a").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("a"), "anchors")
+    release()
     least = F.min(F.struct("k_id", "k_text", "s0", "s1", "off")).alias("rep")
     # by one struct: grouped by its two columns, the rows would stay where the join on ``a`` put them, a frequent anchor's in one task and not yet combined
     grouped = found.join(twice, "a", "left_semi").groupBy(F.struct("a", "d").alias("ad")).agg(F.count(F.lit(1)).alias("n"), least)
     classes = cut(grouped.select("ad.*", "n", "rep"), "classes")
     release(twice)
     many = cut(classes.groupBy("a").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "many")
-    whole = found.join(classes.where("n > 1").select("a", "d"), ["a", "d"], "left_semi").select(
-        "k_id", "k_text", F.col("s0").alias("a0"), (F.col("s1") + length).alias("a1")
-    )
+    whole = found.join(classes.where("n > 1").select("a", "d"), ["a", "d"], "left_semi")
+    whole = cut(whole.select("k_id", "k_text", F.col("s0").alias("a0"), (F.col("s1") + length).alias("a1")), "whole")
+    release(found)
     reps = classes.join(many, "a").select("a", "rep.*", (F.col("n") == 1).alias("alone"), (F.col("m") > HOT).alias("hot"))
-    ranges = cut(whole.unionByName(matched(open_segments(docs, reps, length, unit), length, unit)), "ranges")
-    release(found, classes, many)
-    return ranges
+    parts = cut(matched(open_segments(docs, reps, length, unit), length, unit), "parts")
+    release(classes, many)
+    return whole.unionByName(parts)
 
 
 def merged(ranges: list[dict]) -> list[dict]:
