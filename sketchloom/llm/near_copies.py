@@ -32,13 +32,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, release, slices_of, text_key
-from .simhash import SEED, SLICE, components, links, majority
+from .simhash import SEED, components, links, majority
 
 ALIKE = (4, 5)
 SAMPLE, FREQUENT, HEAVY, LOOKS = 8_000, 200_000, 10_000, 3
 PARITY, FOLDED = 2048, 512
 BLOCK, PART = 500, 5_000
 KEYS_SENT = 1_000_000
+SLICE = 1_000_000
 
 
 def shingle_set(text: str | None, width: int = 5) -> np.ndarray:

@@ -30,8 +30,8 @@ from .common import fit_logistic, fold_of, give_back, labelled_sample, sigmoid,
 PER_CLASS = {0: 2000, 1: 700}
 BLOCK = 64
 MARKS = ".,!?;:|*#%&$\"'()[]{}<>-_/\\"
-CACHED = 150_000
-SLICE = 2_000_000
+CACHED = 80_000
+SLICE = 1_500_000
 TELLING_CHANCE = 1e-7
 TELLING_SHARE = 0.95
 LEAST_SEEN = 3
