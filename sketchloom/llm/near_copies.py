@@ -8,11 +8,14 @@ Ball hashing (``simhash``) asks for the closest pairs. Fingerprints of 64 bits a
    several classes is a bucket.
 2. Each class is asked with the head (smallest id) of its buckets and with what ball hashing met. Sizes and parities of the sets rule out
    most questions; the rest are verified on the whole sets, and verified links give components.
-3. In buckets whose other members components do not hold together yet, all outside the bucket's largest component are compared with all members of
-   other components, in blocks of bounded size. Sizes, places and parities rule out most; the rest are verified and the components united.
+3. In buckets whose other members components do not hold together yet, all outside the bucket's largest component (strays) are compared with all members of
+   other components, in blocks of bounded size. Sizes, places and parities rule out most. Of the rest a stray asks the NEAREST ones by parities in each block;
+   these are verified, the components united, and strays that had more left ask again, GROWTH times as many, until none has any left. Most then are
+   in the stray's own component, so a group's links are not spelled out.
 
 So every link of the whole table is found, or both ends are in one component already. What is shuffled are classes, their first fifths, questions and the sets of
-questioned classes; texts only where more are asked for than their keys can be sent to. The work is in proportion to the rows but for step 3, which grows with the
+questioned classes; texts only where more are asked for than their keys can be sent to. The rows made are in proportion to the rows read, but for members of a
+bucket dealt to several blocks and near misses (pairs that parities do not rule out, but whole sets do). Only the comparisons of parities in step 3 grow with the
 product of a bucket's strays and its members: no exact method knows that a stray has no partner without looking.
 
 A null text counts as empty; all texts without words are copies of each other. Repeated rows are copies. A null doc_id comes after all others
@@ -22,7 +25,7 @@ by a second hash.
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -31,13 +34,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, release, slices_of, text_key
+from .common import cut, give_back, release, slices_of, text_key
 from .simhash import SEED, components, links, majority
 
 ALIKE = (4, 5)
 SAMPLE, FREQUENT, HEAVY, LOOKS = 8_000, 200_000, 10_000, 3
-PARITY, FOLDED = 2048, 512
+PARITY = 2048
 BLOCK, PART = 500, 5_000
+NEAREST, GROWTH = 2, 8
+PAIRS = 20_000
 KEYS_SENT = 1_000_000
 SLICE = 1_000_000
 
@@ -150,24 +155,12 @@ def sizes_fit(n1: Column, n2: Column) -> Column:
     return ALIKE[1] * F.least(n1, n2) >= ALIKE[0] * F.greatest(n1, n2)
 
 
-def places_fit(n1: Column, pos1: Column, n2: Column, pos2: Column) -> Column:
-    """What is left after a shared shingle is enough. True of every pair 0.8 alike at the first shingle they share."""
-    return sum(ALIKE) * F.least(n1 - pos1, n2 - pos2) >= ALIKE[0] * (n1 + n2)
-
-
-def parities_fit(n1: Column, bits1: Column, n2: Column, bits2: Column, width: int = PARITY) -> Column:
-    """Each shingle in one set only changes one of the ``width`` parities."""
-    differ = sum((F.bit_count(bits1[i].bitwiseXOR(bits2[i])) for i in range(width // 64)), F.lit(0))
+def parities_fit(n1: Column, bits1: Column, n2: Column, bits2: Column) -> Column:
+    """Each shingle in one set only changes one of the parities."""
+    differ = sum((F.bit_count(bits1[i].bitwiseXOR(bits2[i])) for i in range(PARITY // 64)), F.lit(0))
     return sum(ALIKE) * differ <= (ALIKE[1] - ALIKE[0]) * (n1 + n2)
 
 
-def folded(bits: Column) -> Column:
-    """Parities modulo FOLDED from those modulo PARITY."""
-    n = FOLDED // 64
-    parts = [[bits[i + k] for k in range(0, PARITY // 64, n)] for i in range(n)]
-    return F.array(*[reduce(Column.bitwiseXOR, p) for p in parts])
-
-
 def may_be_alike(classes: DataFrame, asked: DataFrame) -> DataFrame:
     """The rows of ``asked`` (ids a and b) that sizes and parities do not rule out."""
     about = lambda k: classes.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits{k}"))
@@ -214,29 +207,106 @@ def alike(docs: DataFrame, classes: DataFrame, asked: DataFrame, width: int = 5)
     return found
 
 
-def other_questions(classes: DataFrame, met: DataFrame, labels: DataFrame) -> DataFrame:
-    """(a, b): all pairs that share a bucket, are in different components and may be alike, but for pairs with the head, which have their answers."""
+def open_rows(classes: DataFrame, met: DataFrame, labels: DataFrame) -> DataFrame:
+    """(token, id, n, pos, bits, stray, blocks, parts): the buckets that hold several components, without their heads, which have their answers. Members outside
+    a bucket's largest component are strays. Each pair that is still to be compared has a stray."""
     named = met.where("id <> head").join(labels.withColumnRenamed("node", "id"), "id", "left").select("token", "id", "n", "pos", F.coalesce("label", "id").alias("label"))
     named = cut(named, "near-named")
     held = named.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"))
     open_ = held.groupBy("token").agg(F.sum("c").alias("m"), F.max(F.struct("c", "label")).alias("most")).where("m > most.c")
     count = lambda x, size: F.ceil(x / size).cast("int")
     open_ = open_.select("token", F.col("most.label").alias("main"), count(F.col("m") - F.col("most.c"), BLOCK).alias("blocks"), count(F.col("m"), PART).alias("parts"))
-    rows = named.join(open_, "token").join(classes.select("id", folded(F.col("bits")).alias("bits")), "id")
-    rows = cut(rows, "near-rows")
-    dealt = lambda k: F.pmod(F.xxhash64("id"), F.col(k)).cast("int")
-    each = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
-    about = lambda x: F.struct("id", "n", "pos", "bits", "label").alias(x)
-    # strays by block, each in all parts; all members by part, each in all blocks: a block and a part meet once
-    strays = rows.where("label <> main").select("token", dealt("blocks").alias("block"), each("parts").alias("part"), about("x"))
-    others = rows.select("token", each("blocks").alias("block"), dealt("parts").alias("part"), about("y"), "main")
-    x, y = (lambda k: F.col(f"x.{k}")), (lambda k: F.col(f"y.{k}"))
-    once = (x("label") != y("label")) & ((y("label") == F.col("main")) | (x("id") < y("id")))
-    fits = sizes_fit(x("n"), y("n")) & places_fit(x("n"), x("pos"), y("n"), y("pos")) & parities_fit(x("n"), x("bits"), y("n"), y("bits"), FOLDED)
-    pairs = strays.join(others, ["token", "block", "part"]).where(once & fits)
-    asked = cut(may_be_alike(classes, pairs.select(F.greatest(x("id"), y("id")).alias("a"), F.least(x("id"), y("id")).alias("b")).distinct()), "near-asked2")
-    release(named, rows)
-    return asked
+    rows = named.join(open_, "token").join(classes.select("id", "bits"), "id")
+    rows = cut(rows.select("token", "id", "n", "pos", "bits", (F.col("label") != F.col("main")).alias("stray"), "blocks", "parts"), "near-rows")
+    release(named)
+    return rows
+
+
+def groups_of(batches, keys: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """The rows of each key in one batch, from batches that are sorted by the keys."""
+    held = None
+    for b in batches:
+        b = pa.concat_batches([held, b]) if held is not None else b
+        if b.num_rows:
+            at = np.stack([b.column(k).to_numpy() for k in keys])
+            starts = [0, *(np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1).tolist()]
+            for lo, hi in zip(starts, starts[1:]):  # noqa: B905
+                yield b.slice(lo, hi - lo)
+            held = b.slice(starts[-1])
+    if held is not None:
+        yield held
+
+
+def nearest_in(group: pa.RecordBatch, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(id, other, more): for each row that asks the k others of another component, by parities the nearest, that sizes, places and parities do not rule out; and whether
+    there are more than k. Places: what is left after a shared shingle is enough, which is true of every pair 0.8 alike at the first shingle they share."""
+    asks = group.column("asks").to_numpy(zero_copy_only=False)
+    ids, n, pos, label = (group.column(c).to_numpy().astype(np.int64) for c in ("id", "n", "pos", "label"))
+    bits = group.column("bits").flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
+    x, y = np.flatnonzero(asks), np.flatnonzero(~asks)
+    for lo in range(0, len(x), step := max(1, PAIRS // max(1, len(y)))):
+        s = x[lo : lo + step, None]
+        sizes = ALIKE[1] * np.minimum(n[s], n[y]) >= ALIKE[0] * np.maximum(n[s], n[y])
+        places = sum(ALIKE) * np.minimum(n[s] - pos[s], n[y] - pos[y]) >= ALIKE[0] * (n[s] + n[y])
+        i, j = np.nonzero((label[s] != label[y]) & sizes & places)
+        i, j = s[i, 0], y[j]
+        differ = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+        fits = sum(ALIKE) * differ <= (ALIKE[1] - ALIKE[0]) * (n[i] + n[j])
+        i, j, differ = i[fits], j[fits], differ[fits]
+        order = np.lexsort((ids[j], differ, i))
+        i, j = i[order], j[order]
+        first, end = np.searchsorted(i, i, "left"), np.searchsorted(i, i, "right")
+        near = np.arange(len(i)) - first < k
+        yield ids[i[near]], ids[j[near]], (end - first > k)[near]
+
+
+def nearest_others(rows: DataFrame, labels: DataFrame, k: int) -> DataFrame:
+    """(token, id, other, more): nearest_in() for the strays of each bucket. Strays are dealt to blocks, each in all parts, and all members to parts, each in all
+    blocks, so a stray and a member meet once in a bucket, and what a task holds at once is bounded."""
+
+    def run(batches):
+        for g in groups_of(batches, ("token", "block", "part")):
+            for ids, others, more in nearest_in(g, k):
+                if len(ids):
+                    token = np.full(len(ids), g.column("token")[0].as_py(), np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(ids), pa.array(others), pa.array(more)], ["token", "id", "other", "more"])
+        give_back()
+
+    named = rows.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    dealt = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    about = ["id", "n", "pos", "bits", "label"]
+    strays = named.where("stray").select("token", dealt("blocks").alias("block"), each("parts").alias("part"), F.lit(True).alias("asks"), *about)
+    others = named.select("token", each("blocks").alias("block"), dealt("parts").alias("part"), F.lit(False).alias("asks"), *about)
+    keys = ["token", "block", "part"]
+    met = strays.unionByName(others).repartition(*keys).sortWithinPartitions(*keys)
+    return met.mapInArrow(run, "token long, id long, other long, more boolean")
+
+
+def with_strays(docs: DataFrame, classes: DataFrame, rows: DataFrame, labels: DataFrame, width: int = 5) -> DataFrame:
+    """(node, label) of the components that ``labels`` and all links in the buckets ``rows`` give together. In a round strays ask their nearest others in other
+    components; those that had more stay strays and ask GROWTH times as many in the next. Components only grow, so when no stray has more, both ends of each
+    pair that may be alike have been asked or are in one component."""
+    k, strays, last, earlier = NEAREST, rows, [], []
+    while True:
+        near = cut(nearest_others(strays, labels, k), "near-nearest")
+        asked = near.select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct()
+        for done in earlier:
+            asked = asked.join(done, ["a", "b"], "left_anti")
+        asked = cut(asked, "near-asked2")
+        earlier.append(asked)
+        if not asked.isEmpty():
+            found = alike(docs, classes, asked, width)
+            before, labels = labels, united(labels, found)
+            release(before, found)
+        more = cut(near.where("more").select("token", "id").distinct(), "near-more")
+        release(near, *last)
+        if more.isEmpty():
+            release(rows, more, *earlier)
+            return labels
+        left = rows.drop("stray").join(more.select("token").distinct(), "token", "left_semi")
+        strays = left.join(more.withColumn("stray", F.lit(True)), ["token", "id"], "left").withColumn("stray", F.coalesce("stray", F.lit(False)))
+        k, last = GROWTH * k, [more]
 
 
 def united(labels: DataFrame, found: DataFrame) -> DataFrame:
@@ -245,7 +315,10 @@ def united(labels: DataFrame, found: DataFrame) -> DataFrame:
     ends = found.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb"))
     moved = components(ends.where("la <> lb").select(F.greatest("la", "lb").alias("a"), F.least("la", "lb").alias("b")))
     kept = labels.join(moved.select(F.col("node").alias("label"), F.col("label").alias("next")), "label", "left")
-    return kept.select("node", F.coalesce("next", "label").alias("label")).unionByName(moved.join(labels.select("node"), "node", "left_anti"))
+    every = kept.select("node", F.coalesce("next", "label").alias("label")).unionByName(moved.join(labels.select("node"), "node", "left_anti"))
+    every = cut(every, "near-united")
+    release(moved)
+    return every
 
 
 def copy_labels(docs: DataFrame, classes: DataFrame, shared: DataFrame, width: int = 5) -> DataFrame:
@@ -255,13 +328,11 @@ def copy_labels(docs: DataFrame, classes: DataFrame, shared: DataFrame, width: i
     release()
     found = alike(docs, classes, asked, width)
     release(asked)
-    first = components(found)
+    labels = components(found)
     release(found)
-    asked = other_questions(classes, met, first)
+    rows = open_rows(classes, met, labels)
     release(met)
-    found = alike(docs, classes, asked, width)
-    release(asked)
-    return united(first, found)
+    return with_strays(docs, classes, rows, labels, width)
 
 
 def one_of_each(docs: DataFrame, width: int = 5) -> DataFrame:
@@ -283,7 +354,7 @@ def one_of_each(docs: DataFrame, width: int = 5) -> DataFrame:
     labels = copy_labels(docs, classes, shared, width)
     linked = classes.join(labels.withColumnRenamed("node", "id"), "id", "left").select("first", F.coalesce("label", "id").alias("label"))
     kept = cut(linked.groupBy("label").agg(F.min("first").alias("first")).select("first.k_id", "first.k_text"), "near-kept")
-    release(classes)
+    release(classes, labels)
     rows = docs.select(F.struct(*cols).alias("row"), *text_key()).join(kept, ["k_id", "k_text"])
     copy = F.row_number().over(Window.partitionBy("k_id", "k_text").orderBy("k_text"))
     return rows.withColumn("copy", copy).where("copy = 1").select("row.*")

@@ -100,6 +100,52 @@ def test_all_members_of_a_bucket_are_compared(docs, monkeypatch):
         assert {r["doc_id"] for r in n.one_of_each(docs(rows)).collect()} == want
 
 
+def test_links_of_a_group_are_not_spelled_out(docs, monkeypatch):
+    """Strays of a large group of near copies ask in proportion to the group, not to its links; the rows kept are those of a comparison of all pairs."""
+    rnd = random.Random(2)
+    base = [f"t{i}" for i in range(304)]
+    rows = [(i, " ".join(edited(rnd, base, rnd.choice([1, 3, 5, 5, 5])))) for i in range(300)]
+    rows += [(300 + i, " ".join(edited(rnd, base, 8))) for i in range(40)]
+    asked, alike = [], n.alike
+    monkeypatch.setattr(n, "alike", lambda d, c, a, *w: asked.append(a.count()) or alike(d, c, a, *w))
+    assert {r["doc_id"] for r in n.one_of_each(docs(rows)).collect()} == brute_kept(rows)
+    assert sum(asked) < 5 * len(rows)
+
+
+def test_strays_ask_until_none_is_left(docs, monkeypatch):
+    """Texts that are just under 0.8 alike, so that parities rule none out, are all asked in rounds of any size, and only those 0.8 alike fall together."""
+    rnd = random.Random(11)
+    base, places = [f"t{i}" for i in range(989)], rnd.sample(range(1, 196), 176)
+    texts = []
+    for i in range(48):
+        text = list(base)
+        for p in places[i % 16 * 11 : i % 16 * 11 + 11]:
+            text[5 * p] = f"new{rnd.random()}"
+        texts.append(" ".join(text))
+    rnd.shuffle(texts)
+    rows = list(enumerate(texts))
+    want = brute_kept(rows)
+    assert len(want) == 16
+    asked, alike = [], n.alike
+    monkeypatch.setattr(n, "alike", lambda d, c, a, *w: asked.append(a.count()) or alike(d, c, a, *w))
+    for k in (1, n.NEAREST):
+        monkeypatch.setattr(n, "NEAREST", k)
+        monkeypatch.setattr(n, "GROWTH", 4 * k)
+        monkeypatch.setattr(n, "PAIRS", 50 * k)
+        asked.clear()
+        assert {r["doc_id"] for r in n.one_of_each(docs(rows)).collect()} == want
+        assert len(asked) > 2 and sum(asked) > 300
+
+
+def test_groups_of_sorted_batches():
+    pa = n.pa
+    key, value = [1, 1, 1, 2, 3, 3, 5], list(range(7))
+    batches = lambda size: (pa.RecordBatch.from_arrays([pa.array(key[i : i + size], pa.int64()), pa.array(value[i : i + size])], ["k", "v"]) for i in range(0, 7, size))
+    for size in (1, 2, 3, 7):
+        assert [g.column("v").to_pylist() for g in n.groups_of(batches(size), ("k",))] == [[0, 1, 2], [3], [4, 5], [6]]
+    assert list(n.groups_of(iter([]), ("k",))) == []
+
+
 def test_heavy_shingles_come_later(docs, monkeypatch):
     """A passage that many texts share goes to the end of the order after a look at the buckets; the rows kept are the same."""
     rnd = random.Random(3)
