@@ -445,11 +445,11 @@ def counting_bloom_saturates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select user_id, user_id % 3 = 0 as removed from (select distinct user_id from events where user_id % 6 in (0, 1))")
 def counting_bloom_removals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every item asked to go, whether it was there to be removed: users divisible by three were added."""
+    """For every item asked to go, whether it was there to be removed: users divisible by three were added, be they more than the filter is made for."""
     users = table(spark, sf_dir, "events").select("user_id").distinct()
     spec = BloomSpec(20_000, 0.0001)
-    state = b.counting_build(users.where("user_id % 3 = 0"), "user_id", [], spec)
-    return b.counting_contains(state, users.where("user_id % 6 in (0, 1)"), "user_id", spec).select("user_id", F.col("hit").alias("removed"))
+    added = users.where("user_id % 3 = 0")
+    return b.counting_removed(b.counting_build(added, "user_id", [], spec), added, users.where("user_id % 6 in (0, 1)"), "user_id", spec)
 
 
 # -- parameters, hashes, sources, functions -------------------------------------------------------------------------------

@@ -139,6 +139,16 @@ def test_counting_bloom_removes_members_only(spark):
     assert hits == {str(i) for i in range(50, 100)}
 
 
+def test_counting_bloom_removed_is_exact_in_an_overfull_filter(spark):
+    spec = BloomSpec(20, 0.1)
+    members, asked = strings(spark, 200), strings(spark, 100, 150).union(strings(spark, 1, 150)).union(spark.createDataFrame([(None,)], "v string"))
+    state = b.counting_build(members, "v", [], spec)
+    assert b.counting_contains(state, asked, "v", spec).where("hit and cast(v as int) >= 200").count() > 0
+    found = sorted(map(tuple, b.counting_removed(state, members.unionByName(members), asked, "v", spec).collect()))
+    assert found == [(str(i), i < 200) for i in range(150, 250)]
+    assert not b.counting_removed(state.where("false"), members.where("false"), asked, "v", spec).where("removed").count()
+
+
 def test_count_sketch_merges(spark):
     spec = MatrixSpec(256, 5)
     x = strings(spark, 500).union(strings(spark, 5)).union(strings(spark, 5))
